@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terravane.llm.common import documents
 from terravane.llm.exact_dedup import exact_groups
+from terravane.llm.language_id import language_id
 from terravane.llm.secrets import scan_secrets
 from terravane.llm.token_count import token_counts
 from terravane.llm.token_files import token_files
+from terravane.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op4_token_files, op5_exact_dedup, op8_token_counts)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(documents(spark, sf_dir))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op4_token_files, op5_exact_dedup, op8_token_counts, op9_language_id)}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": r"""
