@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terravane.llm.common import documents
+from terravane.llm.common import documents, written
+from terravane.llm.decontaminate import find_contamination
 from terravane.llm.exact_dedup import exact_groups
 from terravane.llm.language_id import language_id
+from terravane.llm.packing import pack
 from terravane.llm.secrets import scan_secrets
 from terravane.llm.token_count import token_counts
 from terravane.llm.token_files import token_files
@@ -40,9 +42,42 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op4_token_files, op5_exact_dedup, op8_token_counts, op9_language_id)}
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets and batches by the documents' token counts, which are written once and read twice."""
+    return pack(written(token_counts(documents(spark, sf_dir)).select("doc_id", "n_tokens"), "lengths"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontaminate, op4_token_files, op5_exact_dedup, op8_token_counts, op9_language_id, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_decontaminate": r"""
+        WITH low(doc_id, w) AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+            FROM documents
+        ), items(item_id, w) AS (
+            SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+            FROM benchmark
+        ), wins AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS t
+            FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(10, len(w)) AS n FROM items) WHERE n > 0)
+        ), spots AS (
+            SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS t
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM low, (SELECT DISTINCT n FROM wins) WHERE len(w) >= n)
+        ), hits AS (SELECT doc_id, item_id, i, s.n FROM spots s JOIN wins USING (n, t)
+        ), words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+        ), found AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+            FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM low LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
     "op5_exact_dedup": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n_chars,
