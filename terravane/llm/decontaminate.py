@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import LOWER, Texts, batches, id_and_text, prepare, written
+from terravane.llm.common import Texts, batches, id_and_text, prepare, written
+from terravane.llm.words import MIX, Words
 
 #: Bytes of benchmark text that one broadcast index is made of; a larger benchmark is joined in blocks.
 BLOCK = 16 << 20
@@ -24,53 +25,6 @@ _BITS = 20
 #: Bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing.
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x61:0x7B] = _WORD[0x80:] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MIX = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(max(n, 1), np.uint64)
-    out[1:] = np.uint64(base)
-    return np.cumprod(out)
-
-
-_UP = _DOWN = np.ones(1, np.uint64)
-
-
-class Words:
-    """The words of texts that lie one after another: hash, length and row of each, and their letters without gaps."""
-
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        global _UP, _DOWN
-        low = LOWER[data]
-        inside = _WORD[low]
-        n = len(low)
-        if len(_UP) <= n:
-            _UP, _DOWN = _powers(_BASE, n + 1), _powers(_INVERSE, n + 1)
-        begin, end = inside.copy(), inside.copy()
-        begin[1:] &= ~inside[:-1]
-        end[:-1] &= ~inside[1:]
-        edges = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < n)]
-        begin[edges] = inside[edges]
-        end[edges - 1] = inside[edges - 1]
-        self.begin, self.end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-        with np.errstate(over="ignore"):
-            total = np.r_[np.uint64(0), np.cumsum(low.astype(np.uint64) * _UP[:n])]
-            h = (total[self.end] - total[self.begin]) * _DOWN[self.begin]
-            self.hash = (h ^ (h >> np.uint64(29))) * _MIX[0]
-        self.length = self.end - self.begin
-        self.first = np.searchsorted(self.begin, bounds)  # first word of each row
-        self.letters = low[inside]
-        self.place = np.r_[0, np.cumsum(self.length)]
-
-    def shingles(self, k: int) -> np.ndarray:
-        n = max(len(self.hash) - k + 1, 0)
-        out = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                out += self.hash[j : j + n] * _MIX[j]
-            return out ^ (out >> np.uint64(32))
 
 
 @dataclass
@@ -104,7 +58,7 @@ class Benchmark:
         texts: list[list[bytes]] = []
         for name, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
-            w = Words(raw, np.array([0, len(raw)]))
+            w = Words(raw, np.array([0, len(raw)]), _WORD)
             own = [w.letters[a:b].tobytes() for a, b in zip(w.place[:-1], w.place[1:], strict=True)]
             size = min(window, len(own))
             for i in range(len(own) - size + 1 if size else 0):
@@ -139,7 +93,7 @@ class Benchmark:
         h = np.zeros(len(w), np.uint64)
         with np.errstate(over="ignore"):
             for j in range(size):
-                h += self.matrix[w, p + j] * _MIX[j]
+                h += self.matrix[w, p + j] * MIX[j]
             return w, p, h ^ (h >> np.uint64(32))
 
     def all_shingles(self) -> list[Shingles]:
@@ -199,7 +153,7 @@ def _count_shingles(docs: DataFrame, shingles: list[Shingles]) -> dict[tuple[int
             texts = Texts(batch.column(0))
             for i, j in texts.pieces(2 << 20):
                 bounds = texts.bounds[i : j + 1] - texts.bounds[i]
-                words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], bounds)
+                words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], bounds, _WORD)
                 for t, s in zip(total, shared.value, strict=True):
                     at, k = s.find(words.shingles(s.size))
                     row = np.searchsorted(words.first, at, "right") - 1
@@ -256,7 +210,7 @@ def _join(shared, last: bool):
         before, names = batch.column(2).to_pylist(), [set(x.split("\n")) if x is not None else set() for x in batch.column(3).to_pylist()]
         after: list = [None] * n
         for i, j in texts.pieces(2 << 20):
-            words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
+            words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i], _WORD)
             total = len(words.hash)
             n_words[i:j] = np.diff(words.first)
             edge = np.zeros(total + 1, np.int64)

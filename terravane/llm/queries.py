@@ -10,6 +10,7 @@ from terravane.llm.common import documents, written
 from terravane.llm.decontaminate import find_contamination
 from terravane.llm.exact_dedup import exact_groups
 from terravane.llm.language_id import language_id
+from terravane.llm.ngram_join import ngram_components
 from terravane.llm.packing import pack
 from terravane.llm.secrets import scan_secrets
 from terravane.llm.token_count import token_counts
@@ -29,6 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -51,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(written(token_counts(documents(spark, sf_dir)).select("doc_id", "n_tokens"), "lengths"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontaminate, op4_token_files, op5_exact_dedup, op8_token_counts, op9_language_id, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontaminate, op4_token_files, op5_exact_dedup, op7_ngram_join, op8_token_counts, op9_language_id, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": r"""
@@ -90,4 +95,23 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+            FROM w
+        ), grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
+        ), links AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.t = b.t AND a.doc_id < b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+        ), both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reach(x, y) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN both_ways l ON r.y = l.x
+        )
+        SELECT sets.doc_id, len(s) AS n_shingles, c.component_id
+        FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)
+    """,
 }
