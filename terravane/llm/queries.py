@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terravane.llm.common import documents, written
 from terravane.llm.decontaminate import find_contamination
 from terravane.llm.exact_dedup import exact_groups
 from terravane.llm.language_id import language_id
+from terravane.llm.line_dedup import dedup_lines
 from terravane.llm.ngram_join import ngram_components
 from terravane.llm.packing import pack
 from terravane.llm.secrets import scan_secrets
@@ -30,6 +32,11 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), "text")
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
 
@@ -56,7 +63,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(written(token_counts(documents(spark, sf_dir)).select("doc_id", "n_tokens"), "lengths"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontaminate, op4_token_files, op5_exact_dedup, op7_ngram_join, op8_token_counts, op9_language_id, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontaminate, op4_token_files, op5_exact_dedup, op6_line_dedup, op7_ngram_join, op8_token_counts, op9_language_id, op10_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": r"""
@@ -95,6 +102,30 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
     """,
+    "op6_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, i AS ln, l[i] AS line,
+                   list_filter(string_split(translate(lower(l[i]), chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> '') AS w
+            FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))
+        ), classes AS (
+            SELECT w, min(row(doc_id, ln)) AS o,
+                   CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+            FROM lines WHERE len(w) > 0 GROUP BY w
+        ), tokens AS (SELECT o, len(s) AS n, unnest(s) AS t FROM classes
+        ), matched AS (
+            SELECT DISTINCT o FROM (
+                SELECT a.o FROM tokens a JOIN tokens b ON a.t = b.t AND b.o < a.o
+                GROUP BY a.o, b.o, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*)))
+        ), marked AS (
+            SELECT l.doc_id, l.ln, l.line, c.o IS NOT NULL AND (row(l.doc_id, l.ln) <> c.o OR m.o IS NOT NULL) AS gone
+            FROM lines l LEFT JOIN classes c ON l.w = c.w LEFT JOIN matched m ON c.o = m.o
+        )
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text
+        FROM documents d LEFT JOIN (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY ln) FILTER (NOT gone) AS t
+            FROM marked GROUP BY doc_id) x USING (doc_id)
+    """,
     "op7_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

@@ -85,7 +85,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_and_text(docs, id_col, text_col).repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = id_and_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(it):
         from pyspark import TaskContext
