@@ -63,6 +63,27 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Estimated bytes up to which a side of a join is broadcast; a larger one is shuffled.
+BROADCAST = 32 << 20
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
+
+
+def filtered(docs: DataFrame, text_col: str, keep) -> DataFrame:
+    """The rows of docs for whose texts `keep` (Texts -> mask) is true, with all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(it):
+        for batch in it:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(Texts(batch.column(at).cast(pa.string())))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class Texts:
     """Numpy view of an Arrow string column: bytes, start and end of each row; null is empty."""
 

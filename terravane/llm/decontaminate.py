@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, id_and_text, prepare, written
+from terravane.llm.common import Texts, batches, filtered, id_and_text, prepare, written
 from terravane.llm.words import MIX, Words
 
 #: Bytes of benchmark text that one broadcast index is made of; a larger benchmark is joined in blocks.
@@ -178,22 +178,55 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     asked for first, and a benchmark of more than one block is joined block after block, hits being carried along.
     """
     spark = prepare(docs.sparkSession)
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block))
     rows = id_and_text(docs, id_col, text_col)
+    blocks = _blocks(benchmark, item_col, item_text_col, block)
     flow = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("string").alias("items"))
-    for k in range(blocks):
-        own = [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-        index = Benchmark(own, window)
-        shingles = index.all_shingles()
-        index.order(shingles, _count_shingles(rows, shingles) if shingles else {})
-        flow = flow.mapInArrow(_join(spark.sparkContext.broadcast(index), k == blocks - 1), _LAST if k == blocks - 1 else "doc_id long, text string, hits binary, items string")
-        if k < blocks - 1:
+    for k, items in enumerate(blocks):
+        index, last = _indexed(items, rows, window), k == len(blocks) - 1
+        flow = flow.mapInArrow(_join(spark.sparkContext.broadcast(index), last), _LAST if last else "doc_id long, text string, hits binary, items string")
+        if not last:
             flow = written(flow, "decontaminate")
     return flow
 
 
+def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
+    """The rows of docs in which no window of the benchmark occurs, all columns as they are."""
+    spark = prepare(docs.sparkSession)
+    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    blocks = _blocks(benchmark, item_col, item_text_col, block)
+    for k, items in enumerate(blocks):
+        shared = spark.sparkContext.broadcast(_indexed(items, rows, window))
+
+        def keep(texts: Texts, shared=shared) -> np.ndarray:
+            out = np.ones(len(texts), bool)
+            for i, j in texts.pieces(2 << 20):
+                words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i], _WORD)
+                if len(words.hash) and shared.value.index:
+                    start, _ = shared.value.matches(words)
+                    out[i + np.searchsorted(words.first, start, "right") - 1] = False
+            return out
+
+        docs = filtered(docs, text_col, keep)
+        if k < len(blocks) - 1:
+            docs = written(docs, "decontaminate")
+    return docs
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block: int) -> list[DataFrame]:
+    """(item, text) in blocks of about `block` bytes of text."""
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
+    return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
+
+
+def _indexed(items: DataFrame, rows: DataFrame, window: int) -> Benchmark:
+    """A block's windows, each indexed by the shingle that is rarest in all of rows."""
+    index = Benchmark([(r["item"], r["text"]) for r in items.collect()], window)
+    shingles = index.all_shingles()
+    index.order(shingles, _count_shingles(rows, shingles) if shingles else {})
+    return index
+
+
 _LAST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, id_and_text
+from terravane.llm.common import Texts, batches, filtered, id_and_text
 from terravane.llm.ngrams import letters
 from terravane.llm.sampling import chosen, class_counts, fold
 
@@ -201,6 +201,20 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return rows.mapInArrow(identify, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language the model can tell, all columns as they are: null, empty and letterless texts go."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: Texts) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        for i, j in texts.pieces(1 << 20):
+            langs, _ = shared.value.predict(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
+            out[i:j] = np.array(langs, object) != "und"
+        return out
+
+    return filtered(docs, text_col, keep)
+
+
 def language_id(docs: DataFrame, **options) -> DataFrame:
     """Train on docs outside the held-out fold, then identify every row of docs."""
     return identify_languages(docs, train_languages(docs, **options))

@@ -12,20 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm.common import checkpoint_base, written
+from terravane.llm.common import BROADCAST, checkpoint_base, if_small, written
 
 #: Counters of the sketch that says how frequent tokens are.
 BUCKETS = 1 << 16
-#: Estimated bytes up to which a side is broadcast; a larger one is shuffled.
-BROADCAST = 32 << 20
 SIZE = 5
 
 
-def _if_small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
-
-
 def _words(line: Column) -> Column:
     spaced = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
     return F.array_remove(F.split(spaced, " "), "")
@@ -85,7 +78,7 @@ def removed_lines(rows: DataFrame, numer: int = 4, denom: int = 5) -> DataFrame:
 
     def sets(nodes: DataFrame) -> DataFrame:
         """The whole sets of some classes, each from any of its lines."""
-        own = _lines(rows).select("h1", "words").join(_if_small(nodes, 24), "h1", "left_semi").dropDuplicates(["h1"])
+        own = _lines(rows).select("h1", "words").join(if_small(nodes, 24), "h1", "left_semi").dropDuplicates(["h1"])
         return written(own.select("h1", _tokens("words").alias("tokens")), "line-sets")
 
     nodes = lambda p: p.select(F.col("x").alias("h1")).union(p.select(F.col("y").alias("h1"))).distinct()

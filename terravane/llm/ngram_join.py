@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, id_and_text, prepare, written
+from terravane.llm.common import Texts, batches, id_and_text, if_small, prepare, written
 from terravane.llm.components import connected_components
 from terravane.llm.words import MIX, Words
 
@@ -281,3 +281,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = found.withColumn("x", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("x", "doc_id")).otherwise(F.col("doc_id")))
     found = found.join(parts.select(F.col("node").alias("x"), "component"), "x", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "x").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
+    """The rows of docs with the smallest id of their component, all columns as they are; rows without an id stay."""
+    found = written(ngram_components(docs, id_col, text_col, numer, denom).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "ngram-gone")
+    return docs.join(if_small(found, 16), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
