@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 from terravane.llm.common import Texts, id_and_text, scratch_path
 from terravane.llm.prefix_sums import bases
-from terravane.llm.token_count import PATTERN, REMEMBERED
+from terravane.llm.token_count import Memory, pre_tokens
 
 
 def _open(folder: str):
@@ -50,23 +50,27 @@ class _Encoder:
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.special = set(special)
         self.end = np.array([end_id], self.type).tobytes()
-        self.seen: dict[str, bytes] = {}
+        self.memory = Memory()
 
     def pieces(self, text: str) -> list[str]:
         if self.split is None or self.split.search(text) is None:
-            return PATTERN.findall(text)
-        return [x for p in self.split.split(text) for x in ([p] if p in self.special else PATTERN.findall(p))]
+            return pre_tokens(text)
+        return [x for p in self.split.split(text) for x in ([p] if p in self.special else pre_tokens(p))]
+
+    def _make(self, new: list[str]) -> list[bytes]:
+        out = []
+        for k in range(0, len(new), 50_000):
+            own = new[k : k + 50_000]
+            e = self.library.encode(own, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(e.ids, self.type).tobytes()
+            cuts = (np.r_[0, np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(own)))] * self.type.itemsize).tolist()
+            out += [raw[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [self.pieces(t) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        new = list(set().union(*parts).difference(self.seen))
-        for k in range(0, len(new), 20_000):
-            own = new[k : k + 20_000]
-            for x, e in zip(own, self.library.encode_batch_fast(own, add_special_tokens=False), strict=True):
-                self.seen[x] = np.array(e.ids, self.type).tobytes()
-        return [b"".join(map(self.seen.__getitem__, p)) + self.end for p in parts]
+        seen = self.memory.of(parts, self._make)
+        return [b"".join(map(seen.__getitem__, p)) + self.end for p in parts]
 
 
 @lru_cache(maxsize=2)
