@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from terravane.plans import retrieval
+from terravane.plans import evaluation, geometry, retrieval
 
 FLAGSHIP = "flagship_search"
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (retrieval,):
+for _module in (retrieval, geometry, evaluation):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

@@ -16,6 +16,11 @@ SEMI_MINOR = SEMI_MAJOR * math.sqrt(1 - ECC2)
 ECC2_SECOND = (SEMI_MAJOR**2 - SEMI_MINOR**2) / SEMI_MINOR**2
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: large expressions stay small."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     """Great-circle distance in metres."""
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)
@@ -68,9 +73,12 @@ def distance3(a: Column, b: Column) -> Column:
 
 def rotate(q: Column, v: Column) -> Column:
     """v turned by the unit quaternion q (struct w, x, y, z): v + 2w(u x v) + 2 u x (u x v)."""
-    u = xyz(q["x"], q["y"], q["z"])
-    once = cross3(u, v)
-    return add(add(v, scale(once, 2 * q["w"])), scale(cross3(u, once), F.lit(2.0)))
+
+    def turned(s):
+        u, p = xyz(s["q"]["x"], s["q"]["y"], s["q"]["z"]), s["v"]
+        return let(cross3(u, p), lambda once: add(add(p, scale(once, 2 * s["q"]["w"])), scale(cross3(u, once), F.lit(2.0))))
+
+    return let(F.struct(q.alias("q"), v.alias("v")), turned)
 
 
 def quaternion(w: Column, x: Column, y: Column, z: Column) -> Column:
@@ -79,12 +87,13 @@ def quaternion(w: Column, x: Column, y: Column, z: Column) -> Column:
 
 def multiply(a: Column, b: Column) -> Column:
     """Hamilton product: first b, then a."""
-    return quaternion(
-        a["w"] * b["w"] - a["x"] * b["x"] - a["y"] * b["y"] - a["z"] * b["z"],
-        a["w"] * b["x"] + a["x"] * b["w"] + a["y"] * b["z"] - a["z"] * b["y"],
-        a["w"] * b["y"] - a["x"] * b["z"] + a["y"] * b["w"] + a["z"] * b["x"],
-        a["w"] * b["z"] + a["x"] * b["y"] - a["y"] * b["x"] + a["z"] * b["w"],
-    )
+    signs = {"w": ("w+w", "x-x", "y-y", "z-z"), "x": ("w+x", "x+w", "y+z", "z-y"), "y": ("w+y", "x-z", "y+w", "z+x"), "z": ("w+z", "x+y", "y-x", "z+w")}
+
+    def product(s):
+        term = lambda t: (1.0 if t[1] == "+" else -1.0) * s["a"][t[0]] * s["b"][t[2]]
+        return quaternion(*[sum((term(t) for t in signs[c]), F.lit(0.0)) for c in "wxyz"])
+
+    return let(F.struct(a.alias("a"), b.alias("b")), product)
 
 
 def conjugate(q: Column) -> Column:
@@ -151,8 +160,7 @@ def wds_to_eus(p: Column) -> Column:
 
 def heading_of_orientation(q: Column) -> Column:
     """Compass heading of a pose in east-up-south axes: where its camera's -z points; [0, 360)."""
-    f = rotate(q, xyz(F.lit(0.0), F.lit(0.0), F.lit(-1.0)))
-    return F.pmod(F.degrees(F.atan2(f["x"], -f["z"])), F.lit(360.0))
+    return let(rotate(q, xyz(F.lit(0.0), F.lit(0.0), F.lit(-1.0))), lambda f: F.pmod(F.degrees(F.atan2(f["x"], -f["z"])), F.lit(360.0)))
 
 
 def rigid_inverse(q: Column, t: Column) -> Column:
@@ -194,14 +202,19 @@ def ray_closest_approach(oi: Column, di: Column, oj: Column, dj: Column, paralle
 
     Parameters of nearly parallel lines are the shortest pair: offset along the first, halved between both.
     """
-    c = cross3(di, dj)
-    near = F.sqrt(dot3(c, c)) < parallel
-    d, rel = dot3(di, dj), xyz(oi["x"] - oj["x"], oi["y"] - oj["y"], oi["z"] - oj["z"])
-    pi, pj = dot3(di, rel), dot3(dj, rel)
-    den = F.when(near, F.lit(1.0)).otherwise(1 - d * d)
-    ti, tj = (d * pj - pi) / den, (pj - d * pi) / den
-    apart = distance3(add(oi, scale(di, ti)), add(oj, scale(dj, tj)))
-    along = F.greatest(F.lit(0.0), -pi)
-    flat = distance3(oj, add(oi, scale(di, along)))
-    sign = F.when(d >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.struct(F.when(near, flat).otherwise(apart).alias("distance"), F.when(near, -pi / 2).otherwise(ti).alias("ti"), F.when(near, pi / 2 * sign).otherwise(tj).alias("tj"))
+
+    def solved(s):
+        c = cross3(s["di"], s["dj"])
+        rel = xyz(s["oi"]["x"] - s["oj"]["x"], s["oi"]["y"] - s["oj"]["y"], s["oi"]["z"] - s["oj"]["z"])
+        return F.struct((F.sqrt(dot3(c, c)) < parallel).alias("near"), dot3(s["di"], s["dj"]).alias("d"), dot3(s["di"], rel).alias("pi"), dot3(s["dj"], rel).alias("pj"), s.alias("s"))
+
+    def placed(k):
+        s, d, pi, pj, near = k["s"], k["d"], k["pi"], k["pj"], k["near"]
+        den = F.when(near, F.lit(1.0)).otherwise(1 - d * d)
+        sign = F.when(d >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+        ti, tj = (d * pj - pi) / den, (pj - d * pi) / den
+        apart = distance3(add(s["oi"], scale(s["di"], ti)), add(s["oj"], scale(s["dj"], tj)))
+        flat = distance3(s["oj"], add(s["oi"], scale(s["di"], F.greatest(F.lit(0.0), -pi))))
+        return F.struct(F.when(near, flat).otherwise(apart).alias("distance"), F.when(near, -pi / 2).otherwise(ti).alias("ti"), F.when(near, pi / 2 * sign).otherwise(tj).alias("tj"))
+
+    return let(let(F.struct(oi.alias("oi"), di.alias("di"), oj.alias("oj"), dj.alias("dj")), solved), placed)
