@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from terravane.plans import evaluation, geometry, retrieval
+from terravane.plans import evaluation, exploration, geometry, localization, retrieval
 
 FLAGSHIP = "flagship_search"
 QUERIES = {}
 ORACLE_SQL = {}
-for _module in (retrieval, geometry, evaluation):
+for _module in (retrieval, geometry, evaluation, exploration, localization):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
