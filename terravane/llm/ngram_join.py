@@ -3,8 +3,8 @@
 Documents with the same set are one row of the incidence, whatever their number. A pair that reaches
 the similarity has a column in common among the first n - ceil(0.8 n) + 1 of each row (columns in
 order of rarity), so only those columns are multiplied: entries are dealt by column, each task holds a block of columns,
-and a column of k rows gives k - 1 products with the shortest row that their sizes allow, not k squared. Their whole rows are then
-multiplied and the overlaps held against the bound of the sizes. Only columns whose rows did not all come together
+and a column of k rows gives products of each row with one centre and a few neighbours, not k squared. Of pairs that sizes and
+places allow, the whole rows are then multiplied and the overlaps held against the bound of the sizes. Only columns whose rows did not all come together
 in one component are multiplied in full, for the pairs of different components.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,77 +127,132 @@ def _signatures(rows: DataFrame, shared, numer: int, denom: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, n int, h1 long, h2 long, columns array<long>")
 
 
-_STAR = "column long, x long, nx int, c long, nc int, test boolean"
-_STAR_SCHEMA = pa.schema([("column", pa.int64()), ("x", pa.int64()), ("nx", pa.int32()), ("c", pa.int64()), ("nc", pa.int32()), ("test", pa.bool_())])
+#: Rows of a column that a batch sends on to the other tasks, and how many rows before it each row is multiplied with.
+SENT, BACK = 16, 3
+_STAR = "column long, x long, xp long, c long, cp long"
+_STAR_SCHEMA = pa.schema([(n, pa.int64()) for n in ("column", "x", "xp", "c", "cp")])
 
 
-def _centres(column, n, row, numer, denom, carry=None):
-    """Rows ordered by column, then size: the centre of each, a new one where the sizes rule the last one out.
+def _admissible(xp: np.ndarray, cp: np.ndarray, numer: int, denom: int) -> np.ndarray:
+    """Whether sizes and places (size << 32 | place in the row's order) let two rows with this column reach the similarity."""
+    nx, ny = xp >> 32, cp >> 32
+    need = -(-numer * (nx + ny) // (numer + denom))
+    place = (1 << 32) - 1
+    return (denom * nx >= numer * ny) & (denom * ny >= numer * nx) & ((xp & place) <= nx - need) & ((cp & place) <= ny - need)
+
+
+_ADMISSIBLE = """
+    {denom} * (xp >> 32) >= {numer} * (cp >> 32) AND {denom} * (cp >> 32) >= {numer} * (xp >> 32)
+    AND (xp & 4294967295) <= (xp >> 32) - ({numer} * ((xp >> 32) + (cp >> 32)) + {numer} + {denom} - 1) div ({numer} + {denom})
+    AND (cp & 4294967295) <= (cp >> 32) - ({numer} * ((xp >> 32) + (cp >> 32)) + {numer} + {denom} - 1) div ({numer} + {denom})
+"""
+
+
+def _groups(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows ordered by column: the place of each one's first row, and how many rows that column has."""
+    first = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+    size = np.diff(np.r_[first, len(column)])
+    return np.repeat(first, size), np.repeat(size, size)
 
-    carry: (column, size, row) of the last centre of what came before. Returns the place of each row's centre (-1: the carried one).
-    """
-    out = np.arange(len(column))
-    start = np.r_[True, column[1:] != column[:-1]]
-    if carry is not None and len(column) and carry[0] == column[0]:
-        start[0] = False
-    first = np.flatnonzero(start)
-    ends = np.r_[first[1:], len(column)]
-    if not start[0]:
-        first, ends = np.r_[0, first], np.r_[first[0] if len(first) else len(column), ends]
-    for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-        if b - a == 1 and start[a]:
-            continue
-        size, centre = (int(carry[1]), -1) if not start[a] else (int(n[a]), a)
-        i = a
-        while i < b:
-            stop = i + int(np.searchsorted(n[i:b], size * denom // numer, "right"))
-            out[i:stop] = centre
-            i = stop
-            if i < b:
-                size, centre, out[i] = int(n[i]), i, i
-    return out
+
+def _neighbours(column, x, xp, new, numer, denom) -> pa.RecordBatch | None:
+    """Distinct admissible pairs of each new row with the BACK rows before it, without their columns."""
+    found = []
+    for d in range(1, BACK + 1):
+        i = np.flatnonzero((column[d:] == column[:-d]) & new[d:]) + d
+        i = i[_admissible(xp[i], xp[i - d], numer, denom) & (x[i] != x[i - d])]
+        found.append(np.column_stack([np.minimum(x[i], x[i - d]), np.maximum(x[i], x[i - d])]))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    if len(pairs):
+        gone = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([gone, pa.array(pairs[:, 0]), gone, pa.array(pairs[:, 1]), gone], schema=_STAR_SCHEMA)
+    return None
 
 
 def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
-    """(column, x, centre) for all rows that share a column; test is false where sizes rule the pair out."""
-    spec = "column long, x long, nx int, c long, nc int, test boolean"
+    """For all rows of a column with several: (column, x, its place, c, its place), c being one row of the column for all of it,
+    and (null, x, null, c, null): admissible pairs of neighbours in the column's order by size.
+    """
 
     def within(it):
-        """Stars among the rows of a batch; of each column only its centres, with c null, go on to the other tasks."""
-        for batch in it:
+        """Stars among the rows of a batch; the first SENT rows of each column, with c null, go on to the other tasks."""
+        for batch in (b.slice(k, 8192) for b in it for k in range(0, b.num_rows, 8192)):
             lists = batch.column(2)
             each = np.diff(lists.offsets.to_numpy())
             column = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[-1].as_py()]
-            x, n = np.repeat(batch.column(0).to_numpy(), each), np.repeat(batch.column(1).to_numpy(), each)
+            x, n = np.repeat(batch.column(0).to_numpy(), each), np.repeat(batch.column(1).to_numpy().astype(np.int64), each)
+            xp = (n << 32) | (np.arange(len(column)) - np.repeat(np.cumsum(each) - each, each))
             by = np.lexsort((x, n, column))
-            column, x, n = column[by], x[by], n[by]
-            if len(column):
-                c = _centres(column, n, x, numer, denom)
-                own = c == np.arange(len(c))
-                yield pa.RecordBatch.from_arrays([pa.array(column), pa.array(x), pa.array(n, pa.int32()), pa.array(x[c], mask=own), pa.array(n[c], pa.int32()), pa.array(~own)], schema=_STAR_SCHEMA)
+            column, x, xp = column[by], x[by], xp[by]
+            if not len(column):
+                continue
+            first, _ = _groups(column)
+            nth = np.arange(len(column)) - first
+            sent, kept = nth < SENT, nth >= SENT
+            none = pa.nulls(int(sent.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(column[sent]), pa.array(x[sent]), pa.array(xp[sent]), none, none], schema=_STAR_SCHEMA)
+            if kept.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (column[kept], x[kept], xp[kept], x[first[kept]], xp[first[kept]])], schema=_STAR_SCHEMA)
+                if (pairs := _neighbours(column, x, xp, kept, numer, denom)) is not None:
+                    yield pairs
 
     def across(it):
-        carry = None
+        """Stars among the rows that were sent, ordered by column; what is done already passes through."""
+        tail, centre = None, None
         for batch in it:
-            column, x, n = (batch.column(k).to_numpy() for k in range(3))
-            if not len(column):
+            done = batch.column(3).is_valid()
+            if done.true_count:
+                yield batch.filter(done)
+            if done.true_count == batch.num_rows:
                 continue
-            c = _centres(column, n, x, numer, denom, carry)
-            cx, cn = np.where(c >= 0, x[c], carry[2] if carry else 0), np.where(c >= 0, n[c], carry[1] if carry else 0)
-            own = c == np.arange(len(c))
-            # a new centre of a column that had one: no pair to test, but a sign that the column may stay apart
-            prior_column = np.r_[carry[0] if carry else column[0] - 1, column[:-1]]
-            again = own & (prior_column == column)
-            px, pn = np.r_[carry[2] if carry else 0, cx[:-1]], np.r_[carry[1] if carry else 0, cn[:-1]]
-            cx, cn = np.where(again, px, cx), np.where(again, pn, cn)
-            keep = ~own | again
-            carry = (int(column[-1]), int(n[-1] if own[-1] else cn[-1]), int(x[-1] if own[-1] else cx[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(column[keep]), pa.array(x[keep]), pa.array(n[keep], pa.int32()), pa.array(cx[keep]), pa.array(cn[keep], pa.int32()), pa.array(~again[keep])], schema=_STAR_SCHEMA)
-
-    local = written(rows.select("x", "n", "columns").mapInArrow(within, spec), "ngram-columns")
+            column, x, xp = (c.to_numpy() for c in batch.filter(pc.invert(done)).columns[:3])
+            carried = 0
+            if tail is not None and tail[0][-1] == column[0]:
+                same = tail[0] == column[0]
+                carried = int(same.sum())
+                column, x, xp = (np.r_[t[same], v] for t, v in zip(tail, (column, x, xp), strict=True))
+            first, size = _groups(column)
+            cx, cp = x[first], xp[first]
+            if carried:
+                own = first == 0
+                cx, cp = np.where(own, centre[0], cx), np.where(own, centre[1], cp)
+            new = np.arange(len(column)) >= carried
+            star = new & (size > 1) & (x != cx)
+            if star.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[star]) for v in (column, x, xp, cx, cp)], schema=_STAR_SCHEMA)
+            if (pairs := _neighbours(column, x, xp, new, numer, denom)) is not None:
+                yield pairs
+            tail, centre = tuple(v[-BACK:] for v in (column, x, xp)), (int(cx[-1]), int(cp[-1]))
+
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = local.where("c IS NULL").select("column", "x", "nx").repartition(parts, "column").sortWithinPartitions("column", "nx", "x")
-    return local.where("c IS NOT NULL").union(dealt.mapInArrow(across, spec))
+    local = rows.select("x", "n", "columns").mapInArrow(within, _STAR)
+    return local.repartition(parts, F.coalesce("column", "x")).sortWithinPartitions("column", "xp", "x").mapInArrow(across, _STAR)
+
+
+def _shuffled_neighbours(members: DataFrame, numer: int, denom: int) -> DataFrame:
+    """Distinct admissible pairs of different components among neighbours in a random order of each column.
+
+    One such pair can join two large components, whose rows then need not be multiplied one by one. Columns of very many rows are split.
+    """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = members.groupBy("column").agg(F.ceil(F.count("*") / 10_000).alias("splits"))
+    dealt = members.join(size, "column").select("column", F.pmod(F.xxhash64("d"), "splits").alias("split"), "d", "p", "d_part", F.xxhash64("d", "column").alias("at"))
+    dealt = dealt.repartition(parts, "column", "split").sortWithinPartitions("column", "split", "at")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def near(it):
+        for batch in it:
+            column, split, d, p, part = (batch.column(k).to_numpy() for k in range(5))
+            found = [np.zeros((0, 2), np.int64)]
+            for back in range(1, 2 * BACK + 1):
+                i = np.flatnonzero((column[back:] == column[:-back]) & (split[back:] == split[:-back]) & (part[back:] != part[:-back])) + back
+                i = i[_admissible(p[i], p[i - back], numer, denom)]
+                found.append(np.column_stack([np.minimum(d[i], d[i - back]), np.maximum(d[i], d[i - back])]))
+            pairs = np.unique(np.concatenate(found), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+
+    return dealt.mapInArrow(near, "u long, v long").distinct()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
@@ -234,7 +290,7 @@ def _whole_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             out += [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         return [batch.column(0), out]
 
-    return rows.join(nodes, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, grams binary")
+    return rows.join(if_small(nodes, 16), "doc_id", "left_semi").mapInArrow(whole, "doc_id long, grams binary")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
@@ -253,34 +309,52 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signs = written(_signatures(rows, levels, numer, denom), "ngram-signatures")
     groups = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("columns").alias("columns"))
     stars = written(_stars(groups, numer, denom), "ngram-stars")
-    pairs = stars.where("test").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).where("u < v").distinct()
+    admissible = _ADMISSIBLE.format(numer=numer, denom=denom)
+    pairs = stars.where(f"column IS NULL OR ({admissible})").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).where("u < v").distinct()
     pairs = written(pairs, "ngram-pairs")
     nodes = lambda p: p.select(F.col("u").alias("doc_id")).union(p.select(F.col("v").alias("doc_id"))).distinct()
     links = written(_linked(pairs, _whole_sets(rows, nodes(pairs)), numer, denom), "ngram-links")
     parts = connected_components(links)
 
-    of = lambda df, c: df.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-    apart = of(of(stars, "x"), "c").where("x_part <> c_part").select("column").distinct()
-    still = stars.join(apart, "column", "left_semi")
-    members = still.select("column", F.col("x").alias("d"), F.col("nx").alias("n")).union(still.select("column", F.col("c").alias("d"), F.col("nc").alias("n"))).distinct()
-    members = written(of(members, "d"), "ngram-apart")
-    # in each such column the rows of its commonest component need not be multiplied with one another
+    # columns whose rows are not all in one component by now
+    of = lambda df, c, p: df.join(p.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
+    whole = stars.where("column IS NOT NULL")
+    apart = of(of(whole, "x", parts), "c", parts).where("x_part <> c_part").select("column").distinct()
+    still = whole.join(apart, "column", "left_semi")
+    members = still.select("column", F.col("x").alias("d"), F.col("xp").alias("p")).union(still.select("column", F.col("c").alias("d"), F.col("cp").alias("p"))).distinct()
+    members = written(of(members, "d", parts), "ngram-apart")
+    again = _shuffled_neighbours(members, numer, denom).join(pairs, ["u", "v"], "left_anti")
+    again = written(again, "ngram-again")
+    found = written(_linked(again, _whole_sets(rows, nodes(again)), numer, denom), "ngram-found")
+    if not found.isEmpty():
+        pairs, links = pairs.union(again), links.union(found)
+        parts = connected_components(links)
+        members = of(members.drop("d_part"), "d", parts)
+        members = members.join(members.groupBy("column").agg((F.min("d_part") != F.max("d_part")).alias("open")).where("open").select("column"), "column", "left_semi")
+
+    # a pair meets in its first common column of all: elsewhere one of the columns just before is common too
+    ordered = signs.join(if_small(members.select(F.col("d").alias("doc_id")).distinct(), 16), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("d")).agg(F.any_value("columns").alias("columns"))
+    place = F.expr("cast(p & 4294967295 as int)")
+    members = members.join(ordered, "d").withColumn("earlier", F.slice("columns", F.greatest(place - 7, F.lit(1)), F.least(place, F.lit(8)))).drop("columns")
+    members = written(members, "ngram-open")
+    # the rows of a column's commonest component need not be multiplied with one another
     sizes = members.groupBy("column", "d_part").agg(F.count("*").alias("k"))
     main = sizes.groupBy("column").agg(F.max_by("d_part", F.struct("k", "d_part")).alias("main"))
     members = members.join(main, "column")
-    a = members.where("d_part <> main").select("column", F.col("d").alias("u"), F.col("n").alias("nu"), F.col("d_part").alias("pu"))
-    b = members.select("column", F.col("d").alias("v"), F.col("n").alias("nv"), F.col("d_part").alias("pv"), (F.col("d_part") == F.col("main")).alias("in_main"))
-    rest = a.join(b, "column").where((F.col("pu") != F.col("pv")) & (F.col("in_main") | (F.col("u") < F.col("v"))) & (F.col("nu") * denom >= F.col("nv") * numer) & (F.col("nv") * denom >= F.col("nu") * numer))
+    a = members.where("d_part <> main").select("column", F.col("d").alias("u"), F.col("p").alias("xp"), F.col("d_part").alias("pu"), F.col("earlier").alias("eu"))
+    b = members.select("column", F.col("d").alias("v"), F.col("p").alias("cp"), F.col("d_part").alias("pv"), F.col("earlier").alias("ev"), (F.col("d_part") == F.col("main")).alias("in_main"))
+    rest = a.join(b, "column").where(f"pu <> pv AND (in_main OR u < v) AND {admissible} AND NOT arrays_overlap(eu, ev)")
     rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
     rest = written(rest, "ngram-rest")
-    more = _linked(rest, _whole_sets(rows, nodes(rest)), numer, denom)
-    parts = connected_components(links.union(written(more, "ngram-more")))
+    more = written(_linked(rest, _whole_sets(rows, nodes(rest)), numer, denom), "ngram-more")
+    if not more.isEmpty():
+        parts = connected_components(links.union(more))
 
     several = groups.where("copies > 1").select("h1", "h2", "x")
-    found = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "h1", "h2").join(several, ["h1", "h2"], "left")
-    found = found.withColumn("x", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("x", "doc_id")).otherwise(F.col("doc_id")))
-    found = found.join(parts.select(F.col("node").alias("x"), "component"), "x", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "x").alias("component_id"))
+    out = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "h1", "h2").join(several, ["h1", "h2"], "left")
+    out = out.withColumn("x", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("x", "doc_id")).otherwise(F.col("doc_id")))
+    out = out.join(parts.select(F.col("node").alias("x"), "component"), "x", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "x").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
