@@ -15,11 +15,17 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from the driver's checkout (on a cluster: from --py-files)."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    # numpy arrays of a batch are some times its bytes: smaller batches than the default 64 MB
+    if spark.conf.get(BATCH, None) == "67108864b":
+        spark.conf.set(BATCH, "16m")
     return spark
 
 

@@ -68,7 +68,7 @@ def column_levels(rows: DataFrame) -> np.ndarray:
         some = False
         for batch in it:
             texts = Texts(batch.column(0))
-            for i, j in texts.pieces(2 << 20):
+            for i, j in texts.pieces(1 << 19):
                 grams, _ = ngram_sets(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
                 total += np.bincount(_bucket(grams), minlength=BUCKETS)
                 some = True
@@ -101,7 +101,7 @@ def _signatures(rows: DataFrame, shared, numer: int, denom: int) -> DataFrame:
     def sign(batch):
         texts = Texts(batch.column(1))
         sizes, h1, h2, columns, counts = [], [], [], [], []
-        for i, j in texts.pieces(2 << 20):
+        for i, j in texts.pieces(1 << 19):
             grams, at = ngram_sets(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
             n = np.diff(at)
             row = np.repeat(np.arange(j - i), n)
@@ -284,7 +284,7 @@ def _whole_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     @batches(spec)
     def whole(batch):
         texts, out = Texts(batch.column(1)), []
-        for i, j in texts.pieces(2 << 20):
+        for i, j in texts.pieces(1 << 19):
             grams, at = ngram_sets(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
             raw = grams.tobytes()
             out += [raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -307,7 +307,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = id_and_text(docs, id_col, text_col)
     levels = spark.sparkContext.broadcast(column_levels(rows))  # one MB, whatever the input
     signs = written(_signatures(rows, levels, numer, denom), "ngram-signatures")
-    groups = signs.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("columns").alias("columns"))
+    known = signs.where("n > 0 AND doc_id IS NOT NULL")
+    several = written(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies")).where("copies > 1"), "ngram-copies")
+    copies = known.select("doc_id", "h1", "h2").join(several, ["h1", "h2"]).where("doc_id <> x").select("doc_id").distinct()
+    groups = known.join(if_small(copies, 16), "doc_id", "left_anti").select(F.col("doc_id").alias("x"), "n", "columns")
     stars = written(_stars(groups, numer, denom), "ngram-stars")
     admissible = _ADMISSIBLE.format(numer=numer, denom=denom)
     pairs = stars.where(f"column IS NULL OR ({admissible})").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).where("u < v").distinct()
@@ -350,8 +353,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not more.isEmpty():
         parts = connected_components(links.union(more))
 
-    several = groups.where("copies > 1").select("h1", "h2", "x")
-    out = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "h1", "h2").join(several, ["h1", "h2"], "left")
+    out = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "h1", "h2").join(several.select("h1", "h2", "x"), ["h1", "h2"], "left")
     out = out.withColumn("x", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("x", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(parts.select(F.col("node").alias("x"), "component"), "x", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "x").alias("component_id"))
