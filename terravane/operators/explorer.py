@@ -108,3 +108,30 @@ def merged_best(parts: list[DataFrame], key: str, score: str) -> DataFrame:
     for p in parts[1:]:
         both = both.unionByName(p)
     return both.groupBy(key).agg(F.max(score).alias(score))
+
+
+def displayed(rows: DataFrame, sensitivity: float) -> DataFrame:
+    """Results that a sensitivity from 0 to 100 shows: a match score of at least what is left to 100, the bound included."""
+    return rows.where(F.col("match_score") >= 1 - sensitivity / 100)
+
+
+def without_labels(rows: DataFrame, excluded: list[str]) -> DataFrame:
+    """Rows whose label, trimmed and in lower case, is none of the excluded ones; a null label stays."""
+    names = [x.strip().lower() for x in excluded]
+    return rows.where(~F.coalesce(F.lower(F.trim("label")).isin(names), F.lit(False))) if names else rows
+
+
+def on_levels(rows: DataFrame, levels: list[int], bands: Column, height: str, ring: Column | None = None) -> DataFrame:
+    """Rows whose height lies in the band of an allowed level and, with a ring, whose lng and lat lie inside it."""
+    from terravane.functions import geodesy as G
+
+    ok = G.level_of_height(F.col(height), bands).isin(levels)
+    return rows.where(ok & G.point_in_ring(F.col("lng"), F.col("lat"), ring) if ring is not None else ok)
+
+
+def detection_summary(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Detections of each group: how many in a keyframe at the median and at most, and scores at the quartiles."""
+    each = rows.groupBy(*by, "keyframe").agg(F.count("*").alias("k"))
+    size = each.groupBy(*by).agg(F.count("*").alias("n_keyframes"), F.sum("k").alias("n"), F.median("k").alias("median"), F.max("k").alias("most"))
+    score = rows.groupBy(*by).agg(*[F.percentile("score", F.lit(q)).alias(f"q{round(q * 100)}") for q in (0.25, 0.5, 0.75)])
+    return size.join(score, by) if by else size.crossJoin(score)

@@ -366,3 +366,12 @@ def rotation_to_quaternion(m: np.ndarray) -> np.ndarray:
     )
     q = np.linalg.eigh(k)[1][:, -1]
     return q if q[0] >= 0 else -q
+
+
+def window_median(image: np.ndarray, row: int, col: int, half: int, least: int = 3) -> float:
+    """Median of the finite pixels about one, columns wrapping and rows clamped; NaN under `least` of them."""
+    rows = np.clip(np.arange(row - half, row + half + 1), 0, image.shape[0] - 1)
+    cols = np.mod(np.arange(col - half, col + half + 1), image.shape[1])
+    seen = image[np.ix_(np.unique(rows), cols)]
+    seen = seen[np.isfinite(seen)]
+    return float(np.median(seen)) if len(seen) >= least else float("nan")

@@ -200,7 +200,40 @@ def coverage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("keyframe").agg(F.count_distinct("cx", "cy").alias("covered"), F.count("*").alias("summed"))
 
 
-QUERIES = {f.__name__: f for f in (filtered_explorer_rows, all_families, label_search, explorer_page, row_runs, detector_histogram, keyframe_neighbours, wire_columns, latest_reviews, cluster_reviews, review_feedback, keyframe_groups, annotations_from_features, annotation_status, prompt_classes, built_ground_truth, class_dictionary, cutout_membership, reading_consensus, lower_median_levels, supported_readings, benchmark_prompts, url_names, text_codes, reading_scores, compatible_readings, reading_counters, csv_rows, coverage_area)}
+def displayed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.predictions(spark, sf_dir).withColumnRenamed("score", "match_score")
+    return X.displayed(p, 25.0).select("id", "match_score")
+
+
+def excluded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("label"))
+    return X.without_labels(o, [" 1-urgent", "2-HIGH "]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def allowed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = F.array(*[F.struct(F.lit(v).alias("value"), F.lit(a).cast("double").alias("low"), F.lit(b).cast("double").alias("high")) for v, a, b in ((0, None, 0.0), (1, 0.0, 0.5), (2, 0.5, None))])
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-5.0, -5.0), (5.0, -5.0), (5.0, 5.0), (-5.0, 5.0))])
+    c = I.candidates(spark, sf_dir).withColumns({"lng": F.col("x"), "lat": F.col("z")})
+    return X.on_levels(c, [0, 2], bands, "y", ring).select("id")
+
+
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = X.detection_summary(I.boxes(spark, sf_dir), ["label"])
+    return s.select("label", "n_keyframes", "n", "median", "most", *[R(F.col(q), 6, q) for q in ("q25", "q50", "q75")])
+
+
+def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates' places in the panorama of keyframe 0 of their map, which looks north."""
+    from terravane.functions import geodesy as G
+    from terravane.functions import panorama as P
+
+    p = I.poses(spark, sf_dir).where("keyframe = 0").select("geo_ref", G.xyz(F.col("px"), F.col("py"), F.col("pz")).alias("o"), G.quaternion(F.col("qw"), F.col("qx"), F.col("qy"), F.col("qz")).alias("q"))
+    c = I.candidates(spark, sf_dir).join(F.broadcast(p), "geo_ref")
+    at = c.select("id", P.project_point(F.col("o"), F.col("q"), G.xyz(F.col("x"), F.col("y"), F.col("z"))).alias("p"))
+    return at.select("id", *[R(F.col(f"p.{k}"), 5, k) for k in ("theta", "phi", "distance", "u", "v")])
+
+
+QUERIES = {f.__name__: f for f in (filtered_explorer_rows, all_families, label_search, explorer_page, row_runs, detector_histogram, keyframe_neighbours, wire_columns, latest_reviews, cluster_reviews, review_feedback, keyframe_groups, annotations_from_features, annotation_status, prompt_classes, built_ground_truth, class_dictionary, cutout_membership, reading_consensus, lower_median_levels, supported_readings, benchmark_prompts, url_names, text_codes, reading_scores, compatible_readings, reading_counters, csv_rows, coverage_area, displayed_results, excluded_labels, allowed_levels, detection_summary, projected_points)}
 _ROWS = f"{I.CANDIDATES}, rws AS (SELECT *, degrees(width) * degrees(height) AS area, CASE WHEN lower(source) LIKE '%yolo%' THEN 'yolo' WHEN lower(source) LIKE '%grounding%' OR lower(source) LIKE '%gdino%' THEN 'gdino' ELSE 'other' END AS family FROM candidates)"
 _LOG = "log AS (SELECT event_id, ts, user_id % 300 AS id, event_type AS query, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'false_positive' ELSE 'true_positive' END AS status FROM events)"
 ORACLE_SQL = {
@@ -244,4 +277,11 @@ ORACLE_SQL = {
     "csv_rows": "SELECT n_regionkey, '[' || string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) || ']' AS nations FROM nation GROUP BY 1",
     "coverage_area": f"""WITH {I.BOXES}, b AS (SELECT keyframe, floor(x0 / 10)::INT AS a, floor(least(x1, 99) / 10)::INT AS b, floor(y0 / 10)::INT AS c, floor(least(y1, 99) / 10)::INT AS d FROM boxes WHERE id % 8 = 1), x AS (SELECT keyframe, c, d, unnest(range(a, b + 1)) AS cx FROM b), y AS (SELECT keyframe, cx, unnest(range(c, d + 1)) AS cy FROM x)
         SELECT keyframe, count(DISTINCT row(cx, cy)) AS covered, count(*) AS summed FROM y GROUP BY keyframe""",
+    "displayed_results": f"WITH {I.PREDICTIONS} SELECT id, score AS match_score FROM predictions WHERE score >= 0.75",
+    "excluded_labels": "SELECT label, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS label FROM orders) WHERE label IS NULL OR lower(label) NOT IN ('1-urgent', '2-high') GROUP BY label",
+    "allowed_levels": f"WITH {I.CANDIDATES} SELECT id FROM candidates WHERE (y <= 0.0 OR y > 0.5) AND x > -5 AND x < 5 AND z > -5 AND z < 5",
+    "detection_summary": f"""WITH {I.BOXES}, e AS (SELECT label, keyframe, count(*) AS k FROM boxes GROUP BY ALL), s AS (SELECT label, count(*) AS n_keyframes, sum(k)::BIGINT AS n, median(k) AS median, max(k) AS most FROM e GROUP BY label)
+        SELECT s.*, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.75), 6) AS q75 FROM boxes JOIN s USING (label) GROUP BY ALL""",
+    "projected_points": f"""WITH {I.CANDIDATES}, d AS (SELECT id, x, y - 1.6 AS y, z, sqrt(x * x + (y - 1.6) * (y - 1.6) + z * z) AS r FROM candidates), a AS (SELECT *, atan2(x, -z) AS t, asin(y / r) AS p FROM d)
+        SELECT id, round(t, 5) AS theta, round(p, 5) AS phi, round(r, 5) AS distance, round((t + pi()) / (2 * pi()) - floor((t + pi()) / (2 * pi())), 5) AS u, round((pi() / 2 - p) / pi(), 5) AS v FROM a""",
 }

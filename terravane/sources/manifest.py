@@ -87,3 +87,12 @@ def graph_edges(spark: SparkSession, path: str) -> DataFrame:
     c = F.from_json("f.geometry.coordinates", "array<array<double>>")
     ok = (F.coalesce(F.size(c), F.lit(0)) >= 2) & F.forall(c, lambda p: F.size(p) >= 2)
     return f.select("index", F.when(ok, F.get(c, 0)).alias("start"), F.when(ok, F.element_at(c, -1)).alias("end"), F.array_distinct(F.coalesce("f.properties.levels", F.array())).alias("levels"), (~F.coalesce(ok, F.lit(False))).alias("malformed"))
+
+
+def read_config(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON configuration that may have comments and trailing commas, by a schema."""
+    whole = spark.read.text(path, wholetext=True)
+    # strings are kept as they are; comments and commas before a closing bracket go
+    plain = F.regexp_replace("value", r'("(?:[^"\\]|\\.)*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    plain = F.regexp_replace(plain, r'("(?:[^"\\]|\\.)*")|,(?=\s*[}\]])', "$1")
+    return whole.select(F.from_json(plain, schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")

@@ -323,3 +323,26 @@ def test_job_states(spark):
     lines = [(1, '{"job":"a","event":"progress","done":1,"total":3}'), (2, "noise"), (3, '{"job":"a","event":"finished","done":3,"total":3,"message":"ok"}'), (4, '{"job":"b","event":"error","message":"no"}')]
     out = resume.job_states(resume.progress_events(spark.createDataFrame(lines, "at long, value string"))).orderBy("job").collect()
     assert [(r.job, r.state, r.done, r.message) for r in out] == [("a", "finished", 3, "ok"), ("b", "failed", None, "no")]
+
+
+def test_config_with_comments(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{ // maps\n "maps": [{"map_id": "a//b", "path": ""}, /* two */ {"map_id": "c", "path": "/x",},],\n}')
+    rows = N.read_config(spark, str(tmp_path / "c.json"), "maps array<struct<map_id:string,path:string>>").select(F.inline("maps"))
+    assert [tuple(r) for r in N.registry(rows, "/maps/").orderBy("map_id").collect()] == [("a//b", "/maps/a//b"), ("c", "/x")]
+    with pytest.raises(Exception, match="configured twice"):
+        N.registry(rows.union(rows), "/maps").collect()
+
+
+def test_window_median():
+    from terravane.operators.kernels import window_median
+
+    image = np.full((4, 6), np.nan)
+    image[0, 5], image[0, 0], image[1, 1] = 1.0, 2.0, 9.0
+    assert window_median(image, 0, 0, 1) == 2.0 and np.isnan(window_median(image, 3, 3, 1))
+
+
+def test_projection_undoes_the_lift(spark):
+    q = G.quaternion(F.lit(math.cos(0.4)), F.lit(0.0), F.lit(math.sin(0.4)), F.lit(0.0))
+    o = G.xyz(F.lit(1.0), F.lit(2.0), F.lit(3.0))
+    r = one(spark, P.project_point(o, q, G.lift(o, q, F.lit(0.7), F.lit(-0.2), F.lit(5.0)))).c0
+    assert (r.theta, r.phi, r.distance) == (pytest.approx(0.7), pytest.approx(-0.2), pytest.approx(5.0))
