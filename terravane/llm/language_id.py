@@ -191,7 +191,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     @batches(spec)
     def identify(batch):
         texts, langs, scores = Texts(batch.column(2)), [], []
-        for i, j in texts.pieces(1 << 20):
+        for i, j in texts.pieces(1 << 18):
             own, score = shared.value.predict(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
             langs += own
             scores.append(score)
@@ -207,7 +207,7 @@ def known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     def keep(texts: Texts) -> np.ndarray:
         out = np.zeros(len(texts), bool)
-        for i, j in texts.pieces(1 << 20):
+        for i, j in texts.pieces(1 << 18):
             langs, _ = shared.value.predict(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
             out[i:j] = np.array(langs, object) != "und"
         return out
