@@ -1,9 +1,9 @@
 """Line deduplication: an exact set-similarity join of lines; DataFrame functions only.
 
-A line's tokens are its distinct five-word shingles (a shorter line is one token). Lines of the same
-words are one class. Classes meet on the rarest n - ceil(0.8 n) + 1 of their tokens: first each with the earliest class
-that has the token, so that a token of k classes gives k - 1 pairs, then those that found no earlier match with the rest of
-their columns. Sizes and places bound the pairs, and the whole sets decide.
+A line's tokens are its distinct five-word shingles (a shorter line is one token). Equal lines are one
+class. Classes meet on the rarest n - ceil(0.8 n) + 1 of their tokens: first each with the earliest class that has the
+token and a few just before it, so that a token of k classes gives some k pairs, then those that found no earlier match
+with all earlier ones of their tokens. Sizes and places bound the pairs, and the whole sets decide.
 """
 
 from __future__ import annotations
@@ -17,10 +17,15 @@ from terravane.llm.common import BROADCAST, checkpoint_base, if_small, written
 #: Counters of the sketch that says how frequent tokens are.
 BUCKETS = 1 << 16
 SIZE = 5
+#: Earlier classes of a token, besides the first, that each class is held against at once.
+BEFORE = 3
 
 
 def _words(line: Column) -> Column:
-    spaced = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
+    """Lower-cased runs of other than white space."""
+    low = F.lower(line)
+    other = [F.contains(low, F.lit(c)) for c in "\t\x0b\x0c\r"]  # rare: most lines need no replacement
+    spaced = F.when(other[0] | other[1] | other[2] | other[3], F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
     return F.array_remove(F.split(spaced, " "), "")
 
 
@@ -34,20 +39,29 @@ def _tokens(words: str) -> Column:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """doc_id, version (a hash of the text), line number, line and its class's two hashes; lines without words are left out."""
-    return (
-        rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("words", _words(F.col("line")))
-        .where("size(words) > 0")
-        .select("doc_id", "version", "at", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
-    )
+    """d and at: a line's place in the order of all lines; its text, two hashes of it, and where it is from. Lines without words are left out.
+
+    d is the id (null: the greatest number), at the line's number with 20 bits of a hash of its text's, for rows of one id with other texts.
+    """
+    each = rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    return each.where(F.col("line").rlike(r"[^ \t\x0b\f\r]")).select(
+        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.expr("shiftleft(cast(number as bigint), 20) | (version & 1048575)").alias("at"),
+        "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "version", "number",
+    )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
-    """Those of the pairs (x later than y) whose whole sets reach the similarity."""
-    a, b = (sets.select(F.col("h1").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("x", "y"))
-    overlap = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return pairs.join(a, "x").join(b, "y").where(denom * overlap >= numer * (F.size("x_tokens") + F.size("y_tokens") - overlap)).select("x", "y")
+    """The later ones (d, at) of the pairs whose whole sets reach the similarity."""
+    y = sets.select(F.col("d").alias("yd"), F.col("at").alias("yat"), F.col("tokens").alias("y"))
+    overlap = F.size(F.array_intersect("tokens", "y"))
+    both = pairs.join(sets, ["d", "at"]).join(y, ["yd", "yat"])
+    return both.where(denom * overlap >= numer * (F.size("tokens") + F.size("y") - overlap)).select("d", "at").distinct()
+
+
+def _admissible(numer: int, denom: int) -> str:
+    """Whether sizes (n, yn) and places in the order (p, yp) let two sets with this token reach the similarity."""
+    need = f"({numer} * (n + yn) + {numer} + {denom} - 1) div ({numer} + {denom})"
+    return f"{denom} * n >= {numer} * yn AND {denom} * yn >= {numer} * n AND p <= n - {need} AND yp <= yn - {need}"
 
 
 def removed_lines(rows: DataFrame, numer: int = 4, denom: int = 5) -> DataFrame:
@@ -55,55 +69,59 @@ def removed_lines(rows: DataFrame, numer: int = 4, denom: int = 5) -> DataFrame:
     spark = rows.sparkSession
     checkpoint_base(spark)
     lines = _lines(rows)
-    tokens = lines.select("h1", "h2", "doc_id", "at", _tokens("words").alias("tokens"))
+    near = _admissible(numer, denom)
 
     # how frequent tokens are, over all lines: a row for each counter
-    sketch = lines.select(F.explode(_tokens("words")).alias("t")).groupBy(F.expr(f"cast(t & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
+    each = lines.select(_words(F.col("line")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - SIZE, F.lit(0)))).alias("i"))
+    token = f"CASE WHEN size(w) >= {SIZE} THEN xxhash64({', '.join(f'get(w, i + {k})' for k in range(SIZE))}) ELSE xxhash64(w, size(w)) END"
+    sketch = each.groupBy(F.expr(f"cast({token} & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
     table = {r["b"]: r["l"] for r in sketch.select("b", F.floor(F.log2("n") * 4).cast("int").alias("l")).collect()}  # at most BUCKETS numbers
     level = f"get(from_json('{[table.get(b, 0) for b in range(BUCKETS)]}', 'array<bigint>'), cast(t & {BUCKETS - 1} as int))"  # folded to a constant
 
     # the order of the tokens: level first, then hash
-    keyed = tokens.withColumn("n", F.size("tokens"))
+    keyed = lines.select("h1", "h2", "d", "at", _words(F.col("line")).alias("w")).select("h1", "h2", "d", "at", _tokens("w").alias("tokens")).withColumn("n", F.size("tokens"))
     keyed = keyed.withColumn("keys", F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft({level}, 55) | shiftrightunsigned(t, 9))), 1, n - cast(ceil({numer} * n / {denom}) as int) + 1)"))
-    classes = keyed.groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.col("at"), "n", "keys")).alias("f"))
-    entries = classes.select(F.explode("f.keys").alias("key"), "h1", F.col("f.d").alias("d"), F.expr("shiftleft(cast(f.at as bigint), 32) | f.n").alias("place"))
-
-    # stars: each entry of a token that several classes have, with the earliest of them
-    w = Window.partitionBy("key")
-    early = F.min(F.struct("d", "place", "h1")).over(w)
-    stars = entries.withColumn("k", F.count("*").over(w)).withColumn("c", early).where("k > 1")
-    stars = written(stars.select("key", "h1", "d", "place", F.col("c.h1").alias("c1"), F.col("c.place").alias("c_place")), "line-stars")
-    near = f"({denom} * (place & 4294967295) >= {numer} * (c_place & 4294967295)) AND ({denom} * (c_place & 4294967295) >= {numer} * (place & 4294967295))"
-    pairs = written(stars.where("h1 <> c1").where(near).select(F.col("h1").alias("x"), F.col("c1").alias("y")).distinct(), "line-pairs")
-
-    def sets(nodes: DataFrame) -> DataFrame:
-        """The whole sets of some classes, each from any of its lines."""
-        own = _lines(rows).select("h1", "words").join(if_small(nodes, 24), "h1", "left_semi").dropDuplicates(["h1"])
-        return written(own.select("h1", _tokens("words").alias("tokens")), "line-sets")
-
-    nodes = lambda p: p.select(F.col("x").alias("h1")).union(p.select(F.col("y").alias("h1"))).distinct()
-    first = written(_verified(pairs, sets(nodes(pairs)), numer, denom).select(F.col("x").alias("h1")).distinct(), "line-first")
+    classes = keyed.groupBy("h1", "h2").agg(F.min(F.struct("d", "at", "n", "keys")).alias("f"))
+    entries = classes.select(F.posexplode("f.keys").alias("p", "key"), "f.d", "f.at", "f.n")
+    order = Window.partitionBy("key").orderBy("d", "at")
+    several = F.lead("d").over(order).isNotNull() | F.lag("d").over(order).isNotNull()
+    stars = written(entries.withColumn("several", several).where("several").drop("several"), "line-stars")
+
+    # each entry of a token that several classes have, with the earliest of them and a few just before it
+    other = F.struct(F.col("d").alias("yd"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("p").alias("yp"))
+    before = F.array(F.first(other).over(order), *[F.lag(other, k).over(order) for k in range(1, BEFORE + 1)])
+    tested = stars.withColumn("before", before).select("d", "at", "n", "p", F.explode("before").alias("o")).where("o IS NOT NULL").select("d", "at", "n", "p", "o.*")
+    pairs = written(tested.where("NOT (d = yd AND at = yat)").where(near).select("d", "at", "yd", "yat").distinct(), "line-pairs")
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        """The whole sets of the pairs' lines."""
+        nodes = pairs.select("d", "at").union(pairs.select("yd", "yat")).distinct()
+        own = lines.select("d", "at", "line").join(if_small(nodes, 32), ["d", "at"], "left_semi").dropDuplicates(["d", "at"])
+        return written(own.select("d", "at", _words(F.col("line")).alias("w")).select("d", "at", _tokens("w").alias("tokens")), "line-sets")
+
+    matched = written(_verified(pairs, sets(pairs), numer, denom), "line-first")
 
     # those without a match so far, with all earlier ones of their tokens
-    open_ = stars.where("h1 <> c1").join(first, "h1", "left_anti").select("key", F.col("h1").alias("x"), F.col("d").alias("xd"), F.col("place").alias("c_place"))
-    rest = stars.where("h1 <> c1").select("key", F.col("h1").alias("y"), "d", "place").join(open_, "key").where("struct(d, place, y) < struct(xd, c_place, x)").where(near)
-    rest = written(rest.select("x", "y").distinct(), "line-rest")
-    second = _verified(rest, sets(nodes(rest)), numer, denom).select(F.col("x").alias("h1")).distinct()
-    matched = written(first.union(second).distinct(), "line-matched")
+    open_ = stars.join(matched, ["d", "at"], "left_anti")
+    earlier = stars.select("key", F.col("d").alias("yd"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("p").alias("yp"))
+    rest = open_.join(earlier, "key").where("struct(yd, yat) < struct(d, at)").where(near).select("d", "at", "yd", "yat").distinct()
+    rest = written(rest.join(pairs, ["d", "at", "yd", "yat"], "left_anti"), "line-rest")
+    if not rest.isEmpty():
+        matched = written(matched.union(_verified(rest, sets(rest), numer, denom)), "line-matched")
 
     # every line of a class but the first one, and the first one too where an earlier class matches
-    where_ = lines.select("h1", "h2", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "version", "at", "doc_id")
-    firsts = where_.groupBy("h1", "h2").agg(F.min(F.struct("d", "at", "version")).alias("f"), F.count("*").alias("k")).join(matched.withColumn("gone", F.lit(True)), "h1", "left")
-    some = written(firsts.where("k > 1 OR gone").select("h1", "h2", "f", F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
-    lost = where_.join(some, ["h1", "h2"]).where("gone OR f <> struct(d, at, version)")
-    return lost.groupBy("doc_id", "version").agg(F.collect_set("at").alias("gone"))
+    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("k")).select("h1", "h2", "f.*", "k")
+    firsts = firsts.join(matched.withColumn("gone", F.lit(True)), ["d", "at"], "left")
+    some = written(firsts.where("k > 1 OR gone").select("h1", "h2", F.col("d").alias("fd"), F.col("at").alias("fat"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
+    lost = lines.drop("line").join(some, ["h1", "h2"]).where("gone OR NOT (d = fd AND at = fat)")
+    return lost.groupBy("doc_id", "version").agg(F.collect_set("number").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
     """All columns of docs, with the text cut down to the lines that stay, and __lines and __removed (their numbers).
 
     Lines are compared as lower-cased words. A line goes if an earlier line has the same words, or a similarity (Jaccard, of the
-    five-word shingles) of numer / denom or more; earlier is by id (null last), then place, then a hash of the text. The lines that stay
+    five-word shingles) of numer / denom or more; earlier is by id (null last), then place, then a hash of the text (of which 20 bits count). The lines that stay
     keep their order. Lines without words stay. A null text stays null; repeated rows are treated alike.
 
     Names of docs other than the id's and the text's may be any: they are carried as they are.
