@@ -39,7 +39,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 POSES = """poses AS (
     SELECT g.geo_ref, k.keyframe, k.keyframe * 1.5 AS px, 1.6 AS py, k.keyframe * -0.5 AS pz,
            cos(k.keyframe * 0.15) AS qw, 0.0 AS qx, sin(k.keyframe * 0.15) AS qy, 0.0 AS qz
-    FROM (SELECT DISTINCT label AS keyframe FROM embeddings) k, (SELECT unnest([0, 1, 2, 3]) AS geo_ref) g
+    FROM (SELECT DISTINCT label AS keyframe FROM embeddings) k, (SELECT unnest([0, 1, 2, 3])::BIGINT AS geo_ref) g
 )"""
 
 

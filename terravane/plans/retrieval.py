@@ -177,7 +177,7 @@ ORACLE_SQL = {
             FROM ordered WHERE rn <= 2 * n AND rn <= 200 GROUP BY keyframe
         ), scored AS (SELECT *, {RATIO} AS match_score FROM groups WHERE similarity >= 0.0)
         SELECT keyframe, round(similarity, 6) AS similarity, round(match_score, 6) AS match_score, n_observations,
-               row_number() OVER (ORDER BY match_score DESC, similarity DESC, keyframe) AS rank
+               (row_number() OVER (ORDER BY match_score DESC, similarity DESC, keyframe))::INTEGER AS rank
         FROM scored QUALIFY rank <= 20""",
     "exact_top_k": """SELECT e.vec_id AS id, round(1 - pow(list_distance(e.embedding::DOUBLE[], q.v::DOUBLE[]), 2) / 2, 6) AS similarity
         FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) q
@@ -187,7 +187,7 @@ ORACLE_SQL = {
     "per_map_top_k": f"WITH {HITS} SELECT id % 3 AS geo_ref, id, round(similarity, 6) AS similarity FROM hits QUALIFY row_number() OVER (PARTITION BY id % 3 ORDER BY similarity DESC, id) <= 7",
     "keyframe_best": f"WITH {HITS} SELECT keyframe, round(max(similarity), 6) AS similarity FROM hits WHERE id % 2 = 0 OR id % 3 = 0 GROUP BY keyframe ORDER BY max(hits.similarity) DESC, keyframe LIMIT 10",
     "enriched_candidates": f"""WITH {_BOTH}, {HITS}
-        SELECT c.geo_ref, c.id, c.keyframe, round(h.similarity, 4) AS similarity, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(px, 3) AS px, round(pz, 3) AS pz, source
+        SELECT c.geo_ref, c.id, c.keyframe, round(h.similarity, 4) AS similarity, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z, round(px, 3)::DOUBLE AS px, round(pz, 3)::DOUBLE AS pz, source
         FROM (SELECT * FROM hits ORDER BY similarity DESC, id LIMIT 300) h JOIN candidates c ON c.id = h.id JOIN poses p ON p.geo_ref = c.geo_ref AND p.keyframe = c.keyframe WHERE placed""",
     "index_coverage": f"WITH {_BOTH} {_COVER.format(w='')}",
     "keyframe_states": f"""WITH {_BOTH}, v AS ({_COVER.format(w='AND c.keyframe % 4 <> 1')})
@@ -202,8 +202,8 @@ ORACLE_SQL = {
     "kept_keyframes": f"WITH {I.CANDIDATES} SELECT geo_ref, id, keyframe FROM candidates WHERE keyframe % 2 = 0",
     "missing_keyframes": f"WITH {_BOTH} SELECT geo_ref, keyframe FROM poses EXCEPT SELECT geo_ref, keyframe FROM candidates",
     "rank_with_floor": f"""WITH {HITS}, g AS (SELECT keyframe AS cluster_id, max(similarity) AS similarity FROM hits GROUP BY keyframe), s AS (SELECT *, {RATIO} AS match_score FROM g WHERE similarity >= 0.05)
-        SELECT cluster_id, round(similarity, 6) AS similarity, round(match_score, 6) AS match_score, row_number() OVER (ORDER BY match_score DESC, similarity DESC, cluster_id) AS rank FROM s QUALIFY rank <= 8""",
-    "observation_lists": f"""WITH {HITS} SELECT (keyframe - 1)::BIGINT AS cluster_id, row_number() OVER (PARTITION BY keyframe ORDER BY similarity DESC, id) AS place, id, round(similarity, 6) AS similarity
+        SELECT cluster_id, round(similarity, 6) AS similarity, round(match_score, 6) AS match_score, (row_number() OVER (ORDER BY match_score DESC, similarity DESC, cluster_id))::INTEGER AS rank FROM s QUALIFY rank <= 8""",
+    "observation_lists": f"""WITH {HITS} SELECT (keyframe - 1)::BIGINT AS cluster_id, (row_number() OVER (PARTITION BY keyframe ORDER BY similarity DESC, id))::INTEGER AS place, id, round(similarity, 6) AS similarity
         FROM hits WHERE keyframe >= 1 QUALIFY place <= 5""",
     "cluster_keyframes": f"WITH {HITS} SELECT id % 6 - 1 AS cluster_id, string_agg(DISTINCT keyframe::VARCHAR, ',' ORDER BY keyframe::VARCHAR) AS keyframe_ids FROM hits WHERE id % 6 >= 1 GROUP BY 1",
     "supported_clusters": f"""WITH {HITS}, c AS (SELECT id, keyframe, (id // 9) % 40 - 1 AS k FROM hits WHERE id % 4 <> 1), s AS (SELECT k, dense_rank() OVER (ORDER BY k) - 1 AS n FROM c WHERE k >= 0 GROUP BY k HAVING count(DISTINCT keyframe) >= 7)
@@ -214,7 +214,7 @@ ORACLE_SQL = {
         r AS (SELECT *, CASE WHEN max(s) OVER () - 0.1 > 1e-6 THEN greatest(0.0, least(1.0, (s - 0.1) / (max(s) OVER () - 0.1))) ELSE 1.0 END AS relative FROM g)
         SELECT keyframe, round(relative, 6) AS relative, round(0.65 * relative + 0.35 * least(1.0, n), 6) AS score FROM r""",
     "latent_explorer": """WITH s AS (SELECT p.vec_id AS prompt, e.vec_id AS id, list_cosine_similarity(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS similarity FROM embeddings e, embeddings p WHERE p.vec_id < 3)
-        SELECT prompt, id, round(similarity, 5) AS similarity, similarity >= 0.1 AS active, row_number() OVER (PARTITION BY prompt ORDER BY similarity DESC, id) AS rank,
+        SELECT prompt, id, round(similarity, 5) AS similarity, similarity >= 0.1 AS active, (row_number() OVER (PARTITION BY prompt ORDER BY similarity DESC, id))::INTEGER AS rank,
                round((similarity - min(similarity) OVER w) / (max(similarity) OVER w - min(similarity) OVER w), 5) AS size FROM s WINDOW w AS (PARTITION BY prompt) QUALIFY rank <= 25""",
     "textness": """SELECT e.vec_id AS id, round(max(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[])) FILTER (p.vec_id < 3) - max(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[])) FILTER (p.vec_id > 3), 5) AS textness
         FROM embeddings e, embeddings p WHERE p.vec_id IN (1, 2, 5, 6) GROUP BY e.vec_id""",
