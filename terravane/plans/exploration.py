@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravane.functions import text as T
 from terravane.operators import annotations as A
+from terravane.operators import detections as D
 from terravane.operators import enrichment as E
 from terravane.operators import explorer as X
 from terravane.plans import inputs as I
@@ -233,7 +234,53 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("id", *[R(F.col(f"p.{k}"), 5, k) for k in ("theta", "phi", "distance", "u", "v")])
 
 
-QUERIES = {f.__name__: f for f in (filtered_explorer_rows, all_families, label_search, explorer_page, row_runs, detector_histogram, keyframe_neighbours, wire_columns, latest_reviews, cluster_reviews, review_feedback, keyframe_groups, annotations_from_features, annotation_status, prompt_classes, built_ground_truth, class_dictionary, cutout_membership, reading_consensus, lower_median_levels, supported_readings, benchmark_prompts, url_names, text_codes, reading_scores, compatible_readings, reading_counters, csv_rows, coverage_area, displayed_results, excluded_labels, allowed_levels, detection_summary, projected_points)}
+def postprocessed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = I.boxes(spark, sf_dir).where("id % 8 = 5")
+    return D.postprocessed(b, 100, 100, 0.05, 0.002, 0.2, 0.4).select("keyframe", "id")
+
+
+def _textual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = I.boxes(spark, sf_dir).withColumn("textness", F.round((F.col("x1") - F.col("x0")) / 60, 6))
+    return b.withColumn("key", F.when(F.col("label") == "R", F.lit("k"))).withColumn("cluster", F.col("id") % 300 - 1).withColumn("position", F.when(F.col("id") % 5 != 0, F.col("x0")))
+
+
+def unread_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.reading_candidates(_textual(spark, sf_dir), 0.5, but=["yolo", ""], after=1000).select("id", "source")
+
+
+def reading_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.selected_for_reading(_textual(spark, sf_dir), 0.3, 5, 3, 4, 500).select("cluster", "id", "textness")
+
+
+def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.predictions(spark, sf_dir).withColumn("lat", F.when(F.col("id") % 9 == 0, F.lit(float("nan"))).when(F.col("id") % 9 == 1, F.lit(float("inf"))).otherwise(F.round("lat", 5)))
+    return D.ranked_rows(p, ["prompt"], [F.desc("score"), "id"], ["lat"]).select("prompt", "id", "rank", "lat")
+
+
+def object_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _textual(spark, sf_dir).withColumn("read", (F.col("id") % 4).cast("int"))
+    return t.select("id", *D.object_record(["x0", "y1"], "textness", "read", {0: "none", 1: "engine", 2: "manual"}))
+
+
+def artifact_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = I.candidates(spark, sf_dir).select((F.col("id") % 40).alias("cluster"), F.col("id").alias("place"), "keyframe")
+    k = o.select("keyframe").distinct().withColumn("level", F.when(F.col("keyframe") % 3 != 0, F.col("keyframe") % 4))
+    return D.first_usable_level(o, ["cluster"], k)
+
+
+def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = I.points(spark, sf_dir)
+    o = p.select("id", (F.col("id") % 50).alias("keyframe"), "lat", "lng")
+    k = p.where("id < 40").select(F.col("id").alias("keyframe"), "lat", "lng")
+    return D.observation_headings(o.where("id >= 50"), k).select("id", R(F.col("heading"), 4, "heading"))
+
+
+def observation_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = I.candidates(spark, sf_dir).select("id", F.col("placed").alias("valid"), F.round("x", 4).alias("lat"), F.round("y", 4).alias("lng"), F.round("depth", 4).alias("alt"))
+    return D.stored_coordinates(c).select("id", F.get("coordinates", 0).alias("lat"), F.get("coordinates", 2).alias("alt"))
+
+
+QUERIES = {f.__name__: f for f in (filtered_explorer_rows, all_families, label_search, explorer_page, row_runs, detector_histogram, keyframe_neighbours, wire_columns, latest_reviews, cluster_reviews, review_feedback, keyframe_groups, annotations_from_features, annotation_status, prompt_classes, built_ground_truth, class_dictionary, cutout_membership, reading_consensus, lower_median_levels, supported_readings, benchmark_prompts, url_names, text_codes, reading_scores, compatible_readings, reading_counters, csv_rows, coverage_area, displayed_results, excluded_labels, allowed_levels, detection_summary, projected_points, postprocessed_detections, unread_candidates, reading_selection, flat_results, object_records, artifact_levels, headings, observation_coordinates)}
 _ROWS = f"{I.CANDIDATES}, rws AS (SELECT *, degrees(width) * degrees(height) AS area, CASE WHEN lower(source) LIKE '%yolo%' THEN 'yolo' WHEN lower(source) LIKE '%grounding%' OR lower(source) LIKE '%gdino%' THEN 'gdino' ELSE 'other' END AS family FROM candidates)"
 _LOG = "log AS (SELECT event_id, ts, user_id % 300 AS id, event_type AS query, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'false_positive' ELSE 'true_positive' END AS status FROM events)"
 ORACLE_SQL = {
@@ -284,4 +331,16 @@ ORACLE_SQL = {
         SELECT s.*, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.75), 6) AS q75 FROM boxes JOIN s USING (label) GROUP BY ALL""",
     "projected_points": f"""WITH {I.CANDIDATES}, d AS (SELECT id, x, y - 1.6 AS y, z, sqrt(x * x + (y - 1.6) * (y - 1.6) + z * z) AS r FROM candidates), a AS (SELECT *, atan2(x, -z) AS t, asin(y / r) AS p FROM d)
         SELECT id, round(t, 5) AS theta, round(p, 5) AS phi, round(r, 5) AS distance, round((t + pi()) / (2 * pi()) - floor((t + pi()) / (2 * pi())), 5) AS u, round((pi() / 2 - p) / pi(), 5) AS v FROM a""",
+    "unread_candidates": f"WITH {I.BOXES} SELECT id, source FROM boxes WHERE round((x1 - x0) / 60, 6) > 0.5 AND label <> 'R' AND coalesce(source, '') NOT IN ('yolo', '') AND id > 1000",
+    "reading_selection": f"""WITH {I.BOXES}, t AS (SELECT id % 300 - 1 AS cluster, keyframe, id, round((x1 - x0) / 60, 6) AS textness FROM boxes WHERE id % 300 >= 1 AND id % 5 <> 0 AND round((x1 - x0) / 60, 6) >= 0.3),
+        s AS (SELECT * FROM t WHERE cluster IN (SELECT cluster FROM t GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT keyframe) >= 3)),
+        a AS (SELECT *, row_number() OVER (PARTITION BY cluster, keyframe ORDER BY textness DESC, id) > 1 AS again FROM s),
+        b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY again, textness DESC, id) <= 4)
+        SELECT cluster, id, textness FROM b ORDER BY textness DESC, id LIMIT 500""",
+    "flat_results": f"WITH {I.PREDICTIONS} SELECT prompt, id, (row_number() OVER (PARTITION BY prompt ORDER BY score DESC, id))::INTEGER AS rank, CASE WHEN id % 9 >= 2 THEN round(lat, 5)::DOUBLE END AS lat FROM predictions",
+    "object_records": f"WITH {I.BOXES} SELECT id, round_even(x0, 1) AS x0, round_even(y1, 1) AS y1, round_even(round((x1 - x0) / 60, 6), 4) AS textness, CASE id % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'engine' WHEN 2 THEN 'manual' ELSE 'unknown' END AS source_name FROM boxes",
+    "artifact_levels": f"WITH {I.CANDIDATES} SELECT id % 40 AS cluster, min_by(keyframe % 4, id) AS level FROM candidates WHERE keyframe % 3 <> 0 GROUP BY 1",
+    "headings": f"""WITH {I.POINTS}, j AS (SELECT o.id, radians(k.lat) AS a, radians(o.lat) AS b, radians(o.lng - k.lng) AS d FROM points o LEFT JOIN points k ON k.id = o.id % 50 AND k.id < 40 WHERE o.id >= 50),
+        h AS (SELECT id, degrees(atan2(sin(d) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(d))) AS h FROM j) SELECT id, round(((h % 360) + 360) % 360, 4) AS heading FROM h""",
+    "observation_coordinates": f"WITH {I.CANDIDATES} SELECT id, CASE WHEN placed AND depth IS NOT NULL THEN round(x, 4) END AS lat, CASE WHEN placed THEN round(depth, 4) END AS alt FROM candidates",
 }

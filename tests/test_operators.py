@@ -346,3 +346,39 @@ def test_projection_undoes_the_lift(spark):
     o = G.xyz(F.lit(1.0), F.lit(2.0), F.lit(3.0))
     r = one(spark, P.project_point(o, q, G.lift(o, q, F.lit(0.7), F.lit(-0.2), F.lit(5.0)))).c0
     assert (r.theta, r.phi, r.distance) == (pytest.approx(0.7), pytest.approx(-0.2), pytest.approx(5.0))
+
+
+def test_geojson_files(spark, tmp_path):
+    from terravane.sources import geojson
+
+    (tmp_path / "a.json").write_text(
+        '{"features": [{"geometry": {"type": "Point", "coordinates": [2.0, 48.0]}, "properties": {"class": "Bench", "theta": 1, "phi": "0.5", "width": 1, "height": 1, "depth": 3}},'
+        ' {"geometry": {"type": "Polygon", "coordinates": [[[0,0],[0,3],[3,0],[0,0]]]}, "properties": {"name": "b", "theta": "NaN"}}, {"geometry": {"type": "LineString", "coordinates": [[0,0],[1,1]]}}]}'
+    )
+    f = geojson.read_features(spark, str(tmp_path / "a.json"))
+    assert [(r.class_name, r.lat, r.lng) for r in A.annotation_rows(f).collect()] == [("Bench", 48.0, 2.0), ("b", 0.75, 0.75)]
+    s = [r.s for r in f.select(geojson.source_block(F.col("properties")).alias("s")).collect()]
+    assert s[0].depth == 3.0 and s[1] is None and s[2] is None
+
+
+def test_encoders_are_made_once_a_task(spark):
+    from terravane.operators import detections
+
+    def load():
+        return lambda texts: np.array([[len(t), 1.0] for t in texts])
+
+    rows = spark.createDataFrame([(1, "ab"), (2, "abc")], "id long, text string")
+    assert [r.embedding for r in detections.encoded(rows, "text", load).orderBy("id").collect()] == [[2.0, 1.0], [3.0, 1.0]]
+
+
+def test_first_usable_level_and_headings(spark):
+    from terravane.operators import detections
+
+    o = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (1, 3, 9)], "cluster long, place long, keyframe long")
+    k = spark.createDataFrame([(7, None), (8, 2), (9, 0)], "keyframe long, level int")
+    assert detections.first_usable_level(o, ["cluster"], k).first().level == 2
+
+
+def test_an_annotation_s_group_has_at_least_the_radius(spark):
+    m = spark.createDataFrame([("p", 1, 48.0, 2.0, 3.0), ("p", 1, 48.2, 2.2, 9.0)], "prompt string, group_id long, lat double, lng double, accuracy double")
+    assert A.group_centres(m, ["prompt"], 5.0).first().radius == 9.0 and A.group_centres(m, ["prompt"], 20.0).first().radius == 20.0
