@@ -60,9 +60,10 @@ def view_quaternions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes clipped to an image, with their share of it and aspect within bounds."""
-    b = I.boxes(spark, sf_dir).withColumn("b", B.clipped(B.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")), F.lit(100), F.lit(100))).where("b IS NOT NULL")
-    share, aspect = B.area(F.col("b")) / 10000, B.aspect(F.col("b"))
-    return b.where(share.between(0.002, 0.12) & aspect.between(0.25, 4.0)).select("id", R(share, 6, "share"), R(aspect, 6, "aspect"))
+    w, h = B.clipped_size(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), 100, 100)
+    b = I.boxes(spark, sf_dir).select("id", w.alias("w"), h.alias("h")).where("w > 0 AND h > 0")
+    sized = b.select("id", (F.col("w") * F.col("h") / 10000).alias("share"), (F.col("w") / F.greatest(F.col("h"), F.lit(1e-6))).alias("aspect"))
+    return sized.where(F.col("share").between(0.002, 0.12) & F.col("aspect").between(0.25, 4.0)).select("id", R(F.col("share"), 6, "share"), R(F.col("aspect"), 6, "aspect"))
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
