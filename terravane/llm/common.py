@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -25,7 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     # numpy arrays of a batch are some times its bytes: smaller batches than the default 64 MB
     if spark.conf.get(BATCH, None) == "67108864b":
-        spark.conf.set(BATCH, "16m")
+        spark.conf.set(BATCH, "4m")
     return spark
 
 
@@ -50,7 +51,14 @@ def checkpoint_base(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_base(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _forget(df.sparkSession)
+    return out
+
+
+def _forget(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that nothing refers to any more; it looks for them when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,6 +69,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in the shared folder, read back: a cut of the lineage that keeps columns compressed."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _forget(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +87,15 @@ def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
 
 
+def trim() -> None:
+    """Give a task's memory back: Python workers stay, idle, beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def filtered(docs: DataFrame, text_col: str, keep) -> DataFrame:
     """The rows of docs for whose texts `keep` (Texts -> mask) is true, with all columns as they are."""
     at = docs.columns.index(text_col)
@@ -86,6 +104,7 @@ def filtered(docs: DataFrame, text_col: str, keep) -> DataFrame:
         for batch in it:
             if batch.num_rows:
                 yield batch.filter(pa.array(keep(Texts(batch.column(at).cast(pa.string())))))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -134,6 +153,7 @@ def batches(spec):
             for batch in it:
                 if batch.num_rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c.cast(t) for c, (_, t) in zip(make(batch), spec, strict=True)], schema=schema)
+            trim()
 
         return run
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, id_and_text, if_small, prepare, written
+from terravane.llm.common import Texts, batches, id_and_text, if_small, prepare, trim, written
 from terravane.llm.components import connected_components
 from terravane.llm.words import MIX, Words
 
@@ -24,7 +24,7 @@ from terravane.llm.words import MIX, Words
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Counters of the sketch that says which n-grams are frequent, and how many travel together.
-BUCKETS, TOGETHER = 1 << 20, 1 << 14
+BUCKETS, TOGETHER = 1 << 22, 1 << 16
 SIZE = 5
 
 
@@ -53,7 +53,13 @@ def ngram_sets(data: np.ndarray, bounds: np.ndarray, size: int = SIZE) -> tuple[
 
 
 def _bucket(grams: np.ndarray) -> np.ndarray:
-    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+
+def _narrow(counts: np.ndarray) -> str:
+    """The narrowest unsigned type that holds the counts."""
+    most = int(counts.max())
+    return next(t for t, end in (("<u1", 1 << 8), ("<u2", 1 << 16), ("<u4", 1 << 32), ("<u8", 1 << 64)) if most < end)
 
 
 def column_levels(rows: DataFrame) -> np.ndarray:
@@ -70,26 +76,28 @@ def column_levels(rows: DataFrame) -> np.ndarray:
             texts = Texts(batch.column(0))
             for i, j in texts.pieces(1 << 19):
                 grams, _ = ngram_sets(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
-                total += np.bincount(_bucket(grams), minlength=BUCKETS)
+                np.add.at(total, _bucket(grams), 1)
                 some = True
         if some:
-            parts = total.astype("<i8").reshape(-1, TOGETHER)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype("<i4").tobytes() if p.max() < 1 << 31 else p.tobytes() for p in parts], pa.binary())], schema=schema)
+            parts = total.reshape(-1, TOGETHER)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(_narrow(p)).tobytes() for p in parts], pa.binary())], schema=schema)
+        del total
+        trim()
 
     def total(it):
         sums: dict[int, np.ndarray] = {}
         for batch in it:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw, "<i4" if len(raw) == 4 * TOGETHER else "<i8").astype(np.int64)
+                own = np.frombuffer(raw, f"<u{len(raw) // TOGETHER}").astype(np.int64)
                 sums[part] = sums[part] + own if part in sums else own
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sums.values()], pa.binary())], schema=schema)
 
     spec = "part int, counts binary"
     summed = rows.select("text").mapInArrow(count, spec).repartition(8, "part").mapInArrow(total, spec).collect()  # BUCKETS numbers
     out = np.zeros(BUCKETS)
     for r in summed:
-        out[r["part"] * TOGETHER : (r["part"] + 1) * TOGETHER] = np.frombuffer(r["counts"], "<i8")
+        out[r["part"] * TOGETHER : (r["part"] + 1) * TOGETHER] = np.frombuffer(r["counts"], "<u8")
     return np.minimum(np.log2(out + 1) * 4, 255).astype(np.uint8)
 
 
@@ -305,7 +313,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = prepare(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
-    levels = spark.sparkContext.broadcast(column_levels(rows))  # one MB, whatever the input
+    levels = spark.sparkContext.broadcast(column_levels(rows))  # 4 MB, whatever the input
     signs = written(_signatures(rows, levels, numer, denom), "ngram-signatures")
     known = signs.where("n > 0 AND doc_id IS NOT NULL")
     several = written(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies")).where("copies > 1"), "ngram-copies")

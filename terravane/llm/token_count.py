@@ -20,7 +20,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White
 PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 AGREED = re.compile("[\x00-\x1b\x20-\x7e\u00c0-\u024f\u2013\u2014\u2018-\u201d\u2026]*")
 #: Pre-tokens that a worker remembers of late, and as many from before.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 NEVER = np.int32(2**31 - 1)
 
 
@@ -38,13 +38,14 @@ def pre_tokens(text: str) -> list[str]:
 class Memory:
     """What has been made of pre-tokens, in two generations, so that frequent ones stay when it is full."""
 
-    def __init__(self):
+    def __init__(self, most: int = REMEMBERED):
+        self.most = most
         self.late: dict = {}
         self.before: dict = {}
 
     def of(self, parts: list[list[str]], make) -> dict:
         """A dict with all the pre-tokens; make: list of new ones -> what is made of each."""
-        if len(self.late) > REMEMBERED:
+        if len(self.late) > self.most:
             self.late, self.before = {}, self.late
         new = set().union(*parts).difference(self.late)
         again = new & self.before.keys()

@@ -27,7 +27,7 @@ from tokenizers import Tokenizer
 
 from terravane.llm.common import Texts, id_and_text, scratch_path
 from terravane.llm.prefix_sums import bases
-from terravane.llm.token_count import Memory, pre_tokens
+from terravane.llm.token_count import REMEMBERED, Memory, pre_tokens
 
 
 def _open(folder: str):
@@ -50,7 +50,7 @@ class _Encoder:
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.special = set(special)
         self.end = np.array([end_id], self.type).tobytes()
-        self.memory = Memory()
+        self.memory = Memory(2 * REMEMBERED)
 
     def pieces(self, text: str) -> list[str]:
         if self.split is None or self.split.search(text) is None:
