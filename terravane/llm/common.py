@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -24,6 +25,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    # workers give large arrays back as soon as they are done with, instead of keeping them for later beside the executor
+    for name, value in WORKERS.items():
+        env.setdefault(name, value)
     # numpy arrays of a batch are some times its bytes: smaller batches than the default 64 MB
     if spark.conf.get(BATCH, None) == "67108864b":
         spark.conf.set(BATCH, "4m")

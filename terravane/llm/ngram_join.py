@@ -203,6 +203,7 @@ def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (column[kept], x[kept], xp[kept], x[first[kept]], xp[first[kept]])], schema=_STAR_SCHEMA)
                 if (pairs := _neighbours(column, x, xp, kept, numer, denom)) is not None:
                     yield pairs
+        trim()
 
     def across(it):
         """Stars among the rows that were sent, ordered by column; what is done already passes through."""
@@ -230,7 +231,8 @@ def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(v[star]) for v in (column, x, xp, cx, cp)], schema=_STAR_SCHEMA)
             if (pairs := _neighbours(column, x, xp, new, numer, denom)) is not None:
                 yield pairs
-            tail, centre = tuple(v[-BACK:] for v in (column, x, xp)), (int(cx[-1]), int(cp[-1]))
+            tail, centre = tuple(v[-BACK:].copy() for v in (column, x, xp)), (int(cx[-1]), int(cp[-1]))
+        trim()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = rows.select("x", "n", "columns").mapInArrow(within, _STAR)
