@@ -75,7 +75,7 @@ POINTS = """points AS (
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 600")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     k = F.col("c_custkey")
     return c.select(
         k.alias("id"), (48.85 + (k * 37 % 1009) * 0.00002).alias("lat"), (2.35 + (k * 53 % 997) * 0.00003).alias("lng"), F.col("c_mktsegment").alias("class_name"),
@@ -91,7 +91,7 @@ PREDICTIONS = """predictions AS (
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 500")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     k = F.col("p_partkey")
     return p.select(
         k.alias("id"), (48.85 + (k * 41 % 1013) * 0.00002).alias("lat"), (2.35 + (k * 59 % 991) * 0.00003).alias("lng"),
