@@ -324,6 +324,21 @@ def suppressed(order, overlap, keep) -> np.ndarray:
     return out
 
 
+def overlapping(boxes, overlap, threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Places i, j of rows (x0, y0, x1, y1, by ascending x0) that overlap more than the threshold, i < j.
+
+    The intersection is wider than the threshold's share of either box, so j begins within the rest of i's width.
+    """
+    reach = np.searchsorted(boxes[:, 0], boxes[:, 2] - threshold * (boxes[:, 2] - boxes[:, 0]) + 1e-9 * (1 + np.abs(boxes[:, 2])), "right")
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(len(boxes)):
+        hit = np.flatnonzero(overlap(k, slice(k + 1, reach[k])) > threshold) if reach[k] > k + 1 else ()
+        if len(hit):
+            left.append(np.full(len(hit), k))
+            right.append(k + 1 + hit)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def thinned(xyz, ids, least) -> np.ndarray:
     """Mask of the rows that stay when, by descending id, a row nearer than `least` to one that stays goes."""
     out = np.zeros(len(ids), bool)

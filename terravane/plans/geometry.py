@@ -68,12 +68,11 @@ def box_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of boxes of one keyframe, planar and on the sphere."""
-    b = I.boxes(spark, sf_dir).where("id % 16 = 1")
-    s = B.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    own = b.select("keyframe", "id", s.alias("b"), P.bfov(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), F.lit(200.0), F.lit(100.0)).alias("f"))
-    other = own.select("keyframe", F.col("id").alias("id2"), F.col("b").alias("b2"), F.col("f").alias("f2"))
-    j = own.join(other, "keyframe").where("id < id2").withColumn("iou", B.iou(F.col("b"), F.col("b2"))).where("iou > 0.55")
-    return j.select("id", "id2", R(F.col("iou"), 6, "iou"), R(P.bfov_iou(F.col("f"), F.col("f2")), 6, "spherical"))
+    names = ("x0", "y0", "x1", "y1")
+    j = U.overlapping_pairs(I.boxes(spark, sf_dir), ["keyframe"], list(names), 0.55)
+    box = lambda s: B.box(*[F.col(f"{s}_{n}") for n in names])
+    view = lambda s: P.bfov(*[F.col(f"{s}_{n}") for n in names], F.lit(200.0), F.lit(100.0))
+    return j.select(F.col("a").alias("id"), F.col("b").alias("id2"), R(B.iou(box("a"), box("b")), 6, "iou"), R(P.bfov_iou(view("a"), view("b")), 6, "spherical"))
 
 
 def cubemap_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +162,7 @@ def thinned_poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def suppressed_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = I.boxes(spark, sf_dir).where("id % 4 = 1")
+    b = I.boxes(spark, sf_dir)
     return U.suppress(b, ["keyframe"], ["x0", "y0", "x1", "y1"], "score", 0.3, "below").select("keyframe", "id")
 
 
@@ -174,13 +173,13 @@ def suppressed_spherical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def best_after_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps within a cutout go first, then the 200 best stay."""
-    b = I.boxes(spark, sf_dir).where("id % 8 = 3")
+    b = I.boxes(spark, sf_dir)
     return U.suppress(b, ["keyframe", "label"], ["x0", "y0", "x1", "y1"], "score", 0.5, "drop_above").orderBy(F.desc("score"), "id").limit(200).select("id")
 
 
 def diverse_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight candidates of each label, one of each keyframe first."""
-    b = I.boxes(spark, sf_dir).where("keyframe < 6")
+    b = I.boxes(spark, sf_dir)
     return U.diverse(b, ["label"], "keyframe", 8, "score").select("label", "keyframe", "id")
 
 

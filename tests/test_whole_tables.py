@@ -48,3 +48,33 @@ def test_points_and_predictions_are_whole(spark, con):
 @pytest.mark.parametrize("name", "earth_centred points_in_polygon nearest_annotations nearest_markers annotation_pairs anchored_labels annotation_status prompt_classes displayed_results flat_results headings admissible_pairs curve_of_hits average_precision_of_hits shared_threshold accepted_by_class distances_and_bearings".split())
 def test_whole_points_and_predictions(spark, con, name):
     agree(spark, con, name, POINTS, PREDICTIONS)
+
+
+@pytest.mark.parametrize("name, cut", [("overlaps", " WHERE id % 16 = 1"), ("diverse_readings", " WHERE keyframe < 6")])
+def test_whole_boxes(spark, con, name, cut):
+    agree(spark, con, name, cut)
+
+
+def stay(rows, keys, keep):
+    """Ids of rows (id, keyframe, label, score, box) that stay when better ones of the group go first, all pairs compared."""
+
+    def overlap(a, b):
+        i = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        return i / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - i)
+
+    kept = {}
+    for r in sorted(rows, key=lambda r: (-r.score, r.id)):
+        own = kept.setdefault(tuple(r[k] for k in keys), [])
+        box = (r.x0, r.y0, r.x1, r.y1)
+        if all(keep(overlap(box, o)) for _, o, _ in own):
+            own.append((r.id, box, r.score))
+    return [(i, s) for own in kept.values() for i, _, s in own]
+
+
+def test_suppression_of_all_boxes(spark):
+    small = "/root/testdata/sf0.001"
+    rows, run = I.boxes(spark, small).collect(), entry.queries()
+    got = {r.id for r in run["suppressed_planar"](spark, small).collect()}
+    assert got == {i for i, _ in stay(rows, ["keyframe"], lambda o: o < 0.3)}
+    best = sorted(stay(rows, ["keyframe", "label"], lambda o: o <= 0.5), key=lambda r: (-r[1], r[0]))[:200]
+    assert [r.id for r in run["best_after_suppression"](spark, small).collect()] == [i for i, _ in best]
