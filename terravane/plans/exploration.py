@@ -77,7 +77,7 @@ def cluster_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def review_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed ids of queries, which meet in any case and with blanks around."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 4000")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     r = e.select(F.lit("m").alias("slug"), F.concat(F.lit(" "), F.upper("event_type")).alias("query"), (F.col("user_id") % 40).alias("target"), F.when(F.col("event_id") % 3 == 0, "false_positive").otherwise("true_positive").alias("status"))
     q = e.select(F.lit("m").alias("slug"), F.col("event_type").alias("query")).distinct()
     s = A.review_sets(r, q)
@@ -110,13 +110,13 @@ def prompt_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 300")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     row = lambda d: d.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")).alias("class_name"), F.lit("q").alias("query"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y"))
     return A.ground_truth(row(c.where("c_custkey % 2 = 0")), row(c.where("c_custkey % 2 = 1")))
 
 
 def class_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 400")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     return A.unique_names(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.when(F.col("p_partkey") % 3 == 0, "area").otherwise("point").alias("type"))).select("id", "unique_name")
 
 
@@ -137,7 +137,7 @@ def lower_median_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supported_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = I.boxes(spark, sf_dir).where("id % 16 = 1").withColumn("cluster", F.col("id") % 1000)
+    b = I.boxes(spark, sf_dir).withColumn("cluster", F.col("id") % 1000)
     return A.supported_groups(b, ["cluster"], 4, 3).select("cluster", "keyframe", "id")
 
 
@@ -168,7 +168,7 @@ def text_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reading_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored readings against a query, and keys of readings."""
     k = F.col("p_partkey")
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 300")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
     text = F.concat(F.when(k % 3 == 0, "Quai ").when(k % 3 == 1, "Voie n°").otherwise("Répère "), (k % 13).cast("string"), F.when(k % 4 == 0, "B").when(k % 4 == 1, " a").otherwise(""))
     rows = p.select(k.alias("id"), text.alias("text"), T.reading_key(T.reading_identity(text)).alias("key"))
     q = T.reading_query(F.lit("voie 7 A"))
@@ -196,7 +196,7 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of a 10 by 10 grid that boxes of a keyframe cover, together and summed."""
-    b = I.boxes(spark, sf_dir).where("id % 8 = 1").select("keyframe", "id", *[F.floor(F.least(F.col(c), F.lit(99.0)) / 10).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    b = I.boxes(spark, sf_dir).select("keyframe", "id", *[F.floor(F.least(F.col(c), F.lit(99.0)) / 10).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
     cells = b.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
     return cells.groupBy("keyframe").agg(F.count_distinct("cx", "cy").alias("covered"), F.count("*").alias("summed"))
 
@@ -235,7 +235,7 @@ def projected_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def postprocessed_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = I.boxes(spark, sf_dir).where("id % 8 = 5")
+    b = I.boxes(spark, sf_dir)
     return D.postprocessed(b, 100, 100, 0.05, 0.002, 0.2, 0.4).select("keyframe", "id")
 
 

@@ -78,3 +78,24 @@ def test_suppression_of_all_boxes(spark):
     assert got == {i for i, _ in stay(rows, ["keyframe"], lambda o: o < 0.3)}
     best = sorted(stay(rows, ["keyframe", "label"], lambda o: o <= 0.5), key=lambda r: (-r[1], r[0]))[:200]
     assert [r.id for r in run["best_after_suppression"](spark, small).collect()] == [i for i, _ in best]
+
+
+@pytest.mark.parametrize(
+    "name, cut",
+    [("review_feedback", " WHERE event_id < 4000"), ("built_ground_truth", " WHERE c_custkey < 300"), ("class_dictionary", " WHERE p_partkey < 400"), ("supported_readings", " WHERE id % 16 = 1"), ("coverage_area", " WHERE id % 8 = 1")],
+)
+def test_whole_explorer_tables(spark, con, name, cut):
+    agree(spark, con, name, cut)
+
+
+def test_readings_and_detections_are_whole(spark, con):
+    run = entry.queries()
+    assert run["reading_scores"](spark, SF).count() == con.execute("SELECT count(*) FROM part").fetchone()[0]
+    small = "/root/testdata/sf0.001"
+    rows = []
+    for r in I.boxes(spark, small).collect():
+        r = type(r)(**(r.asDict() | {"x0": max(0.0, r.x0), "y0": max(0.0, r.y0), "x1": min(100.0, r.x1), "y1": min(100.0, r.y1)}))
+        if r.score >= 0.05 and 0.002 < (r.x1 - r.x0) * (r.y1 - r.y0) / 10000 < 0.2:
+            rows.append(r)
+    got = {r.id for r in run["postprocessed_detections"](spark, small).collect()}
+    assert got == {i for i, _ in stay(rows, ["keyframe"], lambda o: o <= 0.4)}
