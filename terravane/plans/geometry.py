@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terravane.functions import boxes as B
 from terravane.functions import geodesy as G
@@ -135,24 +136,24 @@ def annotation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def neighbour_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other keyframes of a map on the same level, on the floor about each keyframe."""
-    p = I.poses(spark, sf_dir).where("geo_ref = 1").select("keyframe", (F.col("keyframe") % 3).alias("level"), "px", "pz")
-    o = p.select(F.col("keyframe").alias("other"), F.col("level"), F.col("px").alias("ox"), F.col("pz").alias("oz"))
-    return p.join(o, "level").where("keyframe <> other").select("keyframe", "other", R(F.col("ox") - F.col("px"), 4, "x"), R(F.col("oz") - F.col("pz"), 4, "z"))
+    p = I.poses(spark, sf_dir).select("geo_ref", "keyframe", (F.col("keyframe") % 3).alias("level"), "px", "pz")
+    o = p.select("geo_ref", F.col("keyframe").alias("other"), F.col("level"), F.col("px").alias("ox"), F.col("pz").alias("oz"))
+    return p.join(o, ["geo_ref", "level"]).where("keyframe <> other").select("geo_ref", "keyframe", "other", R(F.col("ox") - F.col("px"), 4, "x"), R(F.col("oz") - F.col("pz"), 4, "z"))
 
 
 def view_cones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = I.poses(spark, sf_dir).where("geo_ref = 0")
+    p = I.poses(spark, sf_dir)
     c = P.view_cone(F.col("px"), F.col("pz"), F.col("keyframe") * 30.0, 60.0, 5.0)
-    return p.select("keyframe", F.posexplode(c).alias("i", "p")).select("keyframe", "i", R(F.col("p.x"), 4, "x"), R(F.col("p.z"), 4, "z"))
+    return p.select("geo_ref", "keyframe", F.posexplode(c).alias("i", "p")).select("geo_ref", "keyframe", "i", R(F.col("p.x"), 4, "x"), R(F.col("p.z"), 4, "z"))
 
 
 def ray_approaches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closest approach of the views of neighbouring candidates of a map."""
-    j = I.candidates(spark, sf_dir).join(F.broadcast(I.poses(spark, sf_dir)), ["geo_ref", "keyframe"]).where("id < 60")
-    r = j.select("id", G.xyz(F.col("px"), F.col("py"), F.col("pz")).alias("o"), G.opengl_ray(F.col("theta"), F.col("phi")).alias("d"))
-    o = r.select((F.col("id") - 1).alias("id"), F.col("o").alias("o2"), F.col("d").alias("d2"))
-    a = G.ray_closest_approach(F.col("o"), F.col("d"), F.col("o2"), F.col("d2"))
-    return r.join(o, "id").select("id", R(a["distance"], 5, "distance"), R(a["ti"], 4, "ti"), R(a["tj"], 4, "tj"))
+    """Closest approach of the views of each candidate and the next one by id of its map."""
+    j = I.candidates(spark, sf_dir).join(F.broadcast(I.poses(spark, sf_dir)), ["geo_ref", "keyframe"])
+    r = j.select("geo_ref", "id", G.xyz(F.col("px"), F.col("py"), F.col("pz")).alias("o"), G.opengl_ray(F.col("theta"), F.col("phi")).alias("d"))
+    n = r.withColumn("next", F.lead(F.struct("id", "o", "d")).over(Window.partitionBy("geo_ref").orderBy("id"))).where("next IS NOT NULL")
+    a = G.ray_closest_approach(F.col("o"), F.col("d"), F.col("next.o"), F.col("next.d"))
+    return n.select("geo_ref", "id", F.col("next.id").alias("other"), R(a["distance"], 5, "distance"), R(a["ti"], 4, "ti"), R(a["tj"], 4, "tj"))
 
 
 def thinned_poses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,7 @@ def supported_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terravane.operators import association as A
 
     c = hits(spark, sf_dir).select("id", "keyframe", (F.floor(F.col("id") / 9) % 40 - 1).cast("long").alias("cluster_id"))
-    return A.supported(c.where("id % 4 <> 1"), [], 7).select("id", "cluster_id")
+    return A.supported(c, [], 7).select("id", "cluster_id")
 
 
 def fallback_match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,36 @@ def test_readings_and_detections_are_whole(spark, con):
             rows.append(r)
     got = {r.id for r in run["postprocessed_detections"](spark, small).collect()}
     assert got == {i for i, _ in stay(rows, ["keyframe"], lambda o: o <= 0.4)}
+
+
+def test_all_hits_are_counted_for_support(spark, con):
+    agree(spark, con, "supported_clusters", " WHERE id % 4 <> 1")
+
+
+@pytest.mark.parametrize("name, one", [("neighbour_floor", "geo_ref = 1"), ("view_cones", "geo_ref = 0")])
+def test_all_maps(spark, con, name, one):
+    rows, sql = entry.queries()[name](spark, SF).collect(), entry.oracle_sql()[name]
+    assert {r.geo_ref for r in rows} == {0, 1, 2, 3} and one in sql
+    for g in range(4):
+        out = con.execute(sql.replace(one, f"geo_ref = {g}"))
+        names = [d[0] for d in out.description]
+        assert sorted(tuple(plain(r[c]) for c in names) for r in rows if r.geo_ref == g) == sorted(map(plain, out.fetchall()))
+
+
+def test_rays_of_all_neighbours_of_a_map(spark):
+    import numpy as np
+
+    from terravane.operators import kernels as K
+
+    maps = {}
+    for r in sorted(I.candidates(spark, SF).join(I.poses(spark, SF), ["geo_ref", "keyframe"]).collect(), key=lambda r: r.id):
+        d = (np.cos(r.phi) * np.sin(r.theta), np.sin(r.phi), -np.cos(r.phi) * np.cos(r.theta))
+        maps.setdefault(r.geo_ref, []).append((r.id, (r.px, r.py, r.pz), d))
+    want = {}
+    for g, own in maps.items():
+        o, d = np.array([x[1] for x in own]), np.array([x[2] for x in own])
+        gap, ti, tj = K.ray_approach(o[:-1], d[:-1], o[1:], d[1:])
+        want |= {(g, a[0], b[0]): (x, y, z) for a, b, x, y, z in zip(own, own[1:], gap, ti, tj, strict=False)}
+    got = {(r.geo_ref, r.id, r.other): (r.distance, r.ti, r.tj) for r in entry.queries()["ray_approaches"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 60
+    assert all(got[k] == pytest.approx(want[k], rel=1e-4, abs=2e-4) for k in got)
