@@ -3,44 +3,54 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Lengths are exact up to this, and beyond it rounded up to this many steps for each doubling.
-STEPS = 256
 
+def _first_best(cost: np.ndarray, docs: np.ndarray, total: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each j the least cost of a last bucket (i, j] after cost[i], least <= i < j, and the first such i.
 
-def rounded(length: Column) -> Column:
-    """The histogram's bin of a length: its upper end. Bins are bounded by the doublings of the longest length."""
-    power = F.greatest(F.floor(F.log2(F.greatest(length - 1, F.lit(1)).cast("double"))) - int(np.log2(STEPS)), F.lit(0)).cast("int")
-    step = F.expr("1L").cast("long") * F.pow(F.lit(2.0), power).cast("long")
-    return (F.ceil(length.cast("double") / step) * step).cast("long")
+    The first best i never falls as j grows, so the middle j of a run bounds both halves; all runs of a depth are looked at together.
+    """
+    n = len(lengths)
+    new, come = np.full(n + 1, -1, np.int64), np.zeros(n + 1, np.int64)
+    low, high, first, last = (np.array([x], np.int64) for x in (least + 1, n, least, n - 1))
+    while len(low):
+        mid = (low + high) // 2
+        each = np.minimum(last, mid - 1) - first + 1
+        start = np.cumsum(each) - each
+        i = np.repeat(first - start, each) + np.arange(each.sum())
+        j = np.repeat(mid, each)
+        c = cost[i] + (docs[j] - docs[i]) * lengths[j - 1] - (total[j] - total[i])
+        new[mid] = np.minimum.reduceat(c, start)
+        hit = np.flatnonzero(c == np.repeat(new[mid], each))
+        come[mid] = i[hit[np.searchsorted(hit, start)]]
+        low, high, first, last = np.r_[low, mid + 1], np.r_[mid - 1, high], np.r_[first, come[mid]], np.r_[come[mid], last]
+        some = low <= high
+        low, high, first, last = low[some], high[some], first[some], last[some]
+    return new, come
 
 
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
     """Boundaries (bucket maxima) of at most `buckets` buckets with the least padding, by dynamic programming.
 
-    lengths: sorted bins; counts: documents of each; sums: their total length. Padding of a bucket is
+    lengths: the sorted distinct lengths; counts: documents of each; sums: their total length. Padding of a bucket is
     its documents times its boundary, less their lengths. Of equally good ones the fewest, lowest boundaries win.
     """
     n = len(lengths)
     if not n:
         return []
-    docs, total = np.r_[0, np.cumsum(counts)].astype(float), np.r_[0, np.cumsum(sums)].astype(float)
-    cost = np.full(n + 1, np.inf)
-    cost[0] = 0.0
-    back = []
-    best = (np.inf, 0)
+    docs, total = np.r_[0, np.cumsum(counts, dtype=np.int64)], np.r_[0, np.cumsum(sums, dtype=np.int64)]
+    cost, back = np.zeros(n + 1, np.int64), []
+    best = None
     for k in range(min(buckets, n)):
-        new, come = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            c = cost[:j] + (docs[j] - docs[:j]) * lengths[j - 1] - (total[j] - total[:j])
-            come[j] = int(c.argmin())
-            new[j] = c[come[j]]
+        if k:
+            cost, come = _first_best(cost, docs, total, lengths, k)
+        else:
+            cost, come = np.r_[0, docs[1:] * lengths - total[1:]], np.zeros(n + 1, np.int64)
         back.append(come)
-        cost = new
-        if cost[n] < best[0]:
+        if best is None or cost[n] < best[0]:
             best = (cost[n], k)
     out, j = [], n
     for k in range(best[1], -1, -1):
@@ -63,19 +73,19 @@ def pack(lengths: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFram
     """lengths: doc_id (long) and n_tokens (long). One row per input row:
     doc_id, n_tokens, bucket (0 for the shortest), boundary, batch, slot, padding.
 
-    Boundaries come from the histogram of all lengths by dynamic programming. Inside a bucket documents
+    Boundaries come from the exact histogram of all lengths by dynamic programming, so each is a length that occurs. Inside a bucket documents
     are numbered by doc_id (rows of one id by length; null ids last), and each run of max(1, budget // boundary) of
     them is a batch, whose tokens with padding stay within the budget unless one document alone exceeds it.
     batch counts from 0 in each bucket, slot from 0 in each batch. Lengths of 0 or null get the bucket of the
     shortest boundary with 0 tokens; an empty table gives no rows.
 
-    The histogram is bounded by the bins (256 for each doubling), not by the documents. Numbers come from prefix sums of counts
+    The histogram has a row for each distinct length, at most the root of twice the tokens. Numbers come from prefix sums of counts
     over blocks of 1,024 neighbouring ids, so no task sees a whole bucket.
     """
     rows = lengths.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    bins = rows.groupBy(rounded(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("s")).collect()
-    bins.sort(key=lambda r: r["bin"])
-    bounds = best_boundaries(*(np.array([r[k] for r in bins], np.int64) for k in ("bin", "n", "s")), buckets)
+    bins = sorted(tuple(r) for r in rows.groupBy("n_tokens").agg(F.count("*")).collect())
+    length, n = np.array(bins, np.int64).reshape(-1, 2).T
+    bounds = best_boundaries(length, n, length * n, buckets)
     bucket = F.lit(None).cast("int")
     for k in range(len(bounds) - 1, -1, -1):
         bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
