@@ -180,10 +180,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     spark = prepare(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block)
-    flow = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("string").alias("items"))
+    flow = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for k, items in enumerate(blocks):
         index, last = _indexed(items, rows, window), k == len(blocks) - 1
-        flow = flow.mapInArrow(_join(spark.sparkContext.broadcast(index), last), _LAST if last else "doc_id long, text string, hits binary, items string")
+        flow = flow.mapInArrow(_join(spark.sparkContext.broadcast(index), last), _LAST if last else "doc_id long, text string, hits binary, items array<string>")
         if not last:
             flow = written(flow, "decontaminate")
     return flow
@@ -233,14 +233,14 @@ _LAST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 strin
 def _join(shared, last: bool):
     spec = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
     if not last:
-        spec = [("doc_id", pa.int64()), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.string())]
+        spec = [("doc_id", pa.int64()), ("text", pa.string()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))]
 
     @batches(spec)
     def join(batch):
         index, texts = shared.value, Texts(batch.column(1))
         n = len(texts)
         n_words, n_hit = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        before, names = batch.column(2).to_pylist(), [set(x.split("\n")) if x is not None else set() for x in batch.column(3).to_pylist()]
+        before, names = batch.column(2).to_pylist(), [set(x or ()) for x in batch.column(3).to_pylist()]
         after: list = [None] * n
         for i, j in texts.pieces(1 << 19):
             words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i], _WORD)
@@ -269,7 +269,7 @@ def _join(shared, last: bool):
                 for r in np.flatnonzero(n_hit[i:j]) + i:
                     after[r] = np.packbits(hit[words.first[r - i] : words.first[r - i + 1]]).tobytes()
         if not last:
-            return [batch.column(0), batch.column(1), after, ["\n".join(sorted(s)) if s else None for s in names]]
+            return [batch.column(0), batch.column(1), after, [sorted(s) if s else None for s in names]]
         none = hashlib.sha256(b"").hexdigest()
         digests = [hashlib.sha256(",".join(sorted(s)).encode()).hexdigest() if s else none for s in names]
         return [batch.column(0), n_words, n_hit, [len(s) for s in names], digests, n_hit > 0]

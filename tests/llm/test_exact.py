@@ -17,3 +17,15 @@ def test_boundaries_are_lengths_that_occur(spark, lengths, buckets, each):
     for length, most in each.items():
         own = sorted((r.batch, r.slot) for r in out if r.n_tokens == length)
         assert own == [(k // most, k % most) for k in range(len(own))]
+
+
+def test_items_with_newlines_in_blocks(spark):
+    items = [("a\nb", "one two three"), ("c", "four five six"), ("\n", "seven eight nine"), ("", "ten eleven twelve")]
+    text = " ".join(t for _, t in items)
+    docs = spark.createDataFrame([(1, text), (2, "four five six"), (3, "nothing")], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    digest = lambda *ids: hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    want = [(1, 12, 4, digest(*[i for i, _ in items])), (2, 3, 1, digest("c")), (3, 0, 0, digest())]
+    for block in (1 << 24, 10):
+        got = decontaminate.find_contamination(docs, bench, block=block).collect()
+        assert sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256) for r in got) == want, block
