@@ -132,3 +132,20 @@ def test_rays_of_all_neighbours_of_a_map(spark):
     got = {(r.geo_ref, r.id, r.other): (r.distance, r.ti, r.tj) for r in entry.queries()["ray_approaches"](spark, SF).collect()}
     assert got.keys() == want.keys() and len(got) > 60
     assert all(got[k] == pytest.approx(want[k], rel=1e-4, abs=2e-4) for k in got)
+
+
+def test_late_reviews_count(spark, tmp_path):
+    rows = [(3999, "click", 1), (4000, "click", 2), (400_001, "click", 3), (400_002, "view", 4)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["query"]: (r.positive, r.negative) for r in entry.queries()["review_feedback"](spark, str(tmp_path)).collect()}
+    assert got == {"click": ("2,3", "1"), "view": ("", "4")}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_pairs_of_far_annotations(spark):
+    import duckdb
+
+    con, large = duckdb.connect(), "/root/testdata/sf0.1"
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{large}/customer.parquet'")
+    want = {r[:2] for r in con.execute(entry.oracle_sql()["annotation_pairs"].replace(POINTS, "")).fetchall()}
+    assert {(r.id, r.other) for r in entry.queries()["annotation_pairs"](spark, large).collect()} == want and want
