@@ -37,3 +37,20 @@ def test_entry_and_a_few_queries_agree_with_sql(spark):
         names = [d[0] for d in out.description]
         assert sorted(names) == columns
         assert sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in out.fetchall()) == got, name
+
+
+def test_import_without_the_training_data_operators(tmp_path):
+    """With the subpackage, its tests and the pipeline deleted, or the first two only, the rest imports and has its queries."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(os.path.join(root, "terravane"), copy / "terravane", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), copy)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    for pipeline in (False, True):
+        if pipeline and os.path.exists(os.path.join(root, "corpus_pipeline.py")):
+            shutil.copy(os.path.join(root, "corpus_pipeline.py"), copy)
+        subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, check=True)
