@@ -298,15 +298,15 @@ ORACLE_SQL = {
         o AS (SELECT i AS id, i // 4 AS cluster_id FROM range(300) t(i))
         SELECT cluster_id, CASE WHEN count(*) = count(status) AND count(DISTINCT status) = 1 THEN max(status) END AS status, count(*) FILTER (status = 'true_positive') AS n_true, count(*) FILTER (status = 'false_positive') AS n_false FROM o LEFT JOIN r USING (id) GROUP BY cluster_id""",
     "review_feedback": """SELECT event_type AS query, array_to_string(list_sort(list_distinct(coalesce(list(t) FILTER (event_id % 3 <> 0), []))), ',') AS positive, array_to_string(list_sort(list_distinct(coalesce(list(t) FILTER (event_id % 3 = 0), []))), ',') AS negative
-        FROM (SELECT *, user_id % 40 AS t FROM events WHERE event_id < 4000) GROUP BY event_type""",
+        FROM (SELECT *, user_id % 40 AS t FROM events) GROUP BY event_type""",
     "keyframe_groups": f"WITH {I.CANDIDATES} SELECT keyframe, max(round(width, 6)) AS score, count(*) AS n, min_by(level, id) FILTER (level IS NOT NULL) AS level, round(min_by(depth, id) FILTER (depth IS NOT NULL), 6) AS depth FROM candidates GROUP BY keyframe",
     "annotation_status": f"WITH {I.POINTS} SELECT count(*) AS n, count(DISTINCT prompt) AS n_prompts FROM points",
     "prompt_classes": f"WITH {I.POINTS} SELECT prompt, class_name FROM (SELECT prompt, class_name, count(*) AS k FROM points GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY prompt ORDER BY k DESC, class_name) = 1",
     "annotations_from_features": """WITH s AS (SELECT *, s_suppkey AS k, 2.3 + s_suppkey * 0.001 AS x, 48.8 + s_suppkey * 0.001 AS y FROM supplier WHERE s_suppkey % 6 <> 0)
         SELECT CASE WHEN k % 7 <> 0 AND k <> 0 THEN k::VARCHAR ELSE k::VARCHAR END AS id, CASE WHEN k % 4 = 0 THEN 'n' ELSE 'c' || (k % 3) END AS class_name, CASE WHEN k % 5 <> 0 THEN 'p' || (k % 5) WHEN k % 4 = 0 THEN 'n' ELSE 'c' || (k % 3) END AS prompt,
                round(CASE WHEN k % 6 < 4 THEN y ELSE y + 0.05 / 4 END, 6)::DOUBLE AS lat, round(CASE WHEN k % 6 < 4 THEN x ELSE x + 0.03 / 4 END, 6)::DOUBLE AS lng, (CASE WHEN k % 3 = 2 THEN 2.5 ELSE 5.0 END)::DOUBLE AS accuracy FROM s""",
-    "built_ground_truth": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'q' ELSE c_mktsegment END AS class_name, CASE WHEN c_custkey % 2 = 0 THEN 'detection' ELSE 'point' END AS kind, c_acctbal AS x, c_nationkey AS y FROM customer WHERE c_custkey < 300",
-    "class_dictionary": """WITH p AS (SELECT p_partkey AS id, p_brand AS name, CASE WHEN p_partkey % 3 = 0 THEN 'area' ELSE 'point' END AS type FROM part WHERE p_partkey < 400)
+    "built_ground_truth": "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'q' ELSE c_mktsegment END AS class_name, CASE WHEN c_custkey % 2 = 0 THEN 'detection' ELSE 'point' END AS kind, c_acctbal AS x, c_nationkey AS y FROM customer",
+    "class_dictionary": """WITH p AS (SELECT p_partkey AS id, p_brand AS name, CASE WHEN p_partkey % 3 = 0 THEN 'area' ELSE 'point' END AS type FROM part)
         SELECT id, CASE WHEN type = first_value(type) OVER (PARTITION BY name ORDER BY id) THEN name ELSE name || '_' || type END AS unique_name FROM p""",
     "cutout_membership": """WITH r AS (SELECT l_orderkey % 20 AS cluster, l_suppkey AS cutout, l_suppkey % 7 AS keyframe, CASE WHEN l_linenumber > 1 THEN (l_quantity % 3)::INTEGER END AS level FROM lineitem),
         n AS (SELECT cluster, cutout, level FROM (SELECT cluster, cutout, level, count(*) AS k FROM r WHERE level IS NOT NULL GROUP BY cluster, cutout, level) QUALIFY row_number() OVER (PARTITION BY cluster, cutout ORDER BY k DESC, level) = 1)
@@ -315,14 +315,14 @@ ORACLE_SQL = {
         o AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(k) OVER w, 0) AS second, sum(k) OVER (PARTITION BY cluster) AS total FROM n WINDOW w AS (PARTITION BY cluster ORDER BY k DESC, key))
         SELECT cluster, key, k - second AS margin, round(k / total, 6) AS support, keyframes, k / total >= 0.4 AND k - second >= 10 AND keyframes >= 3 AS accepted FROM o WHERE rn = 1""",
     "lower_median_levels": f"WITH {I.CANDIDATES} SELECT keyframe, quantile_disc(level, 0.5) AS level FROM candidates WHERE level IS NOT NULL GROUP BY keyframe",
-    "supported_readings": f"WITH {I.BOXES}, b AS (SELECT id % 1000 AS cluster, keyframe, id FROM boxes WHERE id % 16 = 1) SELECT * FROM b WHERE cluster IN (SELECT cluster FROM b GROUP BY 1 HAVING count(*) >= 4 AND count(DISTINCT keyframe) >= 3)",
+    "supported_readings": f"WITH {I.BOXES}, b AS (SELECT id % 1000 AS cluster, keyframe, id FROM boxes) SELECT * FROM b WHERE cluster IN (SELECT cluster FROM b GROUP BY 1 HAVING count(*) >= 4 AND count(DISTINCT keyframe) >= 3)",
     "benchmark_prompts": "SELECT turn, count(*) AS n FROM conversations WHERE lower(trim(role)) = 'user' GROUP BY turn",
     "url_names": """SELECT page_id, list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1) AS name, substring(regexp_replace(regexp_replace(lower(trim('  Page: ' || url || '!')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS slug FROM pages""",
     "text_codes": """SELECT p_partkey AS id, 'cap/' || lpad(p_partkey::VARCHAR, 6, '0') || '.jpg' AS file, p_partkey AS row, p_partkey AS keyframe, p_partkey % 6 AS face, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE trunc(p_partkey / 7.0 - 20)::BIGINT::VARCHAR END AS level,
         lower(p_brand) || '|b' AS labels, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'maps/1/cap/' || lpad(p_partkey::VARCHAR, 6, '0') || '.jpg' END AS key FROM part""",
     "reading_counters": "SELECT CASE l_linenumber % 4 WHEN 0 THEN 'yolo' WHEN 1 THEN 'G-DINO' WHEN 2 THEN 'sam' ELSE 'unknown' END AS source, count(*) AS n, count(*) FILTER (l_returnflag <> 'N') AS n_text, count(*) FILTER (l_returnflag = 'R') AS n_key FROM lineitem GROUP BY 1",
     "csv_rows": "SELECT n_regionkey, '[' || string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) || ']' AS nations FROM nation GROUP BY 1",
-    "coverage_area": f"""WITH {I.BOXES}, b AS (SELECT keyframe, floor(x0 / 10)::INT AS a, floor(least(x1, 99) / 10)::INT AS b, floor(y0 / 10)::INT AS c, floor(least(y1, 99) / 10)::INT AS d FROM boxes WHERE id % 8 = 1), x AS (SELECT keyframe, c, d, unnest(range(a, b + 1)) AS cx FROM b), y AS (SELECT keyframe, cx, unnest(range(c, d + 1)) AS cy FROM x)
+    "coverage_area": f"""WITH {I.BOXES}, b AS (SELECT keyframe, floor(x0 / 10)::INT AS a, floor(least(x1, 99) / 10)::INT AS b, floor(y0 / 10)::INT AS c, floor(least(y1, 99) / 10)::INT AS d FROM boxes), x AS (SELECT keyframe, c, d, unnest(range(a, b + 1)) AS cx FROM b), y AS (SELECT keyframe, cx, unnest(range(c, d + 1)) AS cy FROM x)
         SELECT keyframe, count(DISTINCT row(cx, cy)) AS covered, count(*) AS summed FROM y GROUP BY keyframe""",
     "displayed_results": f"WITH {I.PREDICTIONS} SELECT id, score AS match_score FROM predictions WHERE score >= 0.75",
     "excluded_labels": "SELECT label, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS label FROM orders) WHERE label IS NULL OR lower(label) NOT IN ('1-urgent', '2-high') GROUP BY label",

@@ -225,7 +225,7 @@ ORACLE_SQL = {
         SELECT id, round(u - floor(u), 6) AS u, round(v, 6) AS v FROM r""",
     "box_predicates": f"""WITH {I.BOXES}, c AS (SELECT id, greatest(0, least(100, x1)) - greatest(0, least(100, x0)) AS w, greatest(0, least(100, y1)) - greatest(0, least(100, y0)) AS h FROM boxes)
         SELECT id, round(w * h / 10000, 6) AS share, round(w / greatest(h, 1e-6), 6) AS aspect FROM c WHERE w > 0 AND h > 0 AND w * h / 10000 BETWEEN 0.002 AND 0.12 AND w / greatest(h, 1e-6) BETWEEN 0.25 AND 4.0""",
-    "overlaps": f"""WITH {I.BOXES}, o AS (SELECT * FROM boxes WHERE id % 16 = 1), j AS (
+    "overlaps": f"""WITH {I.BOXES}, o AS (SELECT * FROM boxes), j AS (
             SELECT a.id, b.id AS id2, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS s, (b.x1 - b.x0) * (b.y1 - b.y0) AS t,
                    ((a.x0 + a.x1) / 400 - 0.5) * 2 * pi() AS ta, ((b.x0 + b.x1) / 400 - 0.5) * 2 * pi() AS tb, ((a.y0 + a.y1) / 200 - 0.5) * pi() AS pa, ((b.y0 + b.y1) / 200 - 0.5) * pi() AS pb,
                    (a.x1 - a.x0) / 200 * 2 * pi() AS wa, (b.x1 - b.x0) / 200 * 2 * pi() AS wb, (a.y1 - a.y0) / 100 * pi() AS ha, (b.y1 - b.y0) / 100 * pi() AS hb
@@ -248,10 +248,10 @@ ORACLE_SQL = {
         SELECT id, m[2] AS marker, round(m[1], 4) AS distance FROM n""",
     "annotation_pairs": f"""WITH {I.POINTS}, d AS (SELECT a.id, b.id AS other, {I.haversine_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} AS d FROM points a JOIN points b ON a.prompt = b.prompt AND a.class_name = b.class_name AND a.id < b.id)
         SELECT id, other, round(d, 4) AS distance FROM d WHERE d <= 40""",
-    "neighbour_floor": f"WITH {I.POSES} SELECT a.keyframe, b.keyframe AS other, round(b.px - a.px, 4)::DOUBLE AS x, round(b.pz - a.pz, 4)::DOUBLE AS z FROM poses a JOIN poses b ON a.geo_ref = 1 AND b.geo_ref = 1 AND a.keyframe % 3 = b.keyframe % 3 AND a.keyframe <> b.keyframe",
-    "view_cones": f"""WITH {I.POSES}, i AS (SELECT keyframe, px, pz, unnest(range(0, 50)) AS i FROM poses WHERE geo_ref = 0)
-        SELECT keyframe, i::INTEGER AS i, round(CASE WHEN i = 0 THEN px ELSE px + 5 * sin(radians(keyframe * 30.0 - 30 + (i - 1) * 60.0 / 48)) END, 4)::DOUBLE AS x, round(CASE WHEN i = 0 THEN pz ELSE pz - 5 * cos(radians(keyframe * 30.0 - 30 + (i - 1) * 60.0 / 48)) END, 4)::DOUBLE AS z FROM i""",
-    "diverse_readings": f"""WITH {I.BOXES}, a AS (SELECT *, row_number() OVER (PARTITION BY label, keyframe ORDER BY score DESC, id) > 1 AS again FROM boxes WHERE keyframe < 6)
+    "neighbour_floor": f"WITH {I.POSES} SELECT a.geo_ref, a.keyframe, b.keyframe AS other, round(b.px - a.px, 4)::DOUBLE AS x, round(b.pz - a.pz, 4)::DOUBLE AS z FROM poses a JOIN poses b ON a.geo_ref = b.geo_ref AND a.keyframe % 3 = b.keyframe % 3 AND a.keyframe <> b.keyframe",
+    "view_cones": f"""WITH {I.POSES}, i AS (SELECT geo_ref, keyframe, px, pz, unnest(range(0, 50)) AS i FROM poses)
+        SELECT geo_ref, keyframe, i::INTEGER AS i, round(CASE WHEN i = 0 THEN px ELSE px + 5 * sin(radians(keyframe * 30.0 - 30 + (i - 1) * 60.0 / 48)) END, 4)::DOUBLE AS x, round(CASE WHEN i = 0 THEN pz ELSE pz - 5 * cos(radians(keyframe * 30.0 - 30 + (i - 1) * 60.0 / 48)) END, 4)::DOUBLE AS z FROM i""",
+    "diverse_readings": f"""WITH {I.BOXES}, a AS (SELECT *, row_number() OVER (PARTITION BY label, keyframe ORDER BY score DESC, id) > 1 AS again FROM boxes)
         SELECT label, keyframe, id FROM a QUALIFY row_number() OVER (PARTITION BY label ORDER BY again, score DESC, id) <= 8""",
     "capped_reading_attempts": f"WITH {I.BOXES} SELECT keyframe, id FROM boxes QUALIFY row_number() OVER (PARTITION BY keyframe ORDER BY id) + CASE WHEN keyframe % 4 = 1 THEN 3 ELSE 0 END <= 5",
     "anchored_labels": f"""WITH {I.POINTS}, {I.PREDICTIONS}, {_PAIRS}, o AS (SELECT x.id, other, d, lead(d) OVER w AS nd, row_number() OVER w AS n FROM pairs x JOIN points a ON a.id = x.other AND a.prompt = x.prompt WHERE d <= 80 WINDOW w AS (PARTITION BY x.id ORDER BY d, other))

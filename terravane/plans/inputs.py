@@ -70,7 +70,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 POINTS = """points AS (
     SELECT c_custkey AS id, 48.85 + (c_custkey * 37 % 1009) * 0.00002 AS lat, 2.35 + (c_custkey * 53 % 997) * 0.00003 AS lng,
            c_mktsegment AS class_name, 'p' || (c_custkey % 4)::VARCHAR AS prompt, 3.0 + c_custkey % 5 AS accuracy, c_custkey % 3 AS level
-    FROM customer WHERE c_custkey <= 600
+    FROM customer
 )"""
 
 
@@ -86,7 +86,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREDICTIONS = """predictions AS (
     SELECT p_partkey AS id, 48.85 + (p_partkey * 41 % 1013) * 0.00002 AS lat, 2.35 + (p_partkey * 59 % 991) * 0.00003 AS lng,
            'p' || (p_partkey % 4)::VARCHAR AS prompt, (p_partkey * 7 % 101) / 100.0 AS score, p_partkey % 4 AS level
-    FROM part WHERE p_partkey <= 500
+    FROM part
 )"""
 
 

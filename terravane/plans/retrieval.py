@@ -206,7 +206,7 @@ ORACLE_SQL = {
     "observation_lists": f"""WITH {HITS} SELECT (keyframe - 1)::BIGINT AS cluster_id, (row_number() OVER (PARTITION BY keyframe ORDER BY similarity DESC, id))::INTEGER AS place, id, round(similarity, 6) AS similarity
         FROM hits WHERE keyframe >= 1 QUALIFY place <= 5""",
     "cluster_keyframes": f"WITH {HITS} SELECT id % 6 - 1 AS cluster_id, string_agg(DISTINCT keyframe::VARCHAR, ',' ORDER BY keyframe::VARCHAR) AS keyframe_ids FROM hits WHERE id % 6 >= 1 GROUP BY 1",
-    "supported_clusters": f"""WITH {HITS}, c AS (SELECT id, keyframe, (id // 9) % 40 - 1 AS k FROM hits WHERE id % 4 <> 1), s AS (SELECT k, dense_rank() OVER (ORDER BY k) - 1 AS n FROM c WHERE k >= 0 GROUP BY k HAVING count(DISTINCT keyframe) >= 7)
+    "supported_clusters": f"""WITH {HITS}, c AS (SELECT id, keyframe, (id // 9) % 40 - 1 AS k FROM hits), s AS (SELECT k, dense_rank() OVER (ORDER BY k) - 1 AS n FROM c WHERE k >= 0 GROUP BY k HAVING count(DISTINCT keyframe) >= 7)
         SELECT id, coalesce(n, -1) AS cluster_id FROM c LEFT JOIN s USING (k)""",
     "fallback_match_scores": f"""WITH {HITS}, g AS (SELECT keyframe, max(similarity) AS s, count(*) % 5 AS k FROM hits GROUP BY keyframe)
         SELECT keyframe, round(coalesce(CASE WHEN keyframe % 3 = 0 THEN 0.5 END, 0.5 * CASE WHEN max(s) OVER () > 0 THEN s / max(s) OVER () ELSE 0 END + 0.3 * keyframe / 10.0 + 0.2 * least(1.0, k / 3.0)), 6)::DOUBLE AS match_score FROM g""",
