@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import os
-import tempfile
 import uuid
+from contextlib import contextmanager
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +21,16 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 WORKERS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's own setting: the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the driver's checkout (on a cluster: from --py-files)."""
+    """Let Python workers import this package from the driver's checkout (on a cluster: from --py-files).
+
+    Two things stay set for the session: the workers' environment, and smaller Arrow batches where the session has the
+    default. Both take effect when a plan runs, which is after the operators have returned.
+    """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
@@ -39,47 +48,126 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="terravane-")
-        sc.setCheckpointDir(base)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    checkpoint_base(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _forget(df.sparkSession)
-    return out
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
+
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_base(spark)}/{name}-{uuid.uuid4().hex}"
 
-def _forget(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that nothing refers to any more; it looks for them when the driver collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
 
+def open_folder(folder: str):
+    """The file system of a folder's URI, and the path in it; a local path means storage that all machines mount."""
+    u = urlparse(folder)
+    if u.scheme in ("", "file"):
+        return fs.LocalFileSystem(), unquote(u.path) if u.scheme else folder
+    return fs.FileSystem.from_uri(folder)
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+#: Folders that results still read, oldest first.
+_READ: list[str] = []
+
+
+def delete(folder: str) -> None:
+    at, path = open_folder(folder)
+    if at.get_file_info(path).type == fs.FileType.Directory:
+        at.delete_dir(path)
+
+
+def mark() -> int:
+    """How many folders results read by now; for release."""
+    return len(_READ)
+
+
+def release(since: int = 0) -> None:
+    """Delete the folders that results made after a mark read: call it when those results have been consumed.
+
+    What is left goes when the program ends.
+    """
+    while len(_READ) > since:
+        delete(_READ.pop())
+
+
+@atexit.register
+def _release_all() -> None:
+    try:
+        release()
+    except OSError:  # the storage has gone before the program
+        pass
+
+
+@contextmanager
+def _own_shuffles_go(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+class Scratch:
+    """The tables that a run of an operator writes into the shared folder, each a cut of the lineage.
+
+    Use it in a `with`: at its end the tables go, but for those that were kept because the result reads them.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.n, self.kept = spark, scratch_path(spark, name), 0, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at, path = open_folder(self.folder)
+        for f in at.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if f.base_name not in self.kept:
+                at.delete_dir(f.path)
+        if self.kept:
+            _READ.append(self.folder)
+        else:
+            delete(self.folder)
+
+    def written(self, df: DataFrame, name: str = "table", keep: bool = False) -> DataFrame:
+        """df as Parquet, read back; keep: the operator's result reads it."""
+        own = f"{name}-{self.n}"
+        self.n += 1
+        if keep:
+            self.kept.append(own)
+        path = f"{self.folder}/{own}"
+        with _own_shuffles_go(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = own
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing will read any more."""
+        for df in tables:
+            delete(f"{self.folder}/{df._scratch}")
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where docs has a column of that name."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as Parquet in the shared folder, read back: a cut of the lineage that keeps columns compressed."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _forget(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def column(name: str):
+    """The column of this very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id as long and the text, so that no other column, however named, can clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
 
 
 #: Estimated bytes up to which a side of a join is broadcast; a larger one is shuffled.
@@ -88,7 +176,9 @@ BROADCAST = 32 << 20
 
 def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df, marked for broadcast if a count shows that it is small."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
+    with _own_shuffles_go(df.sparkSession):
+        small = df.count() * row_bytes <= BROADCAST
+    return F.broadcast(df) if small else df
 
 
 def trim() -> None:
@@ -110,7 +200,8 @@ def filtered(docs: DataFrame, text_col: str, keep) -> DataFrame:
                 yield batch.filter(pa.array(keep(Texts(batch.column(at).cast(pa.string())))))
         trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # mapInArrow reads a dot in a name as a field
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 class Texts:

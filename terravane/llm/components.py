@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import checkpointed
+from terravane.llm.common import Scratch
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, keep: bool = False) -> DataFrame:
     """links: u and v (long). One row per node that has a link to another one: node, component (its smallest node).
 
     Each round is two joins with minima that were combined before the shuffle, so a node with very many links is
-    one row on the side that is not split; rounds are logarithmic in the nodes, and each is checkpointed.
+    one row on the side that is not split; rounds are logarithmic in the nodes; each is written and its predecessor deleted.
+    keep: the result outlives the scratch.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = checkpointed(edges)
+    edges = scratch.written(edges, "edges")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = checkpointed(small)
+        joined = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = scratch.written(joined.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        scratch.drop(edges)
+        edges = small
         new = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if new == state:
             break
         state = new
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    found = scratch.written(found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components", keep)
+    scratch.drop(edges)
+    return found

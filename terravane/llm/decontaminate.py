@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, filtered, id_and_text, prepare, written
-from terravane.llm.words import MIX, Words
+from terravane.llm.common import Scratch, Texts, batches, column, filtered, id_and_text, prepare
+from terravane.llm.words import MIX, Words, shingles
 
-#: Bytes of benchmark text that one broadcast index is made of; a larger benchmark is joined in blocks.
-BLOCK = 16 << 20
+#: Bytes of benchmark text that one broadcast index is made of (some 15 times that in memory); a larger benchmark is joined in blocks.
+BLOCK = 4 << 20
 SHINGLE = 5
 _BITS = 20
 #: Bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` after lower-casing.
@@ -47,70 +47,68 @@ class Shingles:
 
 
 class Benchmark:
-    """Windows of a block of items: their words, the items that have them, and their shingles."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.names = sorted({i for i, _ in items})
-        rank = {n: k for k, n in enumerate(self.names)}
-        known: dict[bytes, int] = {}
-        self.items: list[set] = []
-        self.words: list[np.ndarray] = []
-        texts: list[list[bytes]] = []
-        for name, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            w = Words(raw, np.array([0, len(raw)]), _WORD)
-            own = [w.letters[a:b].tobytes() for a, b in zip(w.place[:-1], w.place[1:], strict=True)]
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if size else 0):
-                key = b" ".join(own[i : i + size])
-                if key not in known:
-                    known[key] = len(texts)
-                    texts.append(own[i : i + size])
-                    self.items.append(set())
-                    self.words.append(w.hash[i : i + size])
-                self.items[known[key]].add(rank[name])
-        self.size = np.array([len(t) for t in texts], np.int64)
-        self.letters = np.frombuffer(b"".join(b"".join(t) for t in texts), np.uint8)
-        self.place = np.r_[0, np.cumsum([sum(map(len, t)) for t in texts])].astype(np.int64)
-        lengths = [np.array([len(x) for x in t], np.int64) for t in texts]
-        wide = int(self.size.max(initial=1))
-        self.matrix, self.lengths = np.zeros((len(texts), wide), np.uint64), np.zeros((len(texts), wide), np.int64)
-        for k, (h, n) in enumerate(zip(self.words, lengths, strict=True)):
-            self.matrix[k, : len(h)], self.lengths[k, : len(n)] = h, n
-        self.words = []
-        self.item_of = np.array([i for s in self.items for i in sorted(s)], np.int64)
-        self.item_at = np.r_[0, np.cumsum([len(s) for s in self.items])].astype(np.int64)
-        self.items = []
-        self.shingle_size = np.minimum(self.size, SHINGLE)
+    """Windows of a block of items: where their words lie in the block's words, the items that have them, and their rarest shingles.
+
+    Some 40 bytes a word of the block and 40 a window, wherever the text comes from.
+    """
 
-    def shingles_of(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window, place and hash of every shingle of the windows whose shingles have this size."""
-        rows = np.flatnonzero(self.shingle_size == size)
-        places = np.arange(self.matrix.shape[1] - size + 1)
-        w, p = np.repeat(rows, len(places)), np.tile(places, len(rows))
-        ok = p + size <= self.size[w]
-        w, p = w[ok], p[ok]
-        h = np.zeros(len(w), np.uint64)
+    def __init__(self, names: list[str], texts: Texts, window: int):
+        self.names, rank = np.unique(np.array(names, object), return_inverse=True)
+        words = Words(texts.data, texts.bounds, _WORD)
+        self.hash, self.length, self.letters, self.place = words.hash, words.length, words.letters, words.place
+        n = np.diff(words.first)
+        each = np.where(n > 0, n - np.minimum(n, window) + 1, 0)
+        item = np.repeat(np.arange(len(n)), each)
+        start = np.repeat(words.first[:-1] - (np.cumsum(each) - each), each) + np.arange(len(item))
+        size = np.minimum(n, window)[item]
+        # equal windows are one: two hashes of all their words
+        keys = [size.astype(np.uint64), size.astype(np.uint64)]
         with np.errstate(over="ignore"):
-            for j in range(size):
-                h += self.matrix[w, p + j] * MIX[j]
-            return w, p, h ^ (h >> np.uint64(32))
+            for j in range(int(size.max(initial=0))):
+                there = np.minimum(start + j, len(self.hash) - 1)
+                for k in range(2):
+                    keys[k] = np.where(j < size, (keys[k] ^ self.hash[there] ^ self.length[there].astype(np.uint64)) * MIX[2 * k + 1] + MIX[2 * k + 2], keys[k])
+        by = np.lexsort((rank[item], *keys))
+        new = np.r_[True, (keys[0][by][1:] != keys[0][by][:-1]) | (keys[1][by][1:] != keys[1][by][:-1])] if len(by) else np.zeros(0, bool)
+        self.start, self.size = start[by][new], size[by][new]
+        of, number = rank[item][by], np.cumsum(new) - 1
+        once = np.r_[True, (number[1:] != number[:-1]) | (of[1:] != of[:-1])] if len(by) else new
+        self.item_of, self.item_at = of[once], np.searchsorted(number[once], np.arange(len(self.start) + 1))
+        self.shingle_size = np.minimum(self.size, SHINGLE)
+        self.index: list = []
 
-    def all_shingles(self) -> list[Shingles]:
-        return [Shingles(int(s), np.unique(self.shingles_of(int(s))[2])) for s in np.unique(self.shingle_size) if s]
+    def _hashes(self, size: int) -> np.ndarray:
+        return shingles(self.hash, size)
 
-    def order(self, shingles: list[Shingles], counts: dict[tuple[int, int], int]) -> None:
-        """Index each window by its rarest shingle; ties go to the smaller hash, then the earlier place."""
+    def all_shingles(self) -> list[Shingles]:
+        """The distinct shingles of all windows, by their size."""
+        found = []
+        for size in np.unique(self.shingle_size).tolist():
+            own = self.shingle_size == size
+            edge = np.zeros(len(self.hash) + 2, np.int64)
+            np.add.at(edge, self.start[own], 1)
+            np.add.at(edge, self.start[own] + self.size[own] - size + 1, -1)
+            found.append(Shingles(size, np.unique(self._hashes(size)[np.flatnonzero(np.cumsum(edge) > 0)])))
+        return found
+
+    def order(self, shingles: list[Shingles], counts: list[np.ndarray]) -> None:
+        """Index each window by its rarest shingle, by the counts of the keys; ties go to the smaller hash, then the earlier place."""
         self.index = []
-        for s in shingles:
-            w, p, h = self.shingles_of(s.size)
-            n = np.array([counts.get((s.size, k), 0) for k in range(len(s.keys))], np.int64)[np.searchsorted(s.keys, h)]
-            by = np.lexsort((p, h, n, w))
-            one = by[np.r_[True, np.diff(w[by]) != 0]]
-            w, p, h = w[one], p[one], h[one]
-            by = np.argsort(h, kind="stable")
-            keys, first = np.unique(h[by], return_index=True)
-            self.index.append((Shingles(s.size, keys), np.r_[first, len(by)], w[by], p[by]))
+        for s, n in zip(shingles, counts, strict=True):
+            hashes = self._hashes(s.size)
+            windows = np.flatnonzero(self.shingle_size == s.size)
+            start, last = self.start[windows], self.size[windows] - s.size
+            best_n, best_h, place = np.full(len(windows), -1, np.int64), np.zeros(len(windows), np.uint64), np.zeros(len(windows), np.int64)
+            for j in range(int(last.max(initial=-1)) + 1):
+                i = np.flatnonzero(j <= last)
+                h = hashes[start[i] + j]
+                c = n[np.searchsorted(s.keys, h)]
+                better = (best_n[i] < 0) | (c < best_n[i]) | ((c == best_n[i]) & (h < best_h[i]))
+                i, h, c = i[better], h[better], c[better]
+                best_n[i], best_h[i], place[i] = c, h, j
+            by = np.argsort(best_h, kind="stable")
+            keys, first = np.unique(best_h[by], return_index=True)
+            self.index.append((Shingles(s.size, keys), np.r_[first, len(by)], windows[by], place[by]))
 
     def matches(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of every occurrence."""
@@ -125,13 +123,13 @@ class Benchmark:
             row = np.searchsorted(words.first, np.repeat(at, each), "right") - 1
             ok = (start >= words.first[row]) & (start + self.size[win] <= words.first[row + 1])
             start, win = start[ok], win[ok]
-            for j in range(self.matrix.shape[1]):
-                there = np.minimum(start + j, len(words.hash) - 1)
-                ok = (j >= self.size[win]) | ((words.hash[there] == self.matrix[win, j]) & (words.length[there] == self.lengths[win, j]))
+            for j in range(int(self.size.max(initial=0))):
+                there, own = np.minimum(start + j, len(words.hash) - 1), np.minimum(self.start[win] + j, len(self.hash) - 1)
+                ok = (j >= self.size[win]) | ((words.hash[there] == self.hash[own]) & (words.length[there] == self.length[own]))
                 start, win = start[ok], win[ok]
             if len(start):  # the hashes agree: compare the letters
-                a, b = words.place[start], self.place[win]
-                n = self.place[win + 1] - b
+                a, b = words.place[start], self.place[self.start[win]]
+                n = self.place[self.start[win] + self.size[win]] - b
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 same = words.letters[np.repeat(a, n) + step] == self.letters[np.repeat(b, n) + step]
                 ok = np.logical_and.reduceat(same, np.cumsum(n) - n)
@@ -142,7 +140,7 @@ class Benchmark:
         return np.concatenate(at_all), np.concatenate(win_all)
 
 
-def _count_shingles(docs: DataFrame, shingles: list[Shingles]) -> dict[tuple[int, int], int]:
+def _count_shingles(docs: DataFrame, shingles: list[Shingles]) -> list[np.ndarray]:
     """How often each of these shingles occurs in all documents; as many sums as the block has shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(shingles)
     schema = pa.schema([("size", pa.int32()), ("k", pa.int64()), ("n", pa.int64())])
@@ -163,7 +161,12 @@ def _count_shingles(docs: DataFrame, shingles: list[Shingles]) -> dict[tuple[int
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), s.size, np.int32)), pa.array(k), pa.array(t[k])], schema=schema)
 
     sums = docs.select("text").mapInArrow(count, "size int, k long, n long").groupBy("size", "k").agg(F.sum("n").alias("n"))
-    return {(r["size"], r["k"]): r["n"] for r in sums.collect()}
+    out, found = [np.zeros(len(s.keys), np.int64) for s in shingles], sums.toArrow()
+    size, k, n = (found.column(i).to_numpy() for i in range(3))
+    for s, total in zip(shingles, out, strict=True):
+        total[k[size == s.size]] = n[size == s.size]
+    shared.destroy()
+    return out
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
@@ -181,49 +184,70 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = id_and_text(docs, id_col, text_col)
     blocks = _blocks(benchmark, item_col, item_text_col, block)
     flow = rows.select("doc_id", "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    for k, items in enumerate(blocks):
-        index, last = _indexed(items, rows, window), k == len(blocks) - 1
-        flow = flow.mapInArrow(_join(spark.sparkContext.broadcast(index), last), _LAST if last else "doc_id long, text string, hits binary, items array<string>")
-        if not last:
-            flow = written(flow, "decontaminate")
+    with Scratch(spark, "decontaminate") as scratch:
+        before = None
+        for k, items in enumerate(blocks):
+            shared, last = spark.sparkContext.broadcast(_indexed(items, rows, window)), k == len(blocks) - 1
+            flow = flow.mapInArrow(_join(shared, last), _LAST if last else "doc_id long, text string, hits binary, items array<string>")
+            if not last:
+                flow = scratch.written(flow, "block", keep=k == len(blocks) - 2)
+                shared.destroy()
+                if before is not None:
+                    scratch.drop(before)
+                before = flow
     return flow
 
 
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
-    """The rows of docs in which no window of the benchmark occurs, all columns as they are."""
+    """The rows of docs in which no window of the benchmark occurs, all columns as they are.
+
+    Null texts have no words and stay, as do rows without an id, which is not read; repeated rows stay or go together. A
+    benchmark of several blocks takes out the rows block after block.
+    """
     spark = prepare(docs.sparkSession)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(column(text_col).cast("string").alias("text"))
     blocks = _blocks(benchmark, item_col, item_text_col, block)
-    for k, items in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(_indexed(items, rows, window))
-
-        def keep(texts: Texts, shared=shared) -> np.ndarray:
-            out = np.ones(len(texts), bool)
-            for i, j in texts.pieces(1 << 19):
-                words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i], _WORD)
-                if len(words.hash) and shared.value.index:
-                    start, _ = shared.value.matches(words)
-                    out[i + np.searchsorted(words.first, start, "right") - 1] = False
-            return out
-
-        docs = filtered(docs, text_col, keep)
-        if k < len(blocks) - 1:
-            docs = written(docs, "decontaminate")
+    with Scratch(spark, "decontaminate") as scratch:
+        before = None
+        for k, items in enumerate(blocks):
+            shared = spark.sparkContext.broadcast(_indexed(items, rows, window))
+            docs = filtered(docs, text_col, _clean(shared))
+            if k < len(blocks) - 1:
+                docs = scratch.written(docs, "block", keep=k == len(blocks) - 2)
+                shared.destroy()
+                if before is not None:
+                    scratch.drop(before)
+                before = docs
     return docs
 
 
+def _clean(shared):
+    def keep(texts: Texts) -> np.ndarray:
+        out = np.ones(len(texts), bool)
+        for i, j in texts.pieces(1 << 19):
+            words = Words(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i], _WORD)
+            if len(words.hash) and shared.value.index:
+                start, _ = shared.value.matches(words)
+                out[i + np.searchsorted(words.first, start, "right") - 1] = False
+        return out
+
+    return keep
+
+
 def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block: int) -> list[DataFrame]:
     """(item, text) in blocks of about `block` bytes of text."""
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
+    items = benchmark.select(F.coalesce(column(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(column(item_text_col).cast("string"), F.lit("")).alias("text"))
     n = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
     return [items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) for k in range(n)]
 
 
 def _indexed(items: DataFrame, rows: DataFrame, window: int) -> Benchmark:
     """A block's windows, each indexed by the shingle that is rarest in all of rows."""
-    index = Benchmark([(r["item"], r["text"]) for r in items.collect()], window)
-    shingles = index.all_shingles()
-    index.order(shingles, _count_shingles(rows, shingles) if shingles else {})
+    found = items.toArrow()
+    index = Benchmark(found.column(0).to_pylist(), Texts(found.column(1)), window)
+    keys = index.all_shingles()
+    if keys:
+        index.order(keys, _count_shingles(rows, keys))
     return index
 
 

@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terravane.llm.common import BROADCAST, checkpoint_base, if_small, written
+from terravane.llm.common import BROADCAST, Scratch, column, fresh, if_small
 
 #: Counters of the sketch that says how frequent tokens are.
 BUCKETS = 1 << 16
+#: A line's identity and, in this order, its place among all lines: the id of its row (null: the greatest number), its number in
+#: the row's text, and a hash of that text.
+PLACE = ("d", "at", "v")
+OTHER = ("yd", "yat", "yv")
 SIZE = 5
 #: Earlier classes of a token, besides the first, that each class is held against at once.
 BEFORE = 3
@@ -39,23 +43,19 @@ def _tokens(words: str) -> Column:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """d and at: a line's place in the order of all lines; its text, two hashes of it, and where it is from. Lines without words are left out.
-
-    d is the id (null: the greatest number), at the line's number with 20 bits of a hash of its text's, for rows of one id with other texts.
-    """
-    each = rows.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    """d, at and v of each line with words; the line, and two hashes of it."""
+    each = rows.select("doc_id", F.xxhash64("text").alias("v"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return each.where(F.col("line").rlike(r"[^ \t\x0b\f\r]")).select(
-        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.expr("shiftleft(cast(number as bigint), 20) | (version & 1048575)").alias("at"),
-        "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "version", "number",
+        F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "at", "v", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"),
     )
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
-    """The later ones (d, at) of the pairs whose whole sets reach the similarity."""
-    y = sets.select(F.col("d").alias("yd"), F.col("at").alias("yat"), F.col("tokens").alias("y"))
+    """The later ones of the pairs whose whole sets reach the similarity."""
+    other = sets.select(*[F.col(a).alias(b) for a, b in zip(PLACE, OTHER, strict=True)], F.col("tokens").alias("y"))
     overlap = F.size(F.array_intersect("tokens", "y"))
-    both = pairs.join(sets, ["d", "at"]).join(y, ["yd", "yat"])
-    return both.where(denom * overlap >= numer * (F.size("tokens") + F.size("y") - overlap)).select("d", "at").distinct()
+    both = pairs.join(sets, [*PLACE]).join(other, [*OTHER])
+    return both.where(denom * overlap >= numer * (F.size("tokens") + F.size("y") - overlap)).select(*PLACE).distinct()
 
 
 def _admissible(numer: int, denom: int) -> str:
@@ -64,79 +64,115 @@ def _admissible(numer: int, denom: int) -> str:
     return f"{denom} * n >= {numer} * yn AND {denom} * yn >= {numer} * n AND p <= n - {need} AND yp <= yn - {need}"
 
 
-def removed_lines(rows: DataFrame, numer: int = 4, denom: int = 5) -> DataFrame:
-    """rows: doc_id, text. One row per document with lines to remove: doc_id, version, gone (their numbers, from 0)."""
-    spark = rows.sparkSession
-    checkpoint_base(spark)
-    lines = _lines(rows)
-    near = _admissible(numer, denom)
-
-    # how frequent tokens are, over all lines: a row for each counter
+def _levels(lines: DataFrame) -> str:
+    """How frequent a token t is, over all lines, in steps of a quarter of a doubling: an expression with a row for each counter in it."""
     each = lines.select(_words(F.col("line")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - SIZE, F.lit(0)))).alias("i"))
     token = f"CASE WHEN size(w) >= {SIZE} THEN xxhash64({', '.join(f'get(w, i + {k})' for k in range(SIZE))}) ELSE xxhash64(w, size(w)) END"
     sketch = each.groupBy(F.expr(f"cast({token} & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
-    table = {r["b"]: r["l"] for r in sketch.select("b", F.floor(F.log2("n") * 4).cast("int").alias("l")).collect()}  # at most BUCKETS numbers
-    level = f"get(from_json('{[table.get(b, 0) for b in range(BUCKETS)]}', 'array<bigint>'), cast(t & {BUCKETS - 1} as int))"  # folded to a constant
-
-    # the order of the tokens: level first, then hash
-    keyed = lines.select("h1", "h2", "d", "at", _words(F.col("line")).alias("w")).select("h1", "h2", "d", "at", _tokens("w").alias("tokens")).withColumn("n", F.size("tokens"))
-    keyed = keyed.withColumn("keys", F.expr(f"slice(sort_array(transform(tokens, t -> shiftleft({level}, 55) | shiftrightunsigned(t, 9))), 1, n - cast(ceil({numer} * n / {denom}) as int) + 1)"))
-    classes = keyed.groupBy("h1", "h2").agg(F.min(F.struct("d", "at", "n", "keys")).alias("f"))
-    entries = classes.select(F.posexplode("f.keys").alias("p", "key"), "f.d", "f.at", "f.n")
-    order = Window.partitionBy("key").orderBy("d", "at")
-    several = F.lead("d").over(order).isNotNull() | F.lag("d").over(order).isNotNull()
-    stars = written(entries.withColumn("several", several).where("several").drop("several"), "line-stars")
+    table = dict(map(tuple, sketch.select("b", F.floor(F.log2("n") * 4).cast("int")).collect()))  # at most BUCKETS numbers
+    numbers = ",".join(str(table.get(b, 0)) for b in range(BUCKETS))
+    return f"get(from_json('[{numbers}]', 'array<bigint>'), cast(t & {BUCKETS - 1} as int))"  # folded to a constant
 
-    # each entry of a token that several classes have, with the earliest of them and a few just before it
-    other = F.struct(F.col("d").alias("yd"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("p").alias("yp"))
-    before = F.array(F.first(other).over(order), *[F.lag(other, k).over(order) for k in range(1, BEFORE + 1)])
-    tested = stars.withColumn("before", before).select("d", "at", "n", "p", F.explode("before").alias("o")).where("o IS NOT NULL").select("d", "at", "n", "p", "o.*")
-    pairs = written(tested.where("NOT (d = yd AND at = yat)").where(near).select("d", "at", "yd", "yat").distinct(), "line-pairs")
+
+def _classes(lines: DataFrame, numer: int, denom: int) -> DataFrame:
+    """One row for each distinct line: h1, h2, its first place, k lines of it, n tokens, and the necessary ones by rarity, then hash."""
+    keyed = lines.select("h1", "h2", *PLACE, _words(F.col("line")).alias("w")).select("h1", "h2", *PLACE, _tokens("w").alias("tokens"))
+    key = f"transform(tokens, t -> shiftleft({_levels(lines)}, 55) | shiftrightunsigned(t, 9))"
+    needed = f"n - cast(ceil({numer} * n / {denom}) as int) + 1"
+    keyed = keyed.withColumn("n", F.size("tokens")).withColumn("keys", F.expr(f"slice(sort_array({key}), 1, {needed})"))
+    found = keyed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE, "n", "keys")).alias("f"), F.count("*").alias("k"))
+    return found.select("h1", "h2", "f.*", "k")
+
+
+def _matched(lines: DataFrame, classes: DataFrame, scratch: Scratch, numer: int, denom: int) -> DataFrame:
+    """The first places of the classes that reach the similarity with an earlier class."""
+    near = _admissible(numer, denom)
+    earlier = lambda: [F.col(a).alias(b) for a, b in zip((*PLACE, "n", "p"), (*OTHER, "yn", "yp"), strict=True)]
+    entries = classes.select(F.posexplode("keys").alias("p", "key"), *PLACE, "n")
+    order = Window.partitionBy("key").orderBy(*PLACE)
+    several = F.lead("d").over(order).isNotNull() | F.lag("d").over(order).isNotNull()
+    stars = scratch.written(entries.withColumn("several", several).where("several").drop("several"), "stars")
 
     def sets(pairs: DataFrame) -> DataFrame:
         """The whole sets of the pairs' lines."""
-        nodes = pairs.select("d", "at").union(pairs.select("yd", "yat")).distinct()
-        own = lines.select("d", "at", "line").join(if_small(nodes, 32), ["d", "at"], "left_semi").dropDuplicates(["d", "at"])
-        return written(own.select("d", "at", _words(F.col("line")).alias("w")).select("d", "at", _tokens("w").alias("tokens")), "line-sets")
+        nodes = pairs.select(*PLACE).union(pairs.select(*OTHER)).distinct()
+        own = lines.select(*PLACE, "line").join(if_small(nodes, 40), [*PLACE], "left_semi").dropDuplicates([*PLACE])
+        return scratch.written(own.select(*PLACE, _words(F.col("line")).alias("w")).select(*PLACE, _tokens("w").alias("tokens")), "sets")
 
-    matched = written(_verified(pairs, sets(pairs), numer, denom), "line-first")
+    # each entry of a token that several classes have, with the earliest of them and a few just before it
+    other = F.struct(*earlier())
+    before = F.array(F.first(other).over(order), *[F.lag(other, k).over(order) for k in range(1, BEFORE + 1)])
+    tested = stars.withColumn("before", before).select(*PLACE, "n", "p", F.explode("before").alias("o")).where("o IS NOT NULL").select(*PLACE, "n", "p", "o.*")
+    pairs = scratch.written(tested.where("NOT (d = yd AND at = yat AND v = yv)").where(near).select(*PLACE, *OTHER).distinct(), "pairs")
+    whole = sets(pairs)
+    matched = scratch.written(_verified(pairs, whole, numer, denom), "first")
+    scratch.drop(whole)
 
     # those without a match so far, with all earlier ones of their tokens
-    open_ = stars.join(matched, ["d", "at"], "left_anti")
-    earlier = stars.select("key", F.col("d").alias("yd"), F.col("at").alias("yat"), F.col("n").alias("yn"), F.col("p").alias("yp"))
-    rest = open_.join(earlier, "key").where("struct(yd, yat) < struct(d, at)").where(near).select("d", "at", "yd", "yat").distinct()
-    rest = written(rest.join(pairs, ["d", "at", "yd", "yat"], "left_anti"), "line-rest")
-    if not rest.isEmpty():
-        matched = written(matched.union(_verified(rest, sets(rest), numer, denom)), "line-matched")
-
+    open_ = stars.join(if_small(matched, 40), [*PLACE], "left_anti")
+    rest = open_.join(stars.select("key", *earlier()), "key").where("struct(yd, yat, yv) < struct(d, at, v)").where(near).select(*PLACE, *OTHER).distinct()
+    rest = scratch.written(rest.join(pairs, [*PLACE, *OTHER], "left_anti"), "rest")
+    scratch.drop(stars, pairs)
+    if rest.isEmpty():
+        return matched
+    whole = sets(rest)
+    both = scratch.written(matched.union(_verified(rest, whole, numer, denom)), "matched")
+    scratch.drop(whole, rest, matched)
+    return both
+
+
+def removed_lines(rows: DataFrame, scratch: Scratch, numer: int = 4, denom: int = 5) -> DataFrame:
+    """rows: doc_id, text. One row per text with lines to remove: d (the id, null as the greatest number), v (xxhash64 of the text), gone (their numbers, from 0)."""
+    lines = _lines(rows)
+    classes = scratch.written(_classes(lines, numer, denom), "classes")
+    matched = _matched(lines, classes, scratch, numer, denom)
     # every line of a class but the first one, and the first one too where an earlier class matches
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("d", "at")).alias("f"), F.count("*").alias("k")).select("h1", "h2", "f.*", "k")
-    firsts = firsts.join(matched.withColumn("gone", F.lit(True)), ["d", "at"], "left")
-    some = written(firsts.where("k > 1 OR gone").select("h1", "h2", F.col("d").alias("fd"), F.col("at").alias("fat"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
-    lost = lines.drop("line").join(some, ["h1", "h2"]).where("gone OR NOT (d = fd AND at = fat)")
-    return lost.groupBy("doc_id", "version").agg(F.collect_set("number").alias("gone"))
+    firsts = classes.drop("n", "keys").join(if_small(matched, 40).withColumn("gone", F.lit(True)), [*PLACE], "left").where("k > 1 OR gone")
+    some = scratch.written(firsts.select("h1", "h2", *[F.col(a).alias(b) for a, b in zip(PLACE, OTHER, strict=True)], F.coalesce("gone", F.lit(False)).alias("gone")), "lost")
+    scratch.drop(classes)
+    lost = lines.drop("line").join(if_small(some, 48), ["h1", "h2"]).where("gone OR NOT (d = yd AND at = yat AND v = yv)")
+    return lost.groupBy("d", "v").agg(F.collect_set("at").alias("gone"))
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, numer: int, denom: int) -> tuple[DataFrame, str, str]:
+    """docs with the text cut down to the lines that stay, and the names of two more columns: its lines, and how many of them went."""
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    d, v, gone, yd, yv, total, removed = fresh(docs, "d", "v", "gone", "yd", "yv", "n_lines", "n_removed")
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        found = scratch.written(removed_lines(rows.where("text IS NOT NULL"), scratch, numer, denom), "gone", keep=True)
+    n, numbers = found.agg(F.count("*"), F.sum(F.size("gone"))).first()
+    found = found.select(F.col("d").alias(yd), F.col("v").alias(yv), F.col("gone").alias(gone))
+    if 48 * n + 8 * (numbers or 0) <= BROADCAST:
+        found = F.broadcast(found)
+    keyed = docs.withColumn(d, F.coalesce(column(id_col).cast("long"), F.lit(2**63 - 1))).withColumn(v, F.xxhash64(column(text_col).cast("string")))
+    joined = keyed.join(found, (F.col(d) == F.col(yd)) & (F.col(v) == F.col(yv)), "left")
+    parts = F.split(column(text_col), "\n")
+    stay = lambda p: F.array_except(F.transform(p, lambda _, i: i), F.col(gone))
+    # the lines are bound to p, so they are split once, and picked by number
+    kept = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")), 0)
+    out = joined.withColumn(total, F.coalesce(F.size(parts), F.lit(0))).withColumn(removed, F.coalesce(F.size(gone), F.lit(0)))
+    text = F.when(F.col(gone).isNull(), column(text_col)).otherwise(kept).alias(text_col)
+    columns = [text if c == text_col else column(c) for c in docs.columns]
+    return out.select(*columns, total, removed), total, removed
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
-    """All columns of docs, with the text cut down to the lines that stay, and __lines and __removed (their numbers).
+    """doc_id, n_lines, n_removed and text (cut down to the lines that stay) of each row of docs.
 
     Lines are compared as lower-cased words. A line goes if an earlier line has the same words, or a similarity (Jaccard, of the
-    five-word shingles) of numer / denom or more; earlier is by id (null last), then place, then a hash of the text (of which 20 bits count). The lines that stay
-    keep their order. Lines without words stay. A null text stays null; repeated rows are treated alike.
+    five-word shingles) of numer / denom or more; earlier is by id (null last), then number of the line, then a hash of the text.
+    The lines that stay keep their order. Lines without words stay. A null text stays null and has no lines, an empty one has one;
+    repeated rows are treated alike. Other columns, however named, are not read.
+    """
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"))
+    out, total, removed = _cut(rows, "doc_id", "text", numer, denom)
+    return out.select("doc_id", F.col(total).cast("long").alias("n_lines"), F.col(removed).cast("long").alias("n_removed"), "text")
+
 
-    Names of docs other than the id's and the text's may be any: they are carried as they are.
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
+    """docs with the lines that dedup_lines removes taken out of the text, all columns as they are, however named.
+
+    A row whose lines with words have all gone goes; a row that had none (null, empty, white space) stays.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = written(removed_lines(rows.where("text IS NOT NULL"), numer, denom), "line-gone")
-    total = gone.agg(F.count("*"), F.sum(F.size("gone"))).first()
-    small = 48 * total[0] + 8 * (total[1] or 0) <= BROADCAST
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("version").alias("__gone_version"), F.col("gone").alias("__gone"))
-    keyed = docs.withColumn("__version", F.xxhash64(F.col(text_col).cast("string")))
-    joined = keyed.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__version") == F.col("__gone_version")), "left")
-    parts = F.split(F.col(text_col), "\n")
-    numbers = lambda p: F.transform(p, lambda _, i: i)
-    # the lines are bound to p, so they are split once, and picked by number
-    kept = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(F.array_except(numbers(p), F.col("__gone")), lambda i: F.get(p, i)), "\n")), 0)
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
-    out = joined.withColumn("__lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("__removed", F.coalesce(F.size("__gone"), F.lit(0))).withColumn(text_col, text)
-    return out.select(*docs.columns, "__lines", "__removed")
+    out, _, removed = _cut(docs, id_col, text_col, numer, denom)
+    return out.where((F.col(removed) == 0) | column(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*[column(c) for c in docs.columns])

@@ -1,11 +1,12 @@
-"""Jaccard join of documents on word n-grams: a sparse product of the document by n-gram incidence, in blocks of columns.
-
-Documents with the same set are one row of the incidence, whatever their number. A pair that reaches
-the similarity has a column in common among the first n - ceil(0.8 n) + 1 of each row (columns in
-order of rarity), so only those columns are multiplied: entries are dealt by column, each task holds a block of columns,
-and a column of k rows gives products of each row with one centre and a few neighbours, not k squared. Of pairs that sizes and
-places allow, the whole rows are then multiplied and the overlaps held against the bound of the sizes. Only columns whose rows did not all come together
-in one component are multiplied in full, for the pairs of different components.
+"""Jaccard join of documents on word n-grams: a blocked sparse product of the document by n-gram incidence.
+
+Documents with the same set are one row of the incidence, whatever their number. A pair that reaches the similarity has a
+column in common among the first n - ceil(0.8 n) + 1 of each row (columns in order of rarity), so the product's entries that can
+count are those of rows that meet there: a column of k rows gives each row with one centre and a few neighbours, not k squared.
+Sizes and places discard what cannot reach the bound. The entries that are left are dealt to blocks of rows that belong together;
+a block has its rows once, as sparse rows, and multiplies them column block by column block: overlaps accumulate by (row, row),
+and after each column block those go that the sizes of what is left cannot bring to the bound any more. Only columns whose rows
+did not all come together in one component are looked at in full, for the pairs of different components.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, id_and_text, if_small, prepare, trim, written
+from terravane.llm.common import Scratch, Texts, batches, column, fresh, id_and_text, if_small, mark, prepare, release, trim
 from terravane.llm.components import connected_components
 from terravane.llm.words import MIX, Words
 
@@ -94,7 +95,8 @@ def column_levels(rows: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sums.values()], pa.binary())], schema=schema)
 
     spec = "part int, counts binary"
-    summed = rows.select("text").mapInArrow(count, spec).repartition(8, "part").mapInArrow(total, spec).collect()  # BUCKETS numbers
+    reducers = min(BUCKETS // TOGETHER, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    summed = rows.select("text").mapInArrow(count, spec).repartition(reducers, "part").mapInArrow(total, spec).collect()  # BUCKETS numbers
     out = np.zeros(BUCKETS)
     for r in summed:
         out[r["part"] * TOGETHER : (r["part"] + 1) * TOGETHER] = np.frombuffer(r["counts"], "<u8")
@@ -137,8 +139,8 @@ def _signatures(rows: DataFrame, shared, numer: int, denom: int) -> DataFrame:
 
 #: Rows of a column that a batch sends on to the other tasks, and how many rows before it each row is multiplied with.
 SENT, BACK = 16, 3
-_STAR = "column long, x long, xp long, c long, cp long"
-_STAR_SCHEMA = pa.schema([(n, pa.int64()) for n in ("column", "x", "xp", "c", "cp")])
+_STAR = "column long, x long, xp long, c long, cp long, home long"
+_STAR_SCHEMA = pa.schema([(n, pa.int64()) for n in ("column", "x", "xp", "c", "cp", "home")])
 
 
 def _admissible(xp: np.ndarray, cp: np.ndarray, numer: int, denom: int) -> np.ndarray:
@@ -163,23 +165,25 @@ def _groups(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(first, size), np.repeat(size, size)
 
 
-def _neighbours(column, x, xp, new, numer, denom) -> pa.RecordBatch | None:
-    """Distinct admissible pairs of each new row with the BACK rows before it, without their columns."""
+def _neighbours(column, x, xp, centre, new, numer, denom) -> pa.RecordBatch | None:
+    """Distinct admissible pairs of each new row with the BACK rows before it, without their columns; home is the column's centre."""
     found = []
     for d in range(1, BACK + 1):
         i = np.flatnonzero((column[d:] == column[:-d]) & new[d:]) + d
         i = i[_admissible(xp[i], xp[i - d], numer, denom) & (x[i] != x[i - d])]
-        found.append(np.column_stack([np.minimum(x[i], x[i - d]), np.maximum(x[i], x[i - d])]))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    if len(pairs):
-        gone = pa.nulls(len(pairs), pa.int64())
-        return pa.RecordBatch.from_arrays([gone, pa.array(pairs[:, 0]), gone, pa.array(pairs[:, 1]), gone], schema=_STAR_SCHEMA)
-    return None
+        found.append(np.column_stack([x[i], x[i - d], xp[i], xp[i - d], centre[i]]))
+    pairs = np.concatenate(found)
+    if not len(pairs):
+        return None
+    by = np.lexsort((pairs[:, 4], pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[by]
+    pairs = pairs[np.r_[True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]]
+    return pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), *[pa.array(pairs[:, k]) for k in (0, 2, 1, 3, 4)]], schema=_STAR_SCHEMA)
 
 
 def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
-    """For all rows of a column with several: (column, x, its place, c, its place), c being one row of the column for all of it,
-    and (null, x, null, c, null): admissible pairs of neighbours in the column's order by size.
+    """For all rows of a column with several: (column, x, its place, c, its place, c), c being one row of the column for all of it,
+    and (null, x, its place, y, its place, c): admissible pairs of neighbours in the column's order by size.
     """
 
     def within(it):
@@ -198,10 +202,11 @@ def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
             nth = np.arange(len(column)) - first
             sent, kept = nth < SENT, nth >= SENT
             none = pa.nulls(int(sent.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(column[sent]), pa.array(x[sent]), pa.array(xp[sent]), none, none], schema=_STAR_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(column[sent]), pa.array(x[sent]), pa.array(xp[sent]), none, none, none], schema=_STAR_SCHEMA)
             if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (column[kept], x[kept], xp[kept], x[first[kept]], xp[first[kept]])], schema=_STAR_SCHEMA)
-                if (pairs := _neighbours(column, x, xp, kept, numer, denom)) is not None:
+                centre = x[first]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (column[kept], x[kept], xp[kept], centre[kept], xp[first[kept]], centre[kept])], schema=_STAR_SCHEMA)
+                if (pairs := _neighbours(column, x, xp, centre, kept, numer, denom)) is not None:
                     yield pairs
         trim()
 
@@ -228,19 +233,20 @@ def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
             new = np.arange(len(column)) >= carried
             star = new & (size > 1) & (x != cx)
             if star.any():
-                yield pa.RecordBatch.from_arrays([pa.array(v[star]) for v in (column, x, xp, cx, cp)], schema=_STAR_SCHEMA)
-            if (pairs := _neighbours(column, x, xp, new, numer, denom)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(v[star]) for v in (column, x, xp, cx, cp, cx)], schema=_STAR_SCHEMA)
+            if (pairs := _neighbours(column, x, xp, cx, new, numer, denom)) is not None:
                 yield pairs
             tail, centre = tuple(v[-BACK:].copy() for v in (column, x, xp)), (int(cx[-1]), int(cp[-1]))
         trim()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     local = rows.select("x", "n", "columns").mapInArrow(within, _STAR)
-    return local.repartition(parts, F.coalesce("column", "x")).sortWithinPartitions("column", "xp", "x").mapInArrow(across, _STAR)
+    dealt = local.repartition(parts, F.when(F.col("c").isNull(), F.col("column")).otherwise(F.col("x")))  # what is done goes by its row
+    return dealt.sortWithinPartitions("column", "xp", "x").mapInArrow(across, _STAR)
 
 
 def _shuffled_neighbours(members: DataFrame, numer: int, denom: int) -> DataFrame:
-    """Distinct admissible pairs of different components among neighbours in a random order of each column.
+    """Admissible pairs of different components among neighbours in a random order of each column, as _candidates gives them.
 
     One such pair can join two large components, whose rows then need not be multiplied one by one. Columns of very many rows are split.
     """
@@ -248,43 +254,129 @@ def _shuffled_neighbours(members: DataFrame, numer: int, denom: int) -> DataFram
     size = members.groupBy("column").agg(F.ceil(F.count("*") / 10_000).alias("splits"))
     dealt = members.join(size, "column").select("column", F.pmod(F.xxhash64("d"), "splits").alias("split"), "d", "p", "d_part", F.xxhash64("d", "column").alias("at"))
     dealt = dealt.repartition(parts, "column", "split").sortWithinPartitions("column", "split", "at")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def near(it):
         for batch in it:
             column, split, d, p, part = (batch.column(k).to_numpy() for k in range(5))
-            found = [np.zeros((0, 2), np.int64)]
             for back in range(1, 2 * BACK + 1):
                 i = np.flatnonzero((column[back:] == column[:-back]) & (split[back:] == split[:-back]) & (part[back:] != part[:-back])) + back
                 i = i[_admissible(p[i], p[i - back], numer, denom)]
-                found.append(np.column_stack([np.minimum(d[i], d[i - back]), np.maximum(d[i], d[i - back])]))
-            pairs = np.unique(np.concatenate(found), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (column[i], d[i], p[i], d[i - back], p[i - back], column[i])], schema=_STAR_SCHEMA)
 
-    return dealt.mapInArrow(near, "u long, v long").distinct()
+    return _candidates(dealt.mapInArrow(near, _STAR))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
-    """Those of the pairs (u, v) whose whole rows overlap enough."""
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("grams").alias("b")), "v")
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _candidates(stars: DataFrame) -> DataFrame:
+    """Distinct pairs u < v of rows, with their sizes and a home that pairs which belong together share."""
+    first = F.col("x") < F.col("c")
+    each = stars.where("x <> c").select(
+        F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v"), "home",
+        F.shiftright(F.when(first, F.col("xp")).otherwise(F.col("cp")), 32).alias("nu"), F.shiftright(F.when(first, F.col("cp")).otherwise(F.col("xp")), 32).alias("nv"),
+    )
+    return each.groupBy("u", "v").agg(F.min("home").alias("home"), F.max("nu").alias("nu"), F.max("nv").alias("nv"))
+
+
+#: N-grams of the sparse rows that a block may have, and column blocks after which hopeless pairs go.
+BLOCK, COLUMN_BLOCKS = 1 << 21, 4
+
+
+def overlaps(values: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, numer: int, denom: int) -> np.ndarray:
+    """Of the pairs (a, b) of sparse rows, whether their product reaches the bound of their sizes.
+
+    values: the rows' column ids, ascending in each row, from 0; at: the rows' bounds. The product is taken column block by column
+    block: overlaps accumulate by pair, and a pair goes as soon as all that is left of its shorter row would not do.
+    """
+    width = int(values.max(initial=0)) + 1
+    n = np.diff(at)
+    need = -(-numer * (n[a] + n[b]) // (numer + denom))
+    total = np.zeros(len(a), np.int64)
+    alive = np.flatnonzero(np.minimum(n[a], n[b]) >= need)
+    ends = at[:-1]
+    for k in range(COLUMN_BLOCKS):
+        starts, edge = ends, -(-width * (k + 1) // COLUMN_BLOCKS)
+        below = np.r_[0, np.cumsum(values < edge)]
+        ends = at[:-1] + below[at[1:]] - below[at[:-1]]  # rows are sorted: what lies below the edge comes first
+        for i in range(0, len(alive), 4096):
+            own = alive[i : i + 4096]
+            x, pair_x = _spread(values, starts, ends, a[own], width)
+            y, _ = _spread(values, starts, ends, b[own], width)
+            if len(x) and len(y):
+                hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                total[own] += np.bincount(pair_x[hit], minlength=len(own))
+        left = np.minimum(at[1:][a[alive]] - ends[a[alive]], at[1:][b[alive]] - ends[b[alive]])
+        alive = alive[total[alive] + left >= need[alive]]
+    out = np.zeros(len(a), bool)
+    out[alive] = (total[alive] >= need[alive]) & (n[a[alive]] > 0)
+    return out
+
+
+def _spread(values, starts, ends, rows, width) -> tuple[np.ndarray, np.ndarray]:
+    """(pair, column) as one ascending number for the entries of a part of each pair's row, and the pair of each."""
+    each = ends[rows] - starts[rows]
+    pair = np.repeat(np.arange(len(rows)), each)
+    step = np.arange(len(pair)) - np.repeat(np.cumsum(each) - each, each)
+    return pair * width + values[np.repeat(starts[rows], each) + step], pair
+
+
+def _multiplied(table: pa.Table, numer: int, denom: int) -> pa.RecordBatch:
+    """The linked pairs of some whole blocks; table: block, doc, other (null for a sparse row), grams (null for a pair), by block and doc."""
+    block, doc = table.column(0).to_numpy(), table.column(1).to_numpy()
+    row = table.column(2).is_null().to_numpy()
+    ordinal = np.cumsum(np.r_[False, block[1:] != block[:-1]])
+    names = np.unique(doc[row])
+    key = ordinal[row] * len(names) + np.searchsorted(names, doc[row])
+    by = np.argsort(key, kind="stable")
+    raw = table.column(3).filter(pa.array(row)).combine_chunks().take(pa.array(by))
+    _, offsets, data = raw.buffers()
+    at = np.frombuffer(offsets, np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64) // 8
+    grams = np.frombuffer(data, np.uint64, count=int(at[-1]))[at[0] :]
+    at = at - at[0]
+    values = np.unique(grams, return_inverse=True)[1].reshape(-1)
+    u, v = doc[~row], table.column(2).filter(pa.array(~row)).to_numpy()
+    find = lambda d: np.searchsorted(key[by], ordinal[~row] * len(names) + np.searchsorted(names, d))
+    keep = overlaps(values, at, find(u), find(v), numer, denom)
+    return pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(v[keep])], schema=_PAIR)
+
+
+_PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, scratch: Scratch, numer: int, denom: int) -> DataFrame:
+    """Those of the pairs whose whole rows overlap enough, written.
+
+    Pairs of one home are a block; a home whose rows may have more than BLOCK n-grams is split by the rows that
+    are not the home itself. A block gets each of its rows once, and a task reads blocks one after another.
+    """
+    large = pairs.groupBy("home").agg(F.ceil(F.sum(F.col("nu") + F.col("nv")) / BLOCK).alias("splits")).where("splits > 1")
+    split = F.pmod(F.xxhash64(F.when(F.col("u") == F.col("home"), F.col("v")).otherwise(F.col("u"))), F.coalesce("splits", F.lit(1)))
+    placed = scratch.written(pairs.join(if_small(large, 16), "home", "left").select(F.xxhash64("home", split).alias("block"), "u", "v"), "placed")
+    wanted = placed.select("block", F.col("u").alias("doc_id")).union(placed.select("block", F.col("v").alias("doc_id"))).distinct()
+    sets = _whole_sets(rows, wanted.select("doc_id").distinct())
+    sparse = wanted.join(sets, "doc_id").select("block", "doc_id", F.lit(None).cast("long").alias("other"), "grams")
+    fed = sparse.union(placed.select("block", "u", "v", F.lit(None).cast("binary")))
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def multiply(it):
+        held, size = [], 0
         for batch in it:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if denom * len(x) >= numer * len(y) and len(x):
-                    overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                    keep[i] = denom * overlap >= numer * (len(x) + len(y) - overlap)
-            if keep.any():
-                rows = np.flatnonzero(keep)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], schema=schema)
+            held.append(batch)
+            size += batch.nbytes
+            if size < 4 * BLOCK:
+                continue
+            table = pa.Table.from_batches(held)
+            block = table.column(0).to_numpy()
+            whole = int(np.flatnonzero(block != block[-1])[-1]) + 1 if (block != block[-1]).any() else 0
+            if whole:
+                yield _multiplied(table.slice(0, whole), numer, denom)
+            held, size = table.slice(whole).to_batches(), table.slice(whole).nbytes
+        if held:
+            yield _multiplied(pa.Table.from_batches(held), numer, denom)
+        trim()
 
-    return both.select("u", "v", "a", "b").mapInArrow(multiply, "u long, v long")
+    linked = scratch.written(fed.repartition(parts, "block").sortWithinPartitions("block", "doc_id").mapInArrow(multiply, "u long, v long"), "links")
+    scratch.drop(placed)
+    return linked
 
 
 def _whole_sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -315,53 +407,40 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     spark = prepare(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
-    levels = spark.sparkContext.broadcast(column_levels(rows))  # 4 MB, whatever the input
-    signs = written(_signatures(rows, levels, numer, denom), "ngram-signatures")
-    known = signs.where("n > 0 AND doc_id IS NOT NULL")
-    several = written(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies")).where("copies > 1"), "ngram-copies")
-    copies = known.select("doc_id", "h1", "h2").join(several, ["h1", "h2"]).where("doc_id <> x").select("doc_id").distinct()
-    groups = known.join(if_small(copies, 16), "doc_id", "left_anti").select(F.col("doc_id").alias("x"), "n", "columns")
-    stars = written(_stars(groups, numer, denom), "ngram-stars")
-    admissible = _ADMISSIBLE.format(numer=numer, denom=denom)
-    pairs = stars.where(f"column IS NULL OR ({admissible})").select(F.least("x", "c").alias("u"), F.greatest("x", "c").alias("v")).where("u < v").distinct()
-    pairs = written(pairs, "ngram-pairs")
-    nodes = lambda p: p.select(F.col("u").alias("doc_id")).union(p.select(F.col("v").alias("doc_id"))).distinct()
-    links = written(_linked(pairs, _whole_sets(rows, nodes(pairs)), numer, denom), "ngram-links")
-    parts = connected_components(links)
-
-    # columns whose rows are not all in one component by now
-    of = lambda df, c, p: df.join(p.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part")), c, "left").withColumn(f"{c}_part", F.coalesce(f"{c}_part", c))
-    whole = stars.where("column IS NOT NULL")
-    apart = of(of(whole, "x", parts), "c", parts).where("x_part <> c_part").select("column").distinct()
-    still = whole.join(apart, "column", "left_semi")
-    members = still.select("column", F.col("x").alias("d"), F.col("xp").alias("p")).union(still.select("column", F.col("c").alias("d"), F.col("cp").alias("p"))).distinct()
-    members = written(of(members, "d", parts), "ngram-apart")
-    again = _shuffled_neighbours(members, numer, denom).join(pairs, ["u", "v"], "left_anti")
-    again = written(again, "ngram-again")
-    found = written(_linked(again, _whole_sets(rows, nodes(again)), numer, denom), "ngram-found")
-    if not found.isEmpty():
-        pairs, links = pairs.union(again), links.union(found)
-        parts = connected_components(links)
-        members = of(members.drop("d_part"), "d", parts)
-        members = members.join(members.groupBy("column").agg((F.min("d_part") != F.max("d_part")).alias("open")).where("open").select("column"), "column", "left_semi")
-
-    # a pair meets in its first common column of all: elsewhere one of the columns just before is common too
-    ordered = signs.join(if_small(members.select(F.col("d").alias("doc_id")).distinct(), 16), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("d")).agg(F.any_value("columns").alias("columns"))
-    place = F.expr("cast(p & 4294967295 as int)")
-    members = members.join(ordered, "d").withColumn("earlier", F.slice("columns", F.greatest(place - 7, F.lit(1)), F.least(place, F.lit(8)))).drop("columns")
-    members = written(members, "ngram-open")
-    # the rows of a column's commonest component need not be multiplied with one another
-    sizes = members.groupBy("column", "d_part").agg(F.count("*").alias("k"))
-    main = sizes.groupBy("column").agg(F.max_by("d_part", F.struct("k", "d_part")).alias("main"))
-    members = members.join(main, "column")
-    a = members.where("d_part <> main").select("column", F.col("d").alias("u"), F.col("p").alias("xp"), F.col("d_part").alias("pu"), F.col("earlier").alias("eu"))
-    b = members.select("column", F.col("d").alias("v"), F.col("p").alias("cp"), F.col("d_part").alias("pv"), F.col("earlier").alias("ev"), (F.col("d_part") == F.col("main")).alias("in_main"))
-    rest = a.join(b, "column").where(f"pu <> pv AND (in_main OR u < v) AND {admissible} AND NOT arrays_overlap(eu, ev)")
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = written(rest, "ngram-rest")
-    more = written(_linked(rest, _whole_sets(rows, nodes(rest)), numer, denom), "ngram-more")
-    if not more.isEmpty():
-        parts = connected_components(links.union(more))
+    with Scratch(spark, "ngrams") as scratch:
+        levels = spark.sparkContext.broadcast(column_levels(rows))  # 4 MB, whatever the input
+        signs = scratch.written(_signatures(rows, levels, numer, denom), "signatures", keep=True)
+        levels.destroy()
+        known = signs.where("n > 0 AND doc_id IS NOT NULL")
+        several = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("x"), F.count("*").alias("copies")).where("copies > 1")
+        several = scratch.written(several, "copies", keep=True)
+        copies = known.select("doc_id", "h1", "h2").join(several, ["h1", "h2"]).where("doc_id <> x").select("doc_id").distinct()
+        groups = known.join(if_small(copies, 16), "doc_id", "left_anti").select(F.col("doc_id").alias("x"), "n", "columns")
+        stars = scratch.written(_stars(groups, numer, denom), "stars")
+        admissible = _ADMISSIBLE.format(numer=numer, denom=denom)
+        pairs = scratch.written(_candidates(stars.where(f"column IS NULL OR ({admissible})")), "pairs")
+        links = _linked(pairs, rows, scratch, numer, denom)
+        parts = connected_components(links, scratch)
+
+        # columns whose rows are not all in one component by now
+        whole = stars.where("column IS NOT NULL")
+        apart = _of(_of(whole, "x", parts), "c", parts).where("x_part <> c_part").select("column").distinct()
+        still = whole.join(apart, "column", "left_semi")
+        members = still.select("column", F.col("x").alias("d"), F.col("xp").alias("p")).union(still.select("column", F.col("c").alias("d"), F.col("cp").alias("p"))).distinct()
+        members = scratch.written(_of(members, "d", parts), "apart")
+        again = scratch.written(_shuffled_neighbours(members, numer, denom).join(pairs, ["u", "v"], "left_anti"), "again")
+        scratch.drop(stars)
+        if not again.isEmpty():
+            found = _linked(again, rows, scratch, numer, denom)
+            pairs, links = pairs.union(again), links.union(found)
+            parts = connected_components(links, scratch)
+            members = _of(members.drop("d_part"), "d", parts)
+            open_ = members.groupBy("column").agg((F.min("d_part") != F.max("d_part")).alias("open")).where("open").select("column")
+            members = members.join(open_, "column", "left_semi")
+        rest = scratch.written(_rest(members, signs, scratch, admissible).join(pairs, ["u", "v"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            links = links.union(_linked(rest, rows, scratch, numer, denom))
+        parts = connected_components(links, scratch, keep=True)
 
     out = signs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "h1", "h2").join(several.select("h1", "h2", "x"), ["h1", "h2"], "left")
     out = out.withColumn("x", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("x", "doc_id")).otherwise(F.col("doc_id")))
@@ -369,7 +448,36 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select("doc_id", "n_shingles", F.coalesce("component", "x").alias("component_id"))
 
 
+def _of(df: DataFrame, name: str, parts: DataFrame) -> DataFrame:
+    """df with the component of a column's rows; a row without links is its own."""
+    own = parts.select(F.col("node").alias(name), F.col("component").alias(f"{name}_part"))
+    return df.join(own, name, "left").withColumn(f"{name}_part", F.coalesce(f"{name}_part", name))
+
+
+def _rest(members: DataFrame, signs: DataFrame, scratch: Scratch, admissible: str) -> DataFrame:
+    """All admissible pairs of different components in the columns that are still open, but those within a column's commonest component.
+
+    A pair is made in its first common column of all: elsewhere one of the columns just before is common too.
+    """
+    own = signs.join(if_small(members.select(F.col("d").alias("doc_id")).distinct(), 16), "doc_id", "left_semi")
+    ordered = own.groupBy(F.col("doc_id").alias("d")).agg(F.any_value("columns").alias("columns"))
+    place = F.expr("cast(p & 4294967295 as int)")
+    members = members.join(ordered, "d").withColumn("earlier", F.slice("columns", F.greatest(place - 7, F.lit(1)), F.least(place, F.lit(8)))).drop("columns")
+    members = scratch.written(members, "open")
+    sizes = members.groupBy("column", "d_part").agg(F.count("*").alias("k"))
+    members = members.join(sizes.groupBy("column").agg(F.max_by("d_part", F.struct("k", "d_part")).alias("main")), "column")
+    a = members.where("d_part <> main").select("column", F.col("d").alias("x"), F.col("p").alias("xp"), F.col("d_part").alias("pu"), F.col("earlier").alias("eu"))
+    b = members.select("column", F.col("d").alias("c"), F.col("p").alias("cp"), F.col("d_part").alias("pv"), F.col("earlier").alias("ev"), (F.col("d_part") == F.col("main")).alias("in_main"))
+    met = a.join(b, "column").where(f"pu <> pv AND (in_main OR x < c) AND {admissible} AND NOT arrays_overlap(eu, ev)")
+    return _candidates(met.withColumn("home", F.col("column")))
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numer: int = 4, denom: int = 5) -> DataFrame:
-    """The rows of docs with the smallest id of their component, all columns as they are; rows without an id stay."""
-    found = written(ngram_components(docs, id_col, text_col, numer, denom).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "ngram-gone")
-    return docs.join(if_small(found, 16), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """The rows of docs with the smallest id of their component, all columns as they are; rows without an id stay, repeated rows stay as often."""
+    before = mark()
+    with Scratch(docs.sparkSession, "one-of-each") as scratch:
+        gone = fresh(docs, "gone")[0]
+        found = ngram_components(docs, id_col, text_col, numer, denom).where("component_id <> doc_id")
+        found = scratch.written(found.select(F.col("doc_id").alias(gone)).distinct(), "gone", keep=True)
+        release(before)
+    return docs.join(if_small(found, 16), column(id_col).cast("long") == F.col(gone), "left_anti")

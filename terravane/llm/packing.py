@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terravane.llm.common import Scratch
+
 
 def _first_best(cost: np.ndarray, docs: np.ndarray, total: np.ndarray, lengths: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """For each j the least cost of a last bucket (i, j] after cost[i], least <= i < j, and the first such i.
@@ -59,14 +61,15 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
     return out[::-1]
 
 
-def _before(rows: DataFrame, keys: list[str], order: str, value: str, width: int = 1024) -> DataFrame:
-    """Sum of `value` over smaller `order` (a long, one row for each) within keys, in two levels, so that no task sees all rows."""
-    over = rows.withColumn("__up", F.floor(F.col(order) / width).cast("long"))
-    up = over.groupBy(*keys, "__up").agg(F.sum(value).alias("__s"))
-    w = Window.partitionBy(*keys).orderBy("__up").rowsBetween(Window.unboundedPreceding, -1)
-    up = up.select(*keys, "__up", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__b"))
-    w = Window.partitionBy(*keys, "__up").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return over.withColumn("__w", F.coalesce(F.sum(value).over(w), F.lit(0))).join(up, [*keys, "__up"]).withColumn("before", (F.col("__b") + F.col("__w")).cast("long")).drop("__up", "__w", "__b")
+#: Rows of one id and length that a task writes one after another.
+RUN = 1 << 16
+
+
+def _bases(rows: DataFrame) -> DataFrame:
+    """For each bucket and range of ids the documents of the bucket in earlier ranges; a row for each range and bucket."""
+    totals = rows.groupBy("bucket", "part").agg(F.sum("copies").alias("n"))
+    earlier = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("bucket", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
 
 
 def pack(lengths: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFrame:
@@ -77,25 +80,37 @@ def pack(lengths: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFram
     are numbered by doc_id (rows of one id by length; null ids last), and each run of max(1, budget // boundary) of
     them is a batch, whose tokens with padding stay within the budget unless one document alone exceeds it.
     batch counts from 0 in each bucket, slot from 0 in each batch. Lengths of 0 or null get the bucket of the
-    shortest boundary with 0 tokens; an empty table gives no rows.
+    shortest boundary with 0 tokens; repeated rows are counted each; an empty table gives no rows.
 
-    The histogram has a row for each distinct length, at most the root of twice the tokens. Numbers come from prefix sums of counts
-    over blocks of 1,024 neighbouring ids, so no task sees a whole bucket.
+    The histogram has a row for each distinct length, at most the root of twice the tokens. Rows of one id and length are one row with a
+    count, dealt by ranges of bucket, id and length, however sparse the ids are; numbers are a range's base, the sum of the ranges
+    before it, and a running sum in the range. So no task sees a whole bucket, and rows without an id are at most as many as lengths.
     """
-    rows = lengths.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    bins = sorted(tuple(r) for r in rows.groupBy("n_tokens").agg(F.count("*")).collect())
-    length, n = np.array(bins, np.int64).reshape(-1, 2).T
-    bounds = best_boundaries(length, n, length * n, buckets)
-    bucket = F.lit(None).cast("int")
-    for k in range(len(bounds) - 1, -1, -1):
-        bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
+    n_tokens = F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).cast("long")
+    with Scratch(lengths.sparkSession, "packing") as scratch:
+        rows = scratch.written(lengths.select("doc_id", n_tokens.alias("n_tokens")).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")), "lengths")
+        bins = sorted(tuple(r) for r in rows.groupBy("n_tokens").agg(F.sum("copies")).collect())
+        length, n = np.array(bins, np.int64).reshape(-1, 2).T
+        bounds = best_boundaries(length, n, length * n, buckets)
+        bucket = F.lit(None).cast("int")
+        for k in range(len(bounds) - 1, -1, -1):
+            bucket = F.when(F.col("n_tokens") <= bounds[k], F.lit(k)).otherwise(bucket)
+        order = ["bucket", F.asc_nulls_last("doc_id"), "n_tokens"]
+        ranged = rows.withColumn("bucket", bucket).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+        ranged = scratch.written(ranged, "ranged", keep=True)  # a range's number is part of what is written
+        bases = scratch.written(_bases(ranged), "bases", keep=True)
+
+    within = Window.partitionBy("bucket", "part").orderBy(F.asc_nulls_last("doc_id"), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(bases, ["bucket", "part"])
+    numbered = numbered.select("doc_id", "n_tokens", "bucket", "copies", (F.col("base") + F.col("first")).alias("at"))
+    # copies are dealt in runs before they are written out
+    many = numbered.where("copies > 1").withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / RUN)))).repartition("doc_id", "n_tokens", "run")
+    each = F.explode(F.sequence(F.col("run") * RUN, F.least(F.col("copies"), (F.col("run") + 1) * RUN) - 1))
+    many = many.withColumn("i", each).select("doc_id", "n_tokens", "bucket", (F.col("at") + F.col("i")).alias("at"))
+    numbered = numbered.where("copies = 1").drop("copies").union(many)
     boundary = F.element_at(F.array(*[F.lit(b).cast("long") for b in bounds or [0]]), F.col("bucket") + 1)
-    rows = rows.withColumn("bucket", bucket).withColumn("boundary", boundary)
-    rows = rows.withColumn("__block", F.floor(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)) / 1024).cast("long"))
-    blocks = _before(rows.groupBy("bucket", "__block").agg(F.count("*").alias("__n")), ["bucket"], "__block", "__n").select("bucket", "__block", F.col("before").alias("__base"))
-    w = Window.partitionBy("bucket", "__block").orderBy(F.asc_nulls_last("doc_id"), "n_tokens")
-    numbered = rows.withColumn("__i", F.row_number().over(w) - 1).join(blocks, ["bucket", "__block"])
-    at, size = F.col("__base") + F.col("__i"), F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1)))).cast("long")
-    return numbered.select(
-        "doc_id", "n_tokens", "bucket", "boundary", F.floor(at / size).cast("long").alias("batch"), (at % size).cast("int").alias("slot"), (F.col("boundary") - F.col("n_tokens")).alias("padding")
-    )
+    size = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1)))).cast("long")
+    return numbered.withColumn("boundary", boundary).select(
+        "doc_id", "n_tokens", "bucket", "boundary", F.floor(F.col("at") / size).cast("long").alias("batch"), (F.col("at") % size).cast("int").alias("slot"),
+        (F.col("boundary") - F.col("n_tokens")).alias("padding"),
+    )

@@ -1,4 +1,4 @@
-"""Exclusive prefix sums over a whole table without bringing it to one task."""
+"""Exclusive prefix sums of the totals of parts, of which there are as many as files."""
 
 from __future__ import annotations
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from terravane.llm.common import documents, written
+from terravane.llm.common import documents
 from terravane.llm.decontaminate import find_contamination
 from terravane.llm.exact_dedup import exact_groups
 from terravane.llm.language_id import language_id
@@ -21,46 +20,54 @@ from terravane.llm.toxicity import score_toxicity, train_toxicity
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of secrets in every document."""
     return scan_secrets(documents(spark, sf_dir))
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document in the token files, read back from them."""
     return token_files(documents(spark, sf_dir))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts, and the one that stays."""
     return exact_groups(documents(spark, sf_dir))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), "text")
+    """Lines and removed lines of every document, and what is left of its text."""
+    return dedup_lines(documents(spark, sf_dir))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of shingles and its component of links."""
     return ngram_components(documents(spark, sf_dir))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     return token_counts(documents(spark, sf_dir))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language and a score for every document."""
     return language_id(documents(spark, sf_dir))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score and a prediction for every document."""
     docs = documents(spark, sf_dir)
     return score_toxicity(docs, train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in windows of the benchmark, and the items they come from."""
     return find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buckets and batches by the documents' token counts, which are written once and read twice."""
-    return pack(written(token_counts(documents(spark, sf_dir)).select("doc_id", "n_tokens"), "lengths"))
+    """Bucket, boundary, batch, slot and padding of every document, by its token count."""
+    return pack(token_counts(documents(spark, sf_dir)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_toxicity, op3_decontaminate, op4_token_files, op5_exact_dedup, op6_line_dedup, op7_ngram_join, op8_token_counts, op9_language_id, op10_packing)}

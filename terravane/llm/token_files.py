@@ -14,7 +14,6 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terravane.llm.common import Texts, id_and_text, scratch_path
+from terravane.llm.common import Scratch, Texts, id_and_text, open_folder
 from terravane.llm.prefix_sums import bases
 from terravane.llm.token_count import REMEMBERED, Memory, pre_tokens
 
 
-def _open(folder: str):
-    """The file system of a folder's URI, and the path in it; a local path means storage that all machines mount."""
-    u = urlparse(folder)
-    if u.scheme in ("", "file"):
-        return fs.LocalFileSystem(), unquote(u.path) if u.scheme else folder
-    return fs.FileSystem.from_uri(folder)
+#: Bytes of text that a part is meant for.
+PART = 256 << 20
 
 
 class _Encoder:
@@ -81,15 +76,20 @@ def _encoder(path: str, end_id: int) -> _Encoder:
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0, parts: int | None = None) -> list[dict]:
     """Encode every whole text, append end_id, and write the files of this module's format; returns the index.
 
-    Texts are dealt by ranges of the id and sorted by it (rows of one id by their text; null ids come first), then encoded as a
-    stream: a task holds one Arrow batch. A task writes to files of its own attempt and renames
+    Texts are dealt by ranges of the id and a hash of the text, so that rows of one id or of none spread too, and sorted
+    (null ids come first), then encoded as a stream: a task holds one Arrow batch. Where `parts` is not given there are as many as
+    the session shuffles to, or more where that would make parts of over PART bytes. A task writes to files of its own attempt and renames
     them at its end, so that a task that runs again, or twice, leaves the same files. Null texts
     are empty and have only end_id; an empty table writes an index of no parts.
     """
     spark = docs.sparkSession
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_and_text(docs, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = id_and_text(docs, id_col, text_col)
+    if not parts:
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PART))
+    by = ("doc_id", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by, "text")
 
     def write(it):
         from pyspark import TaskContext
@@ -97,7 +97,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         context = TaskContext.get()
         part = context.partitionId()
         encode = _encoder(path, end_id)
-        at, base = _open(folder)
+        at, base = open_folder(folder)
         at.create_dir(base, recursive=True)
         name = f"{base}/part-{part:05d}"
         attempt = f"{base}/attempt-{part:05d}-{context.taskAttemptId()}"
@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     made = sorted((tuple(r) for r in dealt.mapInArrow(write, "part int, docs long, ids long").collect()), key=lambda r: r[0])  # a row for each part
     made = [r for r in made if r[1]]
     index = [{"part": p, "docs": d, "ids": i, "base": b} for (p, d, i), b in zip(made, bases([r[2] for r in made]), strict=True)]
-    at, base = _open(folder)
+    at, base = open_folder(folder)
     at.create_dir(base, recursive=True)
     with at.open_output_stream(f"{base}/index.json") as f:
         f.write(json.dumps({"type": _encoder(path, end_id).type.str, "parts": index}).encode())
@@ -141,7 +141,7 @@ def _map(at, path: str, kind: str) -> np.ndarray:
 
 def read_part(folder: str, part: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """ids, offsets, document ids and their null marks of a part, mapped, not loaded, where the storage is mounted."""
-    at, base = _open(folder)
+    at, base = open_folder(folder)
     name = f"{base}/part-{part:05d}"
     offsets = _map(at, f"{name}.offsets", "<u8")
     docs = _map(at, f"{name}.docs", "u1")
@@ -151,7 +151,7 @@ def read_part(folder: str, part: int, kind: str) -> tuple[np.ndarray, np.ndarray
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document of a folder: doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
-    at, base = _open(folder)
+    at, base = open_folder(folder)
     with at.open_input_file(f"{base}/index.json") as f:
         index = json.loads(f.read())
     kind = index["type"]
@@ -175,6 +175,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0) -> DataFrame:
     """Write the token files of docs into the shared folder and read them back: a row per input row."""
-    folder = scratch_path(docs.sparkSession, "tokens")
-    write_token_files(docs, folder, id_col, text_col, path, end_id)
+    with Scratch(docs.sparkSession, "tokens") as scratch:
+        folder = f"{scratch.folder}/files"
+        write_token_files(docs, folder, id_col, text_col, path, end_id)
+        scratch.kept.append("files")
     return read_token_files(docs.sparkSession, folder)

@@ -50,9 +50,14 @@ class Words:
         self.place = np.r_[0, np.cumsum(self.length)]
 
     def shingles(self, k: int) -> np.ndarray:
-        n = max(len(self.hash) - k + 1, 0)
-        out = np.zeros(n, np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                out += self.hash[j : j + n] * MIX[j]
-            return out ^ (out >> np.uint64(32))
+        return shingles(self.hash, k)
+
+
+def shingles(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k word hashes."""
+    n = max(len(words) - k + 1, 0)
+    out = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            out += words[j : j + n] * MIX[j]
+        return out ^ (out >> np.uint64(32))
