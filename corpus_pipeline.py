@@ -7,12 +7,11 @@ written as Parquet and read again as the next one's docs. All but the last retur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from terravane.llm.common import prepare, written
+from terravane.llm.common import Scratch, mark, prepare, release
 from terravane.llm.decontaminate import without_contamination
 from terravane.llm.language_id import known_languages, train_languages
-from terravane.llm.line_dedup import dedup_lines
+from terravane.llm.line_dedup import without_repeated_lines
 from terravane.llm.ngram_join import one_of_each
 from terravane.llm.packing import pack
 from terravane.llm.token_count import token_counts
@@ -26,8 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line matches go; a document goes if that leaves it without any word."""
-    cut = dedup_lines(docs)
-    return cut.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return without_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Length buckets and token-budget batches of what is left, by token counts."""
-    return pack(written(token_counts(docs).select("doc_id", "n_tokens"), "lengths"))
+    return pack(token_counts(docs))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
@@ -52,10 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; the rows of the last one."""
+    """All stages over `documents`; the rows of the last one. What a stage read goes when its own output is written."""
     out = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, out, sf_dir)
-        if k < len(STAGES) - 1:
-            out = written(out, f"stage-{name}")
-    return out
+    before = None
+    with Scratch(spark, "pipeline") as scratch:
+        for name, stage in STAGES[:-1]:
+            at = mark()
+            out = scratch.written(stage(spark, out, sf_dir), f"stage-{name}")
+            release(at)
+            if before is not None:
+                scratch.drop(before)
+            before = out
+        return STAGES[-1][1](spark, out, sf_dir)
