@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terravane.llm.common import Texts, batches, filtered, id_and_text
+from terravane.llm.common import Texts, batches, column, filtered, id_and_text, trim
 from terravane.llm.ngrams import letters
 from terravane.llm.sampling import chosen, class_counts, fold
 
@@ -28,6 +28,8 @@ SIZE = PAIRS + TRIPLES
 NOTHING = SIZE
 #: Labelled documents of each language that training reads at most (about; the bound of the sample).
 PER_LANGUAGE = 1500
+#: Score from which known_languages believes a prediction.
+LEAST = 0.35
 
 
 def family_of(lang: str) -> str:
@@ -134,9 +136,10 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_
     """Learn from the whole texts of a sample of about per_language rows of each language, outside the held-out fold.
 
     held_out: (folds, the fold that is not learnt from). The sample is chosen by a hash of the id. Rows
-    without id, text or language are not learnt from; without any row the model knows no language.
+    without id, text or language are not learnt from; without any row the model knows no language. A row of the sample
+    comes to the driver as at most SIZE counts, however long its text.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), held_out[0]) != held_out[1]))
     counts = class_counts(rows, "lang")
     spec = [("lang", pa.string()), ("place", pa.int64()), ("idx", pa.binary()), ("val", pa.binary())]
@@ -153,19 +156,21 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_
         return [batch.column(1), batch.column(2), [x for x, _ in out], [x for _, x in out]]
 
     sample = rows.where(F.col("text").isNotNull() & chosen(counts, "lang", per_language)).select("text", "lang", "doc_id")
-    found = sample.mapInArrow(extract, "lang string, place long, idx binary, val binary").collect()
-    found.sort(key=lambda r: (r["lang"], r["place"], r["idx"]))
-    found = [r for r in found if r["idx"]]
-    langs = sorted({r["lang"] for r in found})
+    found = sample.mapInArrow(extract, "lang string, place long, idx binary, val binary").toArrow().combine_chunks()
+    named, places = found.column(0).to_pylist(), found.column(1).to_pylist()
+    idx, val = found.column(2).to_pylist(), found.column(3).to_pylist()
+    order = sorted((i for i in range(len(idx)) if idx[i]), key=lambda i: (named[i], places[i], idx[i]))
+    of = np.array([named[i] for i in order])
+    langs = sorted(set(of.tolist()))
     if not langs:
         return LanguageModel()
-    data = [(np.frombuffer(r["idx"], "<i4"), np.frombuffer(r["val"], "<f4").astype(float)) for r in found]
+    data = [(np.frombuffer(idx[i], "<i4"), np.frombuffer(val[i], "<f4")) for i in order]
+    del found, idx, val
     mean = np.zeros(SIZE + 1)
-    for idx, v in data:
-        mean[idx] += v
+    for i, v in data:
+        mean[i] += v
     scale = 1 / np.sqrt(np.maximum(mean / len(data), 1e-6))
-    data = [(idx, v * scale[idx]) for idx, v in data]
-    of = np.array([r["lang"] for r in found])
+    data = [(i, (v * scale[i]).astype(np.float32)) for i, v in data]
     families = sorted({family_of(x) for x in langs})
     members = {f: [x for x in langs if family_of(x) == f] for f in families}
     fam = np.array([family_of(x) for x in of])
@@ -176,6 +181,8 @@ def train_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_
         fitted.append(linear_svm([data[i] for i in own], np.where(of[own] == a, 1, -1)))
     weights = np.column_stack([w * scale for w, _ in fitted]).astype(np.float32)
     weights[NOTHING] = 0
+    del data
+    trim()
     return LanguageModel(families, members, pairs, weights, np.array([b for _, b in fitted]))
 
 
@@ -201,15 +208,23 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return rows.mapInArrow(identify, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose language the model can tell, all columns as they are: null, empty and letterless texts go."""
+def known_languages(docs: DataFrame, model: LanguageModel, languages: list[str] | None = None, least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are in one of the languages (None: any that the model has learnt), all columns as they are.
+
+    A row stays if the language predicted for its text is among them with a score of at least `least`. Null, empty and letterless
+    texts go. A model that has learnt no language rejects nothing else. Repeated rows stay or go together; ids are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(texts: Texts) -> np.ndarray:
         out = np.zeros(len(texts), bool)
         for i, j in texts.pieces(1 << 18):
-            langs, _ = shared.value.predict(texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i])
-            out[i:j] = np.array(langs, object) != "und"
+            data, bounds = texts.data[texts.bounds[i] : texts.bounds[j]], texts.bounds[i : j + 1] - texts.bounds[i]
+            if not shared.value.families:
+                out[i:j] = has_letter(data, bounds)
+                continue
+            langs, score = shared.value.predict(data, bounds)
+            out[i:j] = [x != "und" and s >= least and (languages is None or x in languages) for x, s in zip(langs, score, strict=True)]
         return out
 
     return filtered(docs, text_col, keep)

@@ -369,8 +369,65 @@ def test_language_by_held_out_rows(spark):
     assert len(held) > 30 and sum(r.lang_pred == want[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (1000, 1001, 1002)) and by[1003].lang_pred != "und"
     assert all(0 <= r.score <= 1 for r in got) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got if r.doc_id is not None)
-    kept = language_id.known_languages(d, language_id.train_languages(d))
-    assert kept.columns == d.columns and kept.count() == len(rows) - 3
+    model = language_id.train_languages(d)
+    kept = language_id.known_languages(d, model)
+    want = [r.doc_id for r in got if r.lang_pred != "und" and r.score >= language_id.LEAST]
+    assert kept.columns == d.columns and sorted(map(str, want)) == sorted(str(r.doc_id) for r in kept.collect())
+    french = language_id.known_languages(d, model, ["fr"], 0.5).collect()
+    assert sorted(map(str, (r.doc_id for r in french))) == sorted(str(r.doc_id) for r in got if r.lang_pred == "fr" and r.score >= 0.5) and len(french) > 50
+    # nothing can be learnt: only texts without letters go
+    assert language_id.known_languages(d, language_id.LanguageModel()).count() == len(rows) - 3
+
+
+def plain_features(text):
+    """Pairs and triples of bytes of the folded text, by their numbers, in plain Python."""
+    t = (text or "").lower().encode()
+    t = b" " + re.sub(rb"[^a-z\x80-\xff]+", b" ", t).strip(b" ") + b" " if t.strip() else b"  "
+    t = re.sub(rb" +", b" ", t)
+    out = {}
+    for i in range(len(t) - 1):
+        out[t[i] << 8 | t[i + 1]] = out.get(t[i] << 8 | t[i + 1], 0) + 1
+    for i in range(len(t) - 2):
+        k = 65536 + (((t[i] << 16 | t[i + 1] << 8 | t[i + 2]) * 2654435761 & 0xFFFFFFFF) >> 16)
+        out[k] = out.get(k, 0) + 1
+    return out, max(2 * len(t) - 3, 1)
+
+
+def test_language_margins_against_plain_sums(spark):
+    import numpy as np
+
+    rows = [r for r in language_rows() if len(r[1]) > 20]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train_languages(d)
+    assert model.families == ["germanic", "romance"] and model.pairs == [("de", "en"), ("es", "fr")]
+    for _, text, _ in rows[:60]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        f, total = plain_features(text)
+        want = sum((model.weights[k].astype(float) * n for k, n in f.items()), np.zeros(4)) / total + model.biases
+        assert model.margins(raw, np.array([0, len(raw)]))[0] == pytest.approx(want, abs=1e-4)
+    # the hierarchy, by plain rules on the margins
+    texts = [t for _, t, _ in rows[:60]]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
+    langs, _ = model.predict(raw, bounds)
+    for m, lang in zip(model.margins(raw, bounds), langs, strict=True):
+        k = 0 if m[0] >= m[1] else 1
+        assert lang == model.pairs[k][0 if m[2 + k] >= 0 else 1]
+
+
+def test_svm_against_plain_gradient_descent():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 8))
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.normal(size=60) > 0.4, 1, -1)
+    w, b = language_id.linear_svm([(np.arange(8), v) for v in x], y, cost=1.0, passes=400)
+    c = np.array([60 / (2 * (y == s).sum()) for s in y])
+    full, u = np.c_[x, np.ones(60)], np.zeros(9)
+    for _ in range(20_000):  # 0.5 |u|^2 + sum c max(0, 1 - y u.x)^2
+        gap = np.maximum(0, 1 - y * (full @ u))
+        u -= 5e-4 * (u - 2 * full.T @ (c * y * gap))
+    assert np.r_[w[:8], b] == pytest.approx(u, abs=1e-3)
 
 
 def test_toxicity_by_held_out_rows(spark):
@@ -397,6 +454,59 @@ def test_toxicity_by_held_out_rows(spark):
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_toxicity_against_plain_regression(spark):
+    """Ratios, features and weights in plain Python and by Newton's method."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(15)
+    words = ["lorem", "ipsum", "dolor", "amet", "elit"]
+    rows, labels = [], []
+    for i in range(200):
+        w = [rng.choice(words) for _ in range(12)] + (["vile"] if i % 3 == 0 or rng.random() < 0.05 else [])
+        rows.append((i, " ".join(rng.sample(w, len(w)))))
+        labels.append((i, int(i % 3 == 0)))
+    d = docs(spark, rows)
+    model = toxicity.train_toxicity(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(d, model).collect()}
+    grams = lambda t: {(o, (" " + t + " ").encode()[i : i + o]) for o in (4, 5, 6) for i in range(len(t) + 3 - o)}
+    learnt = [(grams(t), y) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 5]
+    n1, n0 = sum(y for _, y in learnt), sum(1 - y for _, y in learnt)
+    ratio = {}
+    for g in set().union(*(s for s, _ in learnt)):
+        p, q = sum(y for s, y in learnt if g in s), sum(1 - y for s, y in learnt if g in s)
+        a, b = (p + 1) / (n1 + 2), (q + 1) / (n0 + 2)
+        r = math.log(a / (1 - min(a, 0.999))) - math.log(b / (1 - min(b, 0.999)))
+        if p + q >= 3 and abs(r) / math.sqrt(1 / (p + 1) + 1 / (q + 1)) >= 3:
+            ratio[g] = r
+    names = sorted(ratio)
+    assert len(names) == len(model.codes) > 0
+    row = lambda s: [ratio[g] if g in s else 0.0 for g in names] + [1.0]
+    x, y = np.array([row(s) for s, _ in learnt]), np.array([v for _, v in learnt], float)
+    w, ridge = np.zeros(len(names) + 1), np.r_[np.ones(len(names)), 0]
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge) + 1e-9 * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    for i, t in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-float(np.dot(row(grams(t)), w)))), abs=0.02)
+
+
+def test_nothing_is_left_in_the_shared_folder(spark, tmp_path):
+    import os
+
+    from terravane.llm.common import checkpoint_base, mark, release
+
+    base, at = checkpoint_base(spark), mark()
+    have = set(os.listdir(base)) if os.path.isdir(base) else set()
+    d = docs(spark, near_copies(3, 30))
+    for out in (line_dedup.dedup_lines(d), ngram_join.ngram_components(d), ngram_join.one_of_each(d), token_files.token_files(d), packing.pack(token_count.token_counts(d))):
+        assert out.count() > 0
+    assert set(os.listdir(base)) != have
+    release(at)
+    assert set(os.listdir(base)) == have
+
+
 def test_empty_tables(spark):
     d = spark.createDataFrame([], SCHEMA + ", lang string")
     empty = spark.createDataFrame([], "item_id long, text string")
