@@ -16,11 +16,18 @@ from terravane.llm.ngram_join import one_of_each
 from terravane.llm.packing import pack
 from terravane.llm.token_count import token_counts
 
+#: Languages that the language stage keeps (None: all that it learns from the labelled rows), and the score it asks for.
+LANGUAGES: list[str] | None = None
+LEAST = 0.35
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn the languages from the rows outside the held-out fold; documents without a tellable language (null, empty, no letters) go."""
+    """Learn the languages from the rows outside the held-out fold; documents that are in none of LANGUAGES by a score of LEAST go.
+
+    Null, empty and letterless texts are in none. Where no row has a language to learn from, nothing else goes.
+    """
     prepare(spark)
-    return known_languages(docs, train_languages(docs))
+    return known_languages(docs, train_languages(docs), LANGUAGES, LEAST)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
