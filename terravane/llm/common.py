@@ -6,7 +6,6 @@ import atexit
 import ctypes
 import os
 import uuid
-from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -97,29 +96,23 @@ def _release_all() -> None:
         pass
 
 
-@contextmanager
-def _own_shuffles_go(spark: SparkSession):
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 class Scratch:
     """The tables that a run of an operator writes into the shared folder, each a cut of the lineage.
 
-    Use it in a `with`: at its end the tables go, but for those that were kept because the result reads them.
+    Use it in a `with`: at its end the tables go, but for those that were kept because the result reads them. Inside it
+    Spark deletes the shuffle files of each query as soon as that has ended.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n, self.kept = spark, scratch_path(spark, name), 0, []
 
     def __enter__(self) -> Scratch:
+        self.cleanup = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
         return self
 
     def __exit__(self, *_) -> None:
+        self.spark.conf.set(CLEANUP, self.cleanup)
         at, path = open_folder(self.folder)
         for f in at.get_file_info(fs.FileSelector(path, allow_not_found=True)):
             if f.base_name not in self.kept:
@@ -136,8 +129,7 @@ class Scratch:
         if keep:
             self.kept.append(own)
         path = f"{self.folder}/{own}"
-        with _own_shuffles_go(self.spark):
-            df.write.parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = own
         return out
@@ -176,9 +168,7 @@ BROADCAST = 32 << 20
 
 def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df, marked for broadcast if a count shows that it is small."""
-    with _own_shuffles_go(df.sparkSession):
-        small = df.count() * row_bytes <= BROADCAST
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST else df
 
 
 def trim() -> None:

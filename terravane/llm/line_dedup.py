@@ -69,7 +69,8 @@ def _levels(lines: DataFrame) -> str:
     each = lines.select(_words(F.col("line")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - SIZE, F.lit(0)))).alias("i"))
     token = f"CASE WHEN size(w) >= {SIZE} THEN xxhash64({', '.join(f'get(w, i + {k})' for k in range(SIZE))}) ELSE xxhash64(w, size(w)) END"
     sketch = each.groupBy(F.expr(f"cast({token} & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
-    table = dict(map(tuple, sketch.select("b", F.floor(F.log2("n") * 4).cast("int")).collect()))  # at most BUCKETS numbers
+    found = sketch.select("b", F.floor(F.log2("n") * 4).cast("int").alias("step")).toArrow()  # at most BUCKETS numbers
+    table = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     numbers = ",".join(str(table.get(b, 0)) for b in range(BUCKETS))
     return f"get(from_json('[{numbers}]', 'array<bigint>'), cast(t & {BUCKETS - 1} as int))"  # folded to a constant
 

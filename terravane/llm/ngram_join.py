@@ -66,7 +66,8 @@ def _narrow(counts: np.ndarray) -> str:
 def column_levels(rows: DataFrame) -> np.ndarray:
     """How frequent the n-grams of each bucket are, over all documents, in steps of a quarter of a doubling.
 
-    A task sums what it has read and sends its counters in parts; the parts are summed as they stream in.
+    A task sums what it has read and sends its counters in parts; the parts are summed as they stream in, and a byte of each counter
+    comes to the driver.
     """
     schema = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
@@ -92,15 +93,16 @@ def column_levels(rows: DataFrame) -> np.ndarray:
                 own = np.frombuffer(raw, f"<u{len(raw) // TOGETHER}").astype(np.int64)
                 sums[part] = sums[part] + own if part in sums else own
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sums.values()], pa.binary())], schema=schema)
+            steps = [np.minimum(np.log2(x + 1.0) * 4, 255).astype(np.uint8).tobytes() for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(steps, pa.binary())], schema=schema)
 
     spec = "part int, counts binary"
     reducers = min(BUCKETS // TOGETHER, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     summed = rows.select("text").mapInArrow(count, spec).repartition(reducers, "part").mapInArrow(total, spec).collect()  # BUCKETS numbers
-    out = np.zeros(BUCKETS)
+    out = np.zeros(BUCKETS, np.uint8)
     for r in summed:
-        out[r["part"] * TOGETHER : (r["part"] + 1) * TOGETHER] = np.frombuffer(r["counts"], "<u8")
-    return np.minimum(np.log2(out + 1) * 4, 255).astype(np.uint8)
+        out[r["part"] * TOGETHER : (r["part"] + 1) * TOGETHER] = np.frombuffer(r["counts"], np.uint8)
+    return out
 
 
 def _signatures(rows: DataFrame, shared, numer: int, denom: int) -> DataFrame:
@@ -182,8 +184,8 @@ def _neighbours(column, x, xp, centre, new, numer, denom) -> pa.RecordBatch | No
 
 
 def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
-    """For all rows of a column with several: (column, x, its place, c, its place, c), c being one row of the column for all of it,
-    and (null, x, its place, y, its place, c): admissible pairs of neighbours in the column's order by size.
+    """(null, x, its place, y, its place, c): admissible pairs of neighbours in a column's order by size; and for the rows of a column
+    that has more rows than neighbours meet in: (column, x, its place, c, its place, c), c being one row of the column for all of it.
     """
 
     def within(it):
@@ -231,7 +233,8 @@ def _stars(rows: DataFrame, numer: int, denom: int) -> DataFrame:
                 own = first == 0
                 cx, cp = np.where(own, centre[0], cx), np.where(own, centre[1], cp)
             new = np.arange(len(column)) >= carried
-            star = new & (size > 1) & (x != cx)
+            # neighbours are all pairs of a column of BACK + 1 rows; one that goes on in other batches may have more
+            star = new & (x != cx) & ((size > BACK + 1) | (column == column[-1]) | (column == column[0]))
             if star.any():
                 yield pa.RecordBatch.from_arrays([pa.array(v[star]) for v in (column, x, xp, cx, cp, cx)], schema=_STAR_SCHEMA)
             if (pairs := _neighbours(column, x, xp, cx, new, numer, denom)) is not None:
@@ -277,8 +280,8 @@ def _candidates(stars: DataFrame) -> DataFrame:
     return each.groupBy("u", "v").agg(F.min("home").alias("home"), F.max("nu").alias("nu"), F.max("nv").alias("nv"))
 
 
-#: N-grams of the sparse rows that a block may have, and column blocks after which hopeless pairs go.
-BLOCK, COLUMN_BLOCKS = 1 << 21, 4
+#: N-grams of the sparse rows that a block may have, column blocks after which hopeless pairs go, and entries multiplied at once.
+BLOCK, COLUMN_BLOCKS, ENTRIES = 1 << 20, 4, 1 << 18
 
 
 def overlaps(values: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, numer: int, denom: int) -> np.ndarray:
@@ -297,8 +300,8 @@ def overlaps(values: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, n
         starts, edge = ends, -(-width * (k + 1) // COLUMN_BLOCKS)
         below = np.r_[0, np.cumsum(values < edge)]
         ends = at[:-1] + below[at[1:]] - below[at[:-1]]  # rows are sorted: what lies below the edge comes first
-        for i in range(0, len(alive), 4096):
-            own = alive[i : i + 4096]
+        each = np.cumsum((ends - starts)[a[alive]] + (ends - starts)[b[alive]])
+        for own in np.split(alive, np.unique(np.searchsorted(each, np.arange(ENTRIES, int(each[-1]) if len(each) else 0, ENTRIES)))):
             x, pair_x = _spread(values, starts, ends, a[own], width)
             y, _ = _spread(values, starts, ends, b[own], width)
             if len(x) and len(y):
