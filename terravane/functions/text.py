@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 QUERY_STOP = "de du des la le les quai quais repere reperes voie voies track tracks platform platforms gate gates marker markers sign signe panneau hall level niveau".split()
 READING_STOP = "voie voies vois vote track tracks platform platforms repere marker gate hall level".split()
 
+#: Fixed value: the characters that stripping white space takes off.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def normalised_query(q: Column) -> Column:
     """Trimmed and lower-cased, sharp s as ss; other case foldings beyond lower case are not covered."""
-    return F.replace(F.lower(F.trim(q)), F.lit("ß"), F.lit("ss"))
+    return F.replace(F.lower(F.btrim(q, F.lit(WHITE))), F.lit("ß"), F.lit("ss"))
 
 
 def basename(url: Column) -> Column:
@@ -47,7 +50,7 @@ def level_text(level: Column) -> Column:
 
 def thumbnail_file(key: Column, index: Column) -> Column:
     """prefix/000042.jpg of a row number."""
-    return F.concat(key, F.lit("/"), F.lpad(index.cast("string"), 6, "0"), F.lit(".jpg"))
+    return F.concat(key, F.lit("/"), F.format_string("%06d", index.cast("long")), F.lit(".jpg"))
 
 
 def thumbnail_index(path: Column) -> Column:

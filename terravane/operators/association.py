@@ -168,21 +168,74 @@ def keyframe_sets(clustered: DataFrame, by: list[str]) -> DataFrame:
     return clustered.where("cluster_id >= 0").groupBy(*by, "cluster_id").agg(F.array_sort(F.collect_set(F.col("keyframe").cast("string"))).alias("keyframe_ids"))
 
 
-def localize(detections: DataFrame, by: list[str], params: LocalizationParams, bands: Column | None = None, origin: tuple[Column, Column, Column] | None = None) -> DataFrame:
+#: Columns of a detection that an observation of the answer carries where they are there.
+SHOWN = ("position", "theta", "phi", "width", "height", "depth", "thumbnail", "level", "positive", "negative")
+
+
+def localize(
+    detections: DataFrame, by: list[str], params: LocalizationParams, bands: Column | None = None, origin: tuple[Column, Column, Column] | None = None
+) -> DataFrame:
     """The whole query: best candidates, association, statistics, filters, floor, ratio, rank, and nested observations.
 
-    With a gain, score is the boosted similarity (columns positive and negative); everything but the score goes by the raw one.
+    With a gain, score is the boosted similarity (columns positive and negative, normalised over the query's candidates as the
+    parameters say); everything but the score goes by the raw one. An observation has object_id, keyframe_id, similarity_score,
+    boosted_score and what the detections have of SHOWN.
     """
+    from terravane.operators import enrichment as E
     from terravane.operators import ranking as R
 
     top = R.top_candidates(detections, params.candidate_count, by)
-    score = M.boosted(F.col("similarity"), F.col("positive"), F.col("negative"), params.alpha, params.beta) if params.alpha or params.beta else F.col("similarity")
+    boost = params.alpha or params.beta
+    if boost:
+        top = E.normalised_scores(top, by, ["positive", "negative"], params.feedback_normalization)
+    score = M.boosted(F.col("similarity"), F.col("positive"), F.col("negative"), params.alpha, params.beta) if boost else F.col("similarity")
     clustered = top.join(associate(top, by, params), [*by, "id"])
     stats = with_geometry(cluster_statistics(clustered, by, params, bands, origin), params.min_observations, params.max_spread_m).drop("similarity")
-    best = clustered.where("cluster_id >= 0").groupBy(*by, "cluster_id").agg(F.max(score).alias("similarity"))
-    ranked = R.rank_clusters(stats.join(best, [*by, "cluster_id"]), by, params.min_similarity, params.num_results)
-    seen = observations(clustered, by, params.max_observations)
-    nested = seen.groupBy(*by, "cluster_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("place", "id", F.col("keyframe").cast("string").alias("keyframe_id"), "similarity"))), lambda o: F.struct(o["id"].alias("object_id"), o["keyframe_id"].alias("keyframe_id"), o["similarity"].alias("similarity_score"))).alias("observations")
-    )
-    return ranked.join(keyframe_sets(clustered, by), [*by, "cluster_id"]).join(nested, [*by, "cluster_id"])
+    # best score, keyframes and observations from one aggregate
+    shown = [F.col(c) for c in SHOWN if c in detections.columns]
+    keyframe = F.col("keyframe").cast("string")
+    one = F.struct(
+        (-F.col("similarity")).alias("order"), F.col("id").alias("object_id"), keyframe.alias("keyframe_id"), F.col("similarity").alias("similarity_score"),
+        score.alias("boosted_score"), *shown,
+    )
+    cluster = clustered.where("cluster_id >= 0").groupBy(*by, "cluster_id").agg(
+        F.max(score).alias("similarity"), F.array_sort(F.collect_set(keyframe)).alias("keyframe_ids"),
+        F.transform(F.slice(F.array_sort(F.collect_list(one)), 1, params.max_observations), lambda o: o.dropFields("order")).alias("observations"),
+    )
+    return R.rank_clusters(stats.join(cluster, [*by, "cluster_id"]), by, params.min_similarity, params.num_results)
+
+
+def refine_by_vectors(
+    clustered: DataFrame, by: list[str], threshold: float, min_cluster: int = 3, min_component: int = 2
+) -> DataFrame:
+    """by, id, cluster_id and score of each row of clusters (cluster_id >= 0, embedding): clusters split where their vectors fall apart.
+
+    A cluster's parts are the components of rows whose cosine reaches the threshold. Clusters of fewer than min_cluster rows, of one
+    part, or without a part of min_component rows stay as they are. Of other ones the first part of that many rows keeps the
+    number, further ones get numbers after the largest of the group (in the order of the clusters, then of the parts), and
+    smaller parts become noise (-1). The score is the cosine with the part's medoid, null for noise. One group is one query or map.
+    """
+    keys = ", ".join(f"{k} {clustered.schema[k].dataType.simpleString()}" for k in by)
+    schema = f"{keys}, id {clustered.schema['id'].dataType.simpleString()}, cluster_id long, score double"
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("id", kind="stable").reset_index(drop=True)
+        old = df["cluster_id"].to_numpy(np.int64)
+        new, score, following = old.copy(), np.full(len(df), np.nan), int(old.max()) + 1
+        for k in np.unique(old[old >= 0]):
+            rows = np.flatnonzero(old == k)
+            vectors = np.vstack(df["embedding"].iloc[rows].tolist())
+            part = K.similar_components(vectors, threshold)
+            large = [p for p in np.unique(part) if (part == p).sum() >= min_component]
+            if len(rows) < min_cluster or part.max() == 0 or not large:
+                score[rows] = K.medoid(vectors)[1]
+                continue
+            new[rows] = -1
+            for n, p in enumerate(large):
+                own = np.flatnonzero(part == p)
+                new[rows[own]] = k if n == 0 else following
+                following += n > 0
+                score[rows[own]] = K.medoid(vectors[own])[1]
+        return df[[*by, "id"]].assign(cluster_id=new, score=score)
+
+    return clustered.select(*by, "id", F.col("cluster_id").cast("long").alias("cluster_id"), "embedding").groupBy(*by).applyInPandas(run, schema)

@@ -42,15 +42,27 @@ def prototype_similarity(candidates: DataFrame, prototypes: DataFrame, name: str
     return joined.withColumn(name, best).drop("__p")
 
 
+def normalised_scores(rows: DataFrame, by: list[str], columns: list[str], mode: str = "standardize") -> DataFrame:
+    """Each column over the rows of its query: as it is (none), less its median (center), or that in units of 1.4826 MAD (standardize).
+
+    Where that unit is at most 1e-9 the score is 0; null stays null. All columns share two aggregates, whatever their number.
+    """
+    if mode == "none":
+        return rows
+    joined = rows
+    medians = rows.groupBy(*by).agg(*[F.median(c).alias(f"__m_{c}") for c in columns])
+    joined = joined.join(F.broadcast(medians), by) if by else joined.crossJoin(F.broadcast(medians))
+    off = {c: F.col(c) - F.col(f"__m_{c}") for c in columns}
+    if mode == "standardize":
+        spreads = joined.groupBy(*by).agg(*[(F.median(F.abs(off[c])) * 1.4826).alias(f"__d_{c}") for c in columns])
+        joined = joined.join(F.broadcast(spreads), by) if by else joined.crossJoin(F.broadcast(spreads))
+        off = {c: F.when(F.col(f"__d_{c}") > 1e-9, off[c] / F.col(f"__d_{c}")).otherwise(F.lit(0.0)) for c in columns}
+    return joined.select(*[F.when(F.col(c).isNotNull(), off[c]).alias(c) if c in off else F.col(c) for c in rows.columns])
+
+
 def robust_scores(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     """The column's distance from its median over the query in units of 1.4826 MAD; 0 where that is at most 1e-9; null stays null."""
-    one = rows.groupBy(*by).agg(F.median(column).alias("__m")) if by else rows.agg(F.median(column).alias("__m"))
-    with_m = rows.join(F.broadcast(one), by) if by else rows.crossJoin(F.broadcast(one))
-    two = with_m.groupBy(*by).agg(F.median(F.abs(F.col(column) - F.col("__m"))).alias("__d"))
-    both = with_m.join(F.broadcast(two), by) if by else with_m.crossJoin(F.broadcast(two))
-    scale = F.col("__d") * 1.4826
-    score = F.when(scale > 1e-9, (F.col(column) - F.col("__m")) / scale).otherwise(F.lit(0.0))
-    return both.withColumn(column, F.when(F.col(column).isNotNull(), score)).drop("__m", "__d")
+    return normalised_scores(rows, by, [column])
 
 
 def latest_reviews(log: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -11,16 +11,18 @@ def _all(by: list[str]):
     return Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
 
 
-def prefilter(hits: DataFrame, by: list[str], ratio: float = 0.3, id_col: str = "id") -> DataFrame:
-    """Keep the first 2n hits by similarity, n being those of at least `ratio` times the best.
+def prefilter(hits: DataFrame, by: list[str], ratio: float = 0.3, id_col: str = "id", most: int | None = None) -> DataFrame:
+    """Keep the first 2n hits by similarity, n being those of at least `ratio` times the best, and of these the first `most`.
 
     It isn't a filter on the similarity: hits under the bound survive among the first 2n, and a negative
-    best hit may leave none. The counts are one small row for each query; only the rank needs an order.
+    best hit may leave none. The counts are one small row for each query; only the rank needs an order, and with `most`
+    tasks send on their first rows only.
     """
     stats = hits.groupBy(*by).agg(F.max("similarity").alias("__best"))
     with_best = hits.join(F.broadcast(stats), by) if by else hits.crossJoin(F.broadcast(stats))
     n = with_best.groupBy(*by).agg(F.count_if(F.col("similarity") >= ratio * F.col("__best")).alias("__n"))
-    joined = hits.join(F.broadcast(n), by) if by else hits.crossJoin(F.broadcast(n))
+    first = hits if most is None else top_candidates(hits, most, by, id_col)
+    joined = first.join(F.broadcast(n), by) if by else first.crossJoin(F.broadcast(n))
     order = _all(by).orderBy(F.desc("similarity"), F.asc(id_col))
     return joined.withColumn("__rn", F.row_number().over(order)).where("__rn <= 2 * __n").drop("__rn", "__n")
 

@@ -343,4 +343,12 @@ ORACLE_SQL = {
     "headings": f"""WITH {I.POINTS}, j AS (SELECT o.id, radians(k.lat) AS a, radians(o.lat) AS b, radians(o.lng - k.lng) AS d FROM points o LEFT JOIN points k ON k.id = o.id % 50 AND k.id < 40 WHERE o.id >= 50),
         h AS (SELECT id, degrees(atan2(sin(d) * cos(b), cos(a) * sin(b) - sin(a) * cos(b) * cos(d))) AS h FROM j) SELECT id, round(((h % 360) + 360) % 360, 4) AS heading FROM h""",
     "observation_coordinates": f"WITH {I.CANDIDATES} SELECT id, CASE WHEN placed AND depth IS NOT NULL THEN round(x, 4) END AS lat, CASE WHEN placed THEN round(depth, 4) END AS alt FROM candidates",
+    "wire_columns": """WITH n AS (SELECT n_nationkey AS id, (n_regionkey - 1)::VARCHAR AS l FROM nation), f AS (SELECT l, row_number() OVER (ORDER BY min(id)) - 1 AS code FROM n GROUP BY l)
+        SELECT CASE WHEN min(id) = 0 AND max(id) = count(*) - 1 THEN 'dense' ELSE string_agg(id::VARCHAR, ',' ORDER BY id) END AS ids,
+               string_agg(code::VARCHAR, ',' ORDER BY id) AS codes, (SELECT string_agg(l, ',' ORDER BY code) FROM f) AS names FROM n JOIN f USING (l)""",
+    "postprocessed_detections": f"""WITH RECURSIVE {I.BOXES}, clipped AS (
+            SELECT * FROM (SELECT id, keyframe, score, greatest(0.0, x0) AS x0, greatest(0.0, y0) AS y0, least(100.0, x1) AS x1, least(100.0, y1) AS y1 FROM boxes)
+            WHERE score >= 0.05 AND (x1 - x0) * (y1 - y0) / 10000 > 0.002 AND (x1 - x0) * (y1 - y0) / 10000 < 0.2
+        ), {I.greedy_sql("clipped", "keyframe", "score DESC, id, x0, y0, x1, y1", I.iou_sql("> 0.4"), "id, x0, y0, x1, y1")}
+        SELECT keyframe, id FROM clipped WHERE (keyframe, id) IN (SELECT (keyframe, k.id) FROM stay)""",
 }

@@ -256,4 +256,36 @@ ORACLE_SQL = {
     "capped_reading_attempts": f"WITH {I.BOXES} SELECT keyframe, id FROM boxes QUALIFY row_number() OVER (PARTITION BY keyframe ORDER BY id) + CASE WHEN keyframe % 4 = 1 THEN 3 ELSE 0 END <= 5",
     "anchored_labels": f"""WITH {I.POINTS}, {I.PREDICTIONS}, {_PAIRS}, o AS (SELECT x.id, other, d, lead(d) OVER w AS nd, row_number() OVER w AS n FROM pairs x JOIN points a ON a.id = x.other AND a.prompt = x.prompt WHERE d <= 80 WINDOW w AS (PARTITION BY x.id ORDER BY d, other))
         SELECT id, CASE WHEN nd IS NULL OR nd - d >= 5 THEN other END AS anchor, round(d, 4) AS distance FROM o WHERE n = 1""",
+    "view_quaternions": f"""WITH {I.CANDIDATES}, {I.POSES}, v AS (
+            SELECT id, qw, qy, cos(theta / 2) * cos(phi / 2) AS a, cos(theta / 2) * sin(phi / 2) AS b, -sin(theta / 2) * cos(phi / 2) AS c, sin(theta / 2) * sin(phi / 2) AS d
+            FROM candidates JOIN poses USING (geo_ref, keyframe)
+        ), q AS (SELECT id, qw * a - qy * c AS w, qw * b + qy * d AS x, qw * c + qy * a AS y, qw * d - qy * b AS z FROM v)
+        SELECT id, round(w, 6) AS w, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(w * w + x * x + y * y + z * z, 6) AS length FROM q""",
+    "ray_approaches": f"""WITH {I.CANDIDATES}, {I.POSES}, r AS (
+            SELECT geo_ref, id, {{'x': px::DOUBLE, 'y': py::DOUBLE, 'z': pz::DOUBLE}} AS o, {{'x': cos(phi) * sin(theta), 'y': sin(phi), 'z': -cos(phi) * cos(theta)}} AS d
+            FROM candidates JOIN poses USING (geo_ref, keyframe)
+        ), n AS (SELECT geo_ref, id, o, d, lead(id) OVER w AS other, lead(o) OVER w AS oj, lead(d) OVER w AS dj FROM r WINDOW w AS (PARTITION BY geo_ref ORDER BY id)
+        ), s AS (
+            SELECT *, d.x * dj.x + d.y * dj.y + d.z * dj.z AS dd, d.x * (o.x - oj.x) + d.y * (o.y - oj.y) + d.z * (o.z - oj.z) AS pi_,
+                   dj.x * (o.x - oj.x) + dj.y * (o.y - oj.y) + dj.z * (o.z - oj.z) AS pj_,
+                   sqrt(pow(d.y * dj.z - d.z * dj.y, 2) + pow(d.z * dj.x - d.x * dj.z, 2) + pow(d.x * dj.y - d.y * dj.x, 2)) < 1e-8 AS near
+            FROM n WHERE other IS NOT NULL
+        ), t AS (
+            SELECT *, CASE WHEN near THEN -pi_ / 2 ELSE (dd * pj_ - pi_) / (1 - dd * dd) END AS ti,
+                   CASE WHEN near THEN pi_ / 2 * CASE WHEN dd >= 0 THEN 1 ELSE -1 END ELSE (pj_ - dd * pi_) / (1 - dd * dd) END AS tj,
+                   CASE WHEN near THEN greatest(0.0, -pi_) END AS flat FROM s
+        )
+        SELECT geo_ref, id, other, round(CASE WHEN near
+                   THEN sqrt(pow(oj.x - o.x - d.x * flat, 2) + pow(oj.y - o.y - d.y * flat, 2) + pow(oj.z - o.z - d.z * flat, 2))
+                   ELSE sqrt(pow(o.x + d.x * ti - oj.x - dj.x * tj, 2) + pow(o.y + d.y * ti - oj.y - dj.y * tj, 2) + pow(o.z + d.z * ti - oj.z - dj.z * tj, 2)) END, 5) AS distance,
+               round(ti, 4) AS ti, round(tj, 4) AS tj FROM t""",
+    "thinned_poses": f"""WITH RECURSIVE {I.CANDIDATES},
+        {I.greedy_sql("candidates", "geo_ref", "id DESC", "sqrt(pow(x - k['x'], 2) + pow(y - k['y'], 2) + pow(z - k['z'], 2)) < 2", "id, x, y, z")}
+        SELECT geo_ref, k.id AS id FROM stay""",
+    "suppressed_planar": f"""WITH RECURSIVE {I.BOXES},
+        {I.greedy_sql("boxes", "keyframe", "score DESC, id, x0, y0, x1, y1", I.iou_sql(">= 0.3"), "id, x0, y0, x1, y1")}
+        SELECT keyframe, id FROM boxes WHERE (keyframe, id) IN (SELECT (keyframe, k.id) FROM stay)""",
+    "best_after_suppression": f"""WITH RECURSIVE {I.BOXES},
+        {I.greedy_sql("boxes", "keyframe, label", "score DESC, id, x0, y0, x1, y1", I.iou_sql("> 0.5"), "id, x0, y0, x1, y1, score")}
+        SELECT k.id AS id FROM stay ORDER BY k.score DESC, k.id LIMIT 200""",
 }

@@ -124,3 +124,27 @@ HAVERSINE = "2 * 6371008.8 * atan2(sqrt({h}), sqrt(greatest(0.0, 1 - ({h}))))"
 def haversine_sql(a: str, b: str, c: str, d: str) -> str:
     h = f"pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2)"
     return HAVERSINE.format(h=h)
+
+
+def greedy_sql(rows: str, keys: str, order: str, clash: str, columns: str) -> str:
+    """What stays of `rows` (a table, in scope) when each row, in order, goes if it clashes with one that stays: keys and columns.
+
+    clash: a condition on the row (its columns) and a row k that stays (k['column']); columns: what a row that stays is remembered by.
+    """
+    names = [c.strip() for c in keys.split(",")]
+    same = " AND ".join(f"n.{c} = g.{c}" for c in names)
+    own = ", ".join(f"'{c.strip()}': {c.strip()}" for c in columns.split(","))
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM {rows}),
+        greedy AS (
+            SELECT {keys}, rn, [{{{own}}}] AS kept FROM placed WHERE rn = 1
+            UNION ALL
+            SELECT {', '.join(f'n.{c}' for c in names)}, n.rn,
+                   CASE WHEN len(list_filter(g.kept, lambda k: {clash})) = 0 THEN list_append(g.kept, {{{own}}}) ELSE g.kept END
+            FROM greedy g JOIN placed n ON {same} AND n.rn = g.rn + 1
+        ), stay AS (SELECT {keys}, unnest(kept) AS k FROM (SELECT {keys}, arg_max(kept, rn) AS kept FROM greedy GROUP BY {keys}))"""
+
+
+def iou_sql(limit: str) -> str:
+    """Whether the overlap of a row's box and of k's breaks a limit, such as '>= 0.3'."""
+    inter = "(greatest(0, least(x1, k['x1']) - greatest(x0, k['x0'])) * greatest(0, least(y1, k['y1']) - greatest(y0, k['y0'])))"
+    return f"{inter} / ((x1 - x0) * (y1 - y0) + (k['x1'] - k['x0']) * (k['y1'] - k['y0']) - {inter}) {limit}"

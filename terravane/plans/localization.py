@@ -106,27 +106,15 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = {"eps1": base.with_(eps_m=1.0), "eps3": base.with_(eps_m=3.0), "cut": base.with_(association="multicut", geo_pivot=2.0)}
     d = I.detections(spark, sf_dir)
     s = A.sweep(d, BY, grid).join(d.select("geo_ref", "id", F.col("keyframe").alias("truth")), ["geo_ref", "id"])
-    m = V.partition_metrics(s, ["config"])
+    m = V.partition_metrics(s, ["config"], within=("geo_ref",))  # each map numbers its clusters from 0
     return m.select("config", "n", *[R(F.col(c), 6, c) for c in ("pair_precision", "pair_recall", "pair_f1", "rand_index")])
 
 
 def visual_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters split into components of similar vectors; small ones go; each row's cosine with its component's medoid."""
-    c = I.candidates(spark, sf_dir).select(F.col("keyframe").cast("long").alias("cluster"), "id", "embedding")
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("id", kind="stable").reset_index(drop=True)
-        vectors = np.vstack(df["embedding"].tolist())
-        label, score = K.similar_components(vectors, 0.22), np.full(len(df), np.nan)
-        for k in np.unique(label):
-            rows = np.flatnonzero(label == k)
-            if len(rows) < 3:
-                label[rows] = -1
-            else:
-                score[rows] = K.medoid(vectors[rows])[1]
-        return df[["cluster", "id"]].assign(part=label, score=np.round(score, 5))
-
-    return c.groupBy("cluster").applyInPandas(run, "cluster long, id long, part long, score double")
+    """Clusters of each map, split where their vectors fall apart; each row's cosine with its part's medoid."""
+    c = I.candidates(spark, sf_dir).select("geo_ref", F.col("keyframe").cast("long").alias("cluster_id"), "id", "embedding")
+    r = A.refine_by_vectors(c, ["geo_ref"], 0.22, min_cluster=5, min_component=3)
+    return r.select("geo_ref", "id", "cluster_id", R(F.col("score"), 5, "score"))
 
 
 def geometric_medians(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top candidates of the query, prefiltered, grouped by keyframe, scored by ratio and ranked."""
-    top = R.top_candidates(R.prefilter(hits(spark, sf_dir), []), 200, [])
+    top = R.prefilter(hits(spark, sf_dir), [], most=200)
     groups = top.groupBy("keyframe").agg(F.max("similarity").alias("similarity"), F.count("*").alias("n_observations"))
     ranked = R.rank_clusters(groups, [], min_similarity=0.0, limit=20, id_col="keyframe")
     return ranked.select("keyframe", F.round("similarity", 6).alias("similarity"), F.round("match_score", 6).alias("match_score"), "n_observations", "rank")
@@ -84,7 +84,7 @@ def feedback_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos, neg = c.where("id IN (3, 10, 17, 24)"), c.where("id IN (4, 7)")
     both = E.prototype_similarity(E.prototype_similarity(c, pos.select("geo_ref", "embedding"), "positive"), neg.select("geo_ref", "embedding"), "negative")
     top = both.join(hits(spark, sf_dir).select("id", "similarity"), "id")
-    scored = E.robust_scores(E.robust_scores(top, ["geo_ref"], "positive"), ["geo_ref"], "negative")
+    scored = E.normalised_scores(top, ["geo_ref"], ["positive", "negative"])
     r = lambda n: F.round(n, 5).alias(n)
     return scored.select("geo_ref", "id", r("positive"), r("negative"), F.round(M.boosted(F.col("similarity"), F.col("positive"), F.col("negative"), 0.2, 0.1), 5).alias("boosted"))
 

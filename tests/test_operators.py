@@ -382,3 +382,69 @@ def test_first_usable_level_and_headings(spark):
 def test_an_annotation_s_group_has_at_least_the_radius(spark):
     m = spark.createDataFrame([("p", 1, 48.0, 2.0, 3.0), ("p", 1, 48.2, 2.2, 9.0)], "prompt string, group_id long, lat double, lng double, accuracy double")
     assert A.group_centres(m, ["prompt"], 5.0).first().radius == 9.0 and A.group_centres(m, ["prompt"], 20.0).first().radius == 20.0
+
+
+def test_normalisation_modes(spark):
+    rows = spark.createDataFrame([("a", 1, 0.80, 0.5), ("a", 2, 0.82, 0.5), ("a", 3, 0.84, 0.5), ("a", 4, 0.98, None), ("b", 5, 7.0, 1.0)], "q string, id long, p double, n double")
+    got = lambda mode: [(r.p, r.n) for r in E.normalised_scores(rows, ["q"], ["p", "n"], mode).orderBy("id").collect()]
+    assert got("none") == [(0.80, 0.5), (0.82, 0.5), (0.84, 0.5), (0.98, None), (7.0, 1.0)]
+    centred = [p for p, _ in got("center")]
+    assert centred == pytest.approx([-0.03, -0.01, 0.01, 0.15, 0.0])
+    unit = 1.4826 * 0.02
+    assert [p for p, _ in got("standardize")] == pytest.approx([x / unit for x in centred[:4]] + [0.0])
+    assert [n for _, n in got("standardize")] == [0.0, 0.0, 0.0, None, 0.0]
+
+
+def test_bounds_of_parameters():
+    from terravane.params import LocalizationParams as P
+
+    assert P(min_similarity=-3.0, feedback_normalization="center").min_similarity == -3.0
+    for bad in ({"delta": 1.5}, {"min_observations": 0}, {"max_spread_m": 0.0}, {"feedback_normalization": "median_mad"}, {"alpha": 2.0}):
+        with pytest.raises(ValueError):
+            P(**bad)
+
+
+def test_clusters_of_two_maps_are_two(spark):
+    rows = [("c", g, 10 * g + i, 0, t) for g in (0, 1) for i, t in enumerate("xxy")]
+    d = spark.createDataFrame(rows, "config string, geo_ref long, id long, cluster_id long, truth string")
+    r = V.partition_metrics(d, ["config"], within=("geo_ref",)).first()
+    assert (r.n, r.pair_precision, r.pair_recall) == (6, pytest.approx(2 / 6), pytest.approx(2 / 7))
+
+
+def test_refinement_by_vectors(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [
+        (0, 1, 0, a), (0, 2, 0, near(a)), (0, 3, 0, b), (0, 4, 0, near(b)), (0, 5, 0, c),  # two parts and one row
+        (0, 6, 1, a), (0, 7, 1, b),  # under the least size: stays
+        (0, 8, 2, a), (0, 9, 2, near(a)), (0, 10, 2, a),  # one part
+        (0, 11, 3, a), (0, 12, 3, b), (0, 13, 3, c),  # no part is large enough: stays
+        (0, 14, -1, a), (1, 1, 0, b),
+    ]
+    d = spark.createDataFrame(rows, "geo_ref long, id long, cluster_id long, embedding array<double>")
+    got = {(r.geo_ref, r.id): (r.cluster_id, r.score) for r in S.refine_by_vectors(d, ["geo_ref"], 0.9, 3, 2).collect()}
+    labels = {k: v[0] for k, v in got.items()}
+    assert [labels[0, i] for i in range(1, 15)] == [0, 0, 4, 4, -1, 1, 1, 2, 2, 2, 3, 3, 3, -1] and labels[1, 1] == 0
+    assert got[0, 1][1] > 0.99 and got[0, 5][1] is None or got[0, 5][1] != got[0, 5][1]
+
+
+def test_observations_of_the_answer_and_the_boost(spark):
+    from terravane.params import LocalizationParams
+
+    vector = [1.0, 0.0]
+    rows = [(0, i, i, 0.5 + 0.01 * i, (float(i % 2) * 50, 0.0, 0.0), (0.0, 0.0, 5.0), 0, 0.8 + 0.1 * (i % 2), 0.0, vector) for i in range(6)]
+    d = spark.createDataFrame(rows, "geo_ref long, id long, keyframe long, similarity double, position struct<x: double, y: double, z: double>, origin struct<x: double, y: double, z: double>, level long, positive double, negative double, embedding array<double>")
+    p = LocalizationParams(eps_m=1.0, min_keyframes=1, max_observations=2, alpha=0.5, feedback_normalization="center")
+    out = {r.observations[0].object_id: r for r in S.localize(d, ["geo_ref"], p).collect()}
+    assert set(out) == {4, 5} and out[5]["rank"] == 1
+    first = out[5].observations
+    assert [o.object_id for o in first] == [5, 3] and first[0].keyframe_id == "5" and first[0].position.x == 50.0
+    assert first[0].positive == pytest.approx(0.05) and first[0].boosted_score == pytest.approx(0.55 + 0.5 * 0.05)
+    assert out[4].similarity == pytest.approx(0.54 - 0.5 * 0.05) and out[4].keyframe_ids == ["0", "2", "4"]
+
+
+def test_thumbnails_of_many_rows_and_stripped_queries(spark):
+    d = spark.createDataFrame([(7,), (1_234_567,)], "i long")
+    assert [r.f for r in d.select(T.thumbnail_file(F.lit("k"), F.col("i")).alias("f")).collect()] == ["k/000007.jpg", "k/1234567.jpg"]
+    q = spark.createDataFrame([("\t Red\u00a0Door\n\x0b",)], "q string")
+    assert q.select(T.normalised_query(F.col("q")).alias("q")).first().q == "red\u00a0door"

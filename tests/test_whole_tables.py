@@ -95,6 +95,11 @@ def test_readings_and_detections_are_whole(spark, con):
     assert got == {i for i, _ in stay(rows, ["keyframe"], lambda o: o <= 0.4)}
 
 
+@pytest.mark.parametrize("name", ["view_quaternions", "ray_approaches", "wire_columns", "thinned_poses", "suppressed_planar", "best_after_suppression", "postprocessed_detections"])
+def test_greedy_and_geometric_queries(spark, con, name):
+    agree(spark, con, name)
+
+
 def test_all_hits_are_counted_for_support(spark, con):
     agree(spark, con, "supported_clusters")
 
