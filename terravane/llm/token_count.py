@@ -22,6 +22,8 @@ AGREED = re.compile("[\x00-\x1b\x20-\x7e\u00c0-\u024f\u2013\u2014\u2018-\u201d\u
 #: Pre-tokens that a worker remembers of late, and as many from before.
 REMEMBERED = 250_000
 NEVER = np.int32(2**31 - 1)
+#: Slots of the table of pairs.
+SLOTS = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,6 +58,10 @@ class Memory:
         return self.late
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+
+
 class RankMerger:
     """Counts the symbols that are left of byte strings when no merge applies any more."""
 
@@ -67,35 +73,58 @@ class RankMerger:
         into = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
         self.order = np.argsort(keys)
         self.keys, self.rank, self.into = keys[self.order], self.order.astype(np.int32), into
+        # each slot has the key of the lowest rank that falls there; others of a shared slot are searched for
+        slot = _slot(keys)
+        self.slot_key, self.slot_rank = np.full(SLOTS, -1, np.int64), np.full(SLOTS, NEVER, np.int32)
+        self.slot_key[slot[::-1]], self.slot_rank[slot[::-1]] = keys[::-1], np.arange(len(keys), dtype=np.int32)[::-1]
+        self.shared = np.bincount(slot, minlength=SLOTS) > 1
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols, or NEVER."""
+        key = left * self.size + right
+        slot = _slot(key)
+        rank = np.where(self.slot_key[slot] == key, self.slot_rank[slot], NEVER)
+        again = np.flatnonzero(self.shared[slot] & (rank == NEVER))
+        if len(again):
+            at = np.minimum(np.searchsorted(self.keys, key[again]), len(self.keys) - 1)
+            known = self.keys[at] == key[again]
+            rank[again[known]] = self.rank[at[known]]
+        return rank
 
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         out = np.zeros(len(pieces), np.int64)
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
         seq = np.repeat(np.arange(len(pieces)), lens)
         ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        # the rank of each symbol with the next one; after a round only those beside a merge are looked up again
+        rank = np.full(len(ids), NEVER, np.int32)
+        look = np.ones(len(ids), bool)
         while len(ids):
-            first = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-            rank = np.full(len(ids), NEVER, np.int32)
-            inside = np.flatnonzero(seq[1:] == seq[:-1])
-            key = ids[inside] * self.size + ids[inside + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[at] == key
-            rank[inside[known]] = self.rank[at[known]]
+            new = seq[1:] != seq[:-1]
+            look = np.flatnonzero(look)
+            rank[look] = NEVER
+            look = look[look < len(ids) - 1]
+            look = look[~new[look]]
+            rank[look] = self.ranks(ids[look], ids[look + 1])
+            first = np.flatnonzero(np.r_[True, new])
             least = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.append(first, len(ids)))
             done = least == NEVER
             out[seq[first[done]]] = sizes[done]
             own = np.repeat(least, sizes)
             hit = np.flatnonzero((rank == own) & (rank != NEVER))
+            look = np.zeros(len(ids), bool)
             if len(hit):
                 # of overlapping pairs of one symbol, every second one merges, from the left
                 start = np.flatnonzero(np.r_[True, np.diff(hit) != 1])
                 nth = np.arange(len(hit)) - np.repeat(start, np.diff(np.append(start, len(hit))))
                 hit = hit[nth % 2 == 0]
                 ids[hit] = self.into[rank[hit]]
+                look[hit] = True
             keep = np.repeat(~done, sizes)
             keep[hit + 1] = False
-            ids, seq = ids[keep], seq[keep]
+            ids, seq, rank, look = ids[keep], seq[keep], rank[keep], look[keep]
+            look[:-1] |= look[1:].copy()
         return out
 
 
