@@ -121,6 +121,30 @@ def test_token_counts_are_the_library_s(spark):
     assert all(r.over_limit == (r.n_tokens > 512) for r in got)
 
 
+def test_merges_against_one_at_a_time():
+    merger, _, _ = token_count._load(token_count.public_tokenizers.path("byte_bpe_50k.json"))
+    ranks = dict(zip(merger.keys.tolist(), merger.rank.tolist(), strict=True))
+    assert merger.shared.any()
+    # every pair has its rank, those of shared slots too, and what is no pair has none
+    keys = merger.keys
+    assert (merger.ranks(keys // merger.size, keys % merger.size) == merger.rank).all()
+    other = (keys + 1)[[k + 1 not in ranks for k in keys.tolist()]]
+    assert (merger.ranks(other // merger.size, other % merger.size) == token_count.NEVER).all()
+
+    def left(piece):
+        ids = merger.bytes[list(piece)].tolist()
+        while True:
+            each = [ranks.get(a * merger.size + b, token_count.NEVER) for a, b in zip(ids, ids[1:])]  # noqa: B905
+            if not each or min(each) == token_count.NEVER:
+                return len(ids)
+            i = each.index(min(each))
+            ids[i : i + 2] = [int(merger.into[each[i]])]
+
+    pieces = [x.encode() for t in odd_texts()[:150] for x in (t, *token_count.pre_tokens(t))] + [b"", b"a", b"a" * 301, b"aab" * 60]
+    assert merger.counts(pieces).tolist() == [left(x) for x in pieces]
+    assert merger.counts([]).tolist() == []
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rows = [*enumerate(odd_texts(), 100), *EDGES]
     folder = str(tmp_path / "tokens")
