@@ -54,7 +54,7 @@ def thumbnail_file(key: Column, index: Column) -> Column:
 
 
 def thumbnail_index(path: Column) -> Column:
-    return F.regexp_extract(path, r"(\d{6})\.jpg$", 1).try_cast("long")
+    return F.regexp_extract(path, r"(\d{6,})\.jpg$", 1).try_cast("long")
 
 
 def thumbnail_key(file: Column, prefix: str) -> Column:
