@@ -44,3 +44,39 @@ def test_cdog_of_a_dense_map_keeps_bits_only(monkeypatch, bits):
     keep = both[i, j] >= 0.8 * np.minimum(size[i], size[j])
     assert out.tolist() == K.compact(K.components(1200, i[keep], j[keep])).tolist() and len(set(out.tolist())) > 1
     assert most < 8 << 20
+
+
+@pytest.mark.parametrize(
+    "settings",
+    [
+        pytest.param((6.0, 1.0, 2.5, 0.0, 0.8, "depth"), id="multicut"),
+    ],
+)
+def test_multicut_of_a_dense_map_without_a_table_of_pairs(settings):
+    n = 700
+    xyz, origins, rays, _, level, vectors = dense_map(n)
+    radius, geo, pivot, sem, sem_pivot, source = settings
+    out, most = peak(lambda: K.multicut(xyz, origins, rays, level, *settings, RANGE, vectors))
+    barred = (level[:, None] != level) & ~np.isnan(level[:, None]) & ~np.isnan(level)
+    i, j = np.nonzero(np.triu((K.distances(xyz, xyz) <= radius) & ~barred, 1))
+    d = np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(axis=1))
+    if source == "ray":
+        d, ti, tj = K.ray_approach(origins[i], rays[i], origins[j], rays[j])
+        d[(np.minimum(ti, tj) < 0.3) | (np.maximum(ti, tj) > 30)] = np.nan
+    unit = K.unit_rows(vectors)
+    w = np.zeros((n, n))
+    w[i, j] = np.nan_to_num(geo * (1 - d / pivot) + (sem * (np.einsum("ij,ij->i", unit[i], unit[j]) - sem_pivot) if sem else 0.0))
+    assert out.tolist() == K.contract(w + w.T, barred).tolist() and 1 < len(set(out.tolist())) < n
+    assert most < 8 * n * n
+
+
+def test_multicut_over_many_cells_and_rows_without_a_place():
+    rng = np.random.default_rng(8)
+    n = 500
+    xyz, level = rng.normal(0, 1, (n, 3)) * [14, 3, 9], rng.choice([np.nan, 0.0, 1.0], n)
+    xyz[7] = np.nan
+    barred = (level[:, None] != level) & ~np.isnan(level[:, None]) & ~np.isnan(level)
+    d = K.distances(xyz, xyz)
+    w = np.where((d <= 3.0) & ~barred & ~np.eye(n, dtype=bool), 1 - d / 2.0, 0.0)
+    out = K.multicut(xyz, xyz, xyz, level, 3.0, 1.0, 2.0, 0.0, 0.8, "depth", RANGE)
+    assert out.tolist() == K.contract(w, barred).tolist() and (out == out[7]).sum() == 1
