@@ -50,6 +50,7 @@ def test_cdog_of_a_dense_map_keeps_bits_only(monkeypatch, bits):
     "settings",
     [
         pytest.param((6.0, 1.0, 2.5, 0.0, 0.8, "depth"), id="multicut"),
+        pytest.param((6.0, 1.0, 2.5, 0.5, 0.1, "ray"), id="semantic_multicut"),
     ],
 )
 def test_multicut_of_a_dense_map_without_a_table_of_pairs(settings):
