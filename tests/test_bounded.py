@@ -51,6 +51,7 @@ def test_cdog_of_a_dense_map_keeps_bits_only(monkeypatch, bits):
     [
         pytest.param((6.0, 1.0, 2.5, 0.0, 0.8, "depth"), id="multicut"),
         pytest.param((6.0, 1.0, 2.5, 0.5, 0.1, "ray"), id="semantic_multicut"),
+        pytest.param((6.0, 1.0, 2.0, 0.0, 0.8, "depth"), id="parameter_sweep"),
     ],
 )
 def test_multicut_of_a_dense_map_without_a_table_of_pairs(settings):
