@@ -12,7 +12,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from terravane.llm.common import Texts, batches, id_and_text
+from terravane.llm.common import Texts, batches, id_and_text, trim
 
 #: Fixed value: the pre-tokenizer's pattern, white space written as the Unicode property it means there.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -45,6 +45,9 @@ class Memory:
         self.late: dict = {}
         self.before: dict = {}
 
+    def clear(self) -> None:
+        self.late, self.before = {}, {}
+
     def of(self, parts: list[list[str]], make) -> dict:
         """A dict with all the pre-tokens; make: list of new ones -> what is made of each."""
         if len(self.late) > self.most:
@@ -172,4 +175,11 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         counted = np.array(n, np.int64)
         return [batch.column(0), texts.ends - texts.starts, counted, counted > limit]
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def run(it):
+        try:
+            yield from count(it)
+        finally:  # workers stay, idle, beside the executor
+            _load(path)[2].clear()
+            trim()
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -145,6 +145,23 @@ def test_merges_against_one_at_a_time():
     assert merger.counts([]).tolist() == []
 
 
+def test_counting_leaves_no_pre_tokens_in_idle_workers(spark):
+    import pyarrow as pa
+
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("word"), (F.col("id") * 7 + k).cast("string")) for k in range(50)]).alias("text"))
+    path = token_count.public_tokenizers.path("byte_bpe_50k.json")
+    assert token_count.token_counts(rows).agg(F.sum("n_tokens")).first()[0] > 0
+
+    def held(it):
+        for _ in it:
+            loaded = token_count._load.cache_info().currsize
+            memory = token_count._load(path)[2]
+            yield pa.RecordBatch.from_arrays([pa.array([loaded]), pa.array([len(memory.late) + len(memory.before)])], ["loaded", "n"])
+
+    found = spark.range(0, 4, 1, 4).mapInArrow(held, "loaded long, n long").collect()
+    assert any(r.loaded for r in found) and all(r.n == 0 for r in found)
+
+
 def test_token_files_round_trip(spark, tmp_path):
     rows = [*enumerate(odd_texts(), 100), *EDGES]
     folder = str(tmp_path / "tokens")
