@@ -208,6 +208,25 @@ def test_ngram_components_against_all_pairs(spark):
         assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize(("at_once", "most"), [(1 << 20, 1), (0, 99)])
+def test_connected_components_in_one_task_or_by_stars(spark, monkeypatch, at_once, most):
+    """Few links need one table and no rounds; more of them come to the same components."""
+    from terravane.llm import components as C
+    from terravane.llm.common import Scratch
+
+    monkeypatch.setattr(C, "AT_ONCE", at_once)
+    rng = random.Random(26)
+    links = [(rng.randrange(-300, 300) * 2**40, rng.randrange(-300, 300) * 2**40) for _ in range(250)] + [(k, k + 1) for k in range(60)] + [(2**62, k) for k in range(1000, 1040)] + [(5000, 5000)]
+    nodes = {n for a, b in links for n in (a, b) if a != b}
+    want = components([(a, b) for a, b in links if a != b], nodes)
+    table = spark.createDataFrame(links, "u long, v long").repartition(5)
+    with Scratch(spark, "few") as scratch:
+        assert {r.node: r.component for r in C.connected_components(table, scratch).collect()} == want
+        assert 1 <= scratch.n <= most
+    with Scratch(spark, "none") as scratch:
+        assert C.connected_components(table.where("u = 5000"), scratch).count() == 0
+
+
 def test_ngram_components_of_a_large_family(spark):
     """Near copies that do not all reach the first one: chains have to be found."""
     rng = random.Random(9)
