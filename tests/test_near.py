@@ -80,6 +80,38 @@ def test_pairs_of_one_dense_group_come_in_parts():
     assert max(len(i) for i, _ in parts) < 10900 and sum(len(i) for i, _ in parts) == 900 * 899 // 2
 
 
+@pytest.mark.parametrize("threshold", [0.05, 0.55, 0.95])
+def test_boxes_of_one_group_meet_in_cells(threshold):
+    from terravane.operators.suppression import planar_overlap
+
+    rng = np.random.default_rng(7)
+    at, size = rng.uniform(-50, 50, (1500, 2)), np.exp(rng.uniform(-2, 4, (1500, 2)))
+    some = np.vstack([np.hstack([at, at + size]), np.hstack([at, at + size])[:300], [[0, 0, 0, 5], [3, 3, 2, 2], [0, 0, np.inf, 1], [0, 0, np.inf, 1], [0, 0, 1e-9, 1e9], [0, 0, 1e-9, 1e9]]])
+    boxes = some[np.argsort(some[:, 0], kind="stable")]
+    with np.errstate(invalid="ignore"):
+        want = {(i, j) for p in K.overlapping_parts(boxes, planar_overlap(boxes), threshold) for i, j in zip(*(x.tolist() for x in p), strict=True)}
+    found = [(i, j) for p in K.overlapping_boxes(boxes, threshold, 1000) for i, j in zip(*(x.tolist() for x in p), strict=True)]
+    assert set(found) == want and len(found) == len(want) > 300
+    assert list(K.overlapping_boxes(boxes[:0], threshold)) == list(K.overlapping_boxes(boxes[:1], threshold)) == []
+
+
+def test_few_boxes_of_a_large_group_are_compared(spark):
+    from terravane.operators import suppression as U
+
+    rng = np.random.default_rng(8)
+    at, size = rng.uniform(0, 200, (3000, 2)), rng.uniform(3, 50, (3000, 2))
+    boxes = np.hstack([at, at + size])[np.argsort(at[:, 0])]
+    assert 0 < sum(len(i) for i, _ in K._near_boxes(boxes, 0.55, 1 << 17)) < 0.02 * 3000 * 2999 / 2
+    rows = spark.createDataFrame([(str(k % 2), k, *map(float, b)) for k, b in enumerate(boxes)] + [("0", None, *map(float, boxes[0])), ("2", None, *map(float, boxes[0])), ("0", -1, None, 0.0, 1.0, 1.0)], "g string, id long, x0 double, y0 double, x1 double, y1 double")
+    got = {(r.g, r.a, r.b, r.a_x0, r.b_y1) for r in U.overlapping_pairs(rows, ["g"], ["x0", "y0", "x1", "y1"], 0.55).collect()}
+    want = set()
+    for g in (0, 1):
+        own, ids = boxes[g::2], range(g, 3000, 2)
+        for p in K.overlapping_parts(own, U.planar_overlap(own), 0.55):
+            want |= {(str(g), ids[i], ids[j], own[i, 0], own[j, 3]) for i, j in zip(*(x.tolist() for x in p), strict=True)}
+    assert got == want and len(got) > 500
+
+
 @pytest.mark.parametrize("delta", [0.2, 0.7])
 def test_neighbourhoods_as_bits_give_what_sets_give(monkeypatch, delta):
     rng = np.random.default_rng(6)
