@@ -103,13 +103,28 @@ def test_few_boxes_of_a_large_group_are_compared(spark):
     boxes = np.hstack([at, at + size])[np.argsort(at[:, 0])]
     assert 0 < sum(len(i) for i, _ in K._near_boxes(boxes, 0.55, 1 << 17)) < 0.02 * 3000 * 2999 / 2
     rows = spark.createDataFrame([(str(k % 2), k, *map(float, b)) for k, b in enumerate(boxes)] + [("0", None, *map(float, boxes[0])), ("2", None, *map(float, boxes[0])), ("0", -1, None, 0.0, 1.0, 1.0)], "g string, id long, x0 double, y0 double, x1 double, y1 double")
-    got = {(r.g, r.a, r.b, r.a_x0, r.b_y1) for r in U.overlapping_pairs(rows, ["g"], ["x0", "y0", "x1", "y1"], 0.55).collect()}
-    want = set()
+    found = U.overlapping_pairs(rows, ["g"], ["x0", "y0", "x1", "y1"], 0.55, [(F.col("a_x0") + F.col("b_x0")).alias("sum")]).collect()
+    got, want = {(r.g, r.a, r.b, r["sum"]) for r in found}, set()
     for g in (0, 1):
         own, ids = boxes[g::2], range(g, 3000, 2)
         for p in K.overlapping_parts(own, U.planar_overlap(own), 0.55):
-            want |= {(str(g), ids[i], ids[j], own[i, 0], own[j, 3]) for i, j in zip(*(x.tolist() for x in p), strict=True)}
-    assert got == want and len(got) > 500
+            want |= {(str(g), ids[i], ids[j], own[i, 0] + own[j, 0]) for i, j in zip(*(x.tolist() for x in p), strict=True)}
+    assert got == want and len(found) == len(got) > 500
+
+
+def test_equal_boxes_of_a_group_are_compared_once(spark, monkeypatch):
+    from terravane.operators import suppression as U
+
+    monkeypatch.setattr(U, "PART", 7)
+    kinds = [(0.0, 0.0, 10.0, 10.0), (1.0, 0.0, 10.0, 10.0), (0.0, 0.0, 0.0, 10.0), (50.0, 50.0, 60.0, 60.0)]
+    rows = [(k % 2, (37 * k) % 120, *kinds[k % 8 // 2]) for k in range(120)] + [(0, 0, *kinds[1])]  # an id of two boxes
+    table = spark.createDataFrame(rows, "g int, id long, x0 double, y0 double, x1 double, y1 double")
+    got = U.overlapping_pairs(table, ["g"], ["x0", "y0", "x1", "y1"], 0.55, [F.lit(1).alias("one")]).collect()
+    near = lambda p, q: p[0] == q[0] and p[1] < q[1] and p[4] > p[2] and (p[2:] == q[2:] or p[4] == q[4] == 10.0 and q[2] < q[4])
+    want = sorted((p[1], q[1]) for p in rows for q in rows if near(p, q))
+    assert sorted((r.a, r.b) for r in got) == want and len(want) > 1000
+    pairs = U.overlapping_pairs(table, ["g"], ["x0", "y0", "x1", "y1"], 0.55, [F.monotonically_increasing_id().alias("pair")])
+    assert pairs.select("g", "pair").distinct().count() == 2 * 4  # each of three boxes with itself, and two with each other
 
 
 @pytest.mark.parametrize("delta", [0.2, 0.7])
