@@ -1,9 +1,10 @@
 """Line deduplication: an exact set-similarity join of lines; DataFrame functions only.
 
 A line's tokens are its distinct five-word shingles (a shorter line is one token). Equal lines are one
-class. Classes meet on the rarest n - ceil(0.8 n) + 1 of their tokens: first each with the earliest class that has the
-token and a few just before it, so that a token of k classes gives some k pairs, then those that found no earlier match
-with all earlier ones of their tokens. Sizes and places bound the pairs, and the whole sets decide.
+class. Classes meet on the first n - ceil(0.8 n) + 1 of their tokens, in an order by the length of the first word, long words being
+rare: first each with the earliest class that has the token and a few just before it, so that a token of k classes gives some k
+pairs, then those that found no earlier match with all earlier ones of their tokens. Sizes and places bound the pairs, and the
+whole sets decide.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from pyspark.sql.window import Window
 
 from terravane.llm.common import BROADCAST, Scratch, column, fresh, if_small
 
-#: Counters of the sketch that says how frequent tokens are.
-BUCKETS = 1 << 16
 #: A line's identity and, in this order, its place among all lines: the id of its row (null: the greatest number), its number in
 #: the row's text, and a hash of that text.
 PLACE = ("d", "at", "v")
@@ -23,6 +22,8 @@ OTHER = ("yd", "yat", "yv")
 SIZE = 5
 #: Earlier classes of a token, besides the first, that each class is held against at once.
 BEFORE = 3
+#: Bits of a token's hash, or of a place in a line, below those of a word's length.
+LOW = 53
 
 
 def _words(line: Column) -> Column:
@@ -35,9 +36,9 @@ def _words(line: Column) -> Column:
 
 def _tokens(words: str) -> Column:
     """Distinct shingle hashes of an array column of words; none for no words."""
-    at = ", ".join(f"{words}[i + {k}]" for k in range(SIZE))
+    at = ", ".join(f"u[i + {k}]" for k in range(SIZE))  # the words are bound to u, which is faster
     return F.expr(
-        f"CASE WHEN size({words}) >= {SIZE} THEN array_distinct(transform(sequence(0, size({words}) - {SIZE}), i -> xxhash64({at})))"
+        f"CASE WHEN size({words}) >= {SIZE} THEN array_distinct(get(transform(array({words}), u -> transform(sequence(0, size(u) - {SIZE}), i -> xxhash64({at}))), 0))"
         f" WHEN size({words}) > 0 THEN array(xxhash64({words}, size({words}))) ELSE array() END"
     )
 
@@ -52,9 +53,11 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> DataFrame:
     """The later ones of the pairs whose whole sets reach the similarity."""
+    own = sets.select(*PLACE, "tokens")
     other = sets.select(*[F.col(a).alias(b) for a, b in zip(PLACE, OTHER, strict=True)], F.col("tokens").alias("y"))
+    other = other.join(if_small(pairs.select(*OTHER).distinct(), 40), [*OTHER], "left_semi")
     overlap = F.size(F.array_intersect("tokens", "y"))
-    both = pairs.join(sets, [*PLACE]).join(other, [*OTHER])
+    both = if_small(pairs, 64).join(own, [*PLACE]).join(other, [*OTHER])
     return both.where(denom * overlap >= numer * (F.size("tokens") + F.size("y") - overlap)).select(*PLACE).distinct()
 
 
@@ -64,74 +67,93 @@ def _admissible(numer: int, denom: int) -> str:
     return f"{denom} * n >= {numer} * yn AND {denom} * yn >= {numer} * n AND p <= n - {need} AND yp <= yn - {need}"
 
 
-def _levels(lines: DataFrame) -> str:
-    """How frequent a token t is, over all lines, in steps of a quarter of a doubling: an expression with a row for each counter in it."""
-    each = lines.select(_words(F.col("line")).alias("w")).select("w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - SIZE, F.lit(0)))).alias("i"))
-    token = f"CASE WHEN size(w) >= {SIZE} THEN xxhash64({', '.join(f'get(w, i + {k})' for k in range(SIZE))}) ELSE xxhash64(w, size(w)) END"
-    sketch = each.groupBy(F.expr(f"cast({token} & {BUCKETS - 1} as int)").alias("b")).agg(F.count("*").alias("n"))
-    found = sketch.select("b", F.floor(F.log2("n") * 4).cast("int").alias("step")).toArrow()  # at most BUCKETS numbers
-    table = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
-    numbers = ",".join(str(table.get(b, 0)) for b in range(BUCKETS))
-    return f"get(from_json('[{numbers}]', 'array<bigint>'), cast(t & {BUCKETS - 1} as int))"  # folded to a constant
+def _keys(words: DataFrame, numer: int, denom: int) -> DataFrame:
+    """words (with words, as column w) with keys: the first n - ceil(0.8 n) + 1 of the n tokens, or some more, in an order that all lines share.
 
-
-def _classes(lines: DataFrame, numer: int, denom: int) -> DataFrame:
-    """One row for each distinct line: h1, h2, its first place, k lines of it, n tokens, and the necessary ones by rarity, then hash."""
-    keyed = lines.select("h1", "h2", *PLACE, _words(F.col("line")).alias("w")).select("h1", "h2", *PLACE, _tokens("w").alias("tokens"))
-    key = f"transform(tokens, t -> shiftleft({_levels(lines)}, 55) | shiftrightunsigned(t, 9))"
-    needed = f"n - cast(ceil({numer} * n / {denom}) as int) + 1"
-    keyed = keyed.withColumn("n", F.size("tokens")).withColumn("keys", F.expr(f"slice(sort_array({key}), 1, {needed})"))
-    found = keyed.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE, "n", "keys")).alias("f"), F.count("*").alias("k"))
-    return found.select("h1", "h2", "f.*", "k")
+    Tokens are ordered by the lengths of their first words, longest first, as long words are rare, then by a hash. So only tokens
+    with the longest first words are made. n is not known: it is at most the number of places where a token can begin, less the
+    repeated ones among those made. Where so many repeat that too few are left, all tokens are made.
+    """
+    need = lambda n: f"({n} - cast(ceil({numer} * ({n}) / {denom}) as int) + 1)"
+    out = words.withColumn("n", F.expr(f"greatest(size(w) - {SIZE - 1}, 1)")).withColumn("need", F.expr(need("n")))
+    # the places, longest words first: 10 bits of the length, the place in the others
+    code = f"shiftleft(cast(1023 - least(octet_length(x), 1023) as bigint), {LOW}) | i"
+    out = out.withColumn("ranked", F.expr(f"CASE WHEN size(w) >= {SIZE} THEN sort_array(transform(slice(w, 1, n), (x, i) -> {code})) ELSE array(0L) END"))
+    # all of the lengths of the first `need`, which mostly end soon after
+    far = "(need + need div 2 + 2)"
+    out = out.withColumn("last", F.expr(f"get(ranked, need - 1) | {(1 << LOW) - 1}"))
+    long = f"CASE WHEN get(ranked, {far}) > last THEN filter(slice(ranked, 1, {far}), c -> c <= last) ELSE filter(ranked, c -> c <= last) END"
+    long = f"CASE WHEN get(ranked, need) > last THEN slice(ranked, 1, need) ELSE {long} END"
+    out = out.withColumn("long", F.expr(f"CASE WHEN need < n THEN {long} ELSE ranked END"))
+
+    def codes(places: str) -> str:
+        """The places' distinct tokens in their order: the length, and 53 bits of a hash."""
+        token = ", ".join(f"get(u, i + {k})" for k in range(SIZE))
+        hashed = f"zip_with({places}, transform({places}, c -> cast(c & {(1 << 31) - 1} as int)), (c, i) -> (c & {1023 << LOW}) | (xxhash64({token}) & {(1 << LOW) - 1}))"
+        return f"array_distinct(get(transform(array(w), u -> {hashed}), 0))"  # w is bound to u, which is faster
+
+    single = f"array(xxhash64(w, size(w)) & {(1 << LOW) - 1})"
+    out = out.withColumn("codes", F.expr(f"CASE WHEN size(w) >= {SIZE} THEN {codes('long')} ELSE {single} END"))
+    bound = "(n - size(long) + size(codes))"
+    few = f"size(codes) < size(long) AND size(codes) < {need(bound)}"
+    sort = f"CASE WHEN {few} THEN {codes('ranked')} ELSE codes END"
+    return out.withColumn("keys", F.expr(f"slice(sort_array({sort}), 1, CASE WHEN {few} THEN n ELSE {need(bound)} END)")).drop("w", "n", "need", "ranked", "last", "long", "codes")
+
+
+def _places(lines: DataFrame, numer: int, denom: int) -> DataFrame:
+    """d, at, v of the lines; again: an equal line has an earlier place; keys, in one row of each class, that of its first line."""
+    keyed = _keys(lines.select("h1", "h2", *PLACE, _words(F.col("line")).alias("w")), numer, denom)
+    same = Window.partitionBy("h1", "h2").orderBy(*PLACE)
+    row = keyed.select(*PLACE, "keys", F.row_number().over(same).alias("row"), *[F.first(a).over(same).alias(b) for a, b in zip(PLACE, OTHER, strict=True)])
+    return row.select(*PLACE, F.expr("NOT (d = yd AND at = yat AND v = yv)").alias("again"), F.when(F.col("row") == 1, F.col("keys")).alias("keys"))
+
+
+def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The whole sets of the lines at some places, and their sizes n: of all texts only theirs are split."""
+    wanted = nodes.groupBy("d", "v").agg(F.collect_set("at").alias("ats"))
+    texts = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("v"), "text").join(if_small(wanted, 64), ["d", "v"])
+    # the lines are bound to p, so they are split once, and picked by number
+    picked = F.transform(F.array(F.split("text", "\n")), lambda p: F.transform("ats", lambda i: F.struct(i.alias("at"), F.get(p, i).alias("line"))))
+    own = texts.select("d", "v", F.inline(F.get(picked, 0))).select(*PLACE, "line").dropDuplicates([*PLACE])
+    whole = own.select(*PLACE, _words(F.col("line")).alias("w")).select(*PLACE, _tokens("w").alias("tokens"))
+    return whole.select(*PLACE, "tokens", F.size("tokens").alias("n"))
 
 
-def _matched(lines: DataFrame, classes: DataFrame, scratch: Scratch, numer: int, denom: int) -> DataFrame:
+def _matched(rows: DataFrame, places: DataFrame, scratch: Scratch, numer: int, denom: int) -> DataFrame:
     """The first places of the classes that reach the similarity with an earlier class."""
     near = _admissible(numer, denom)
     earlier = lambda: [F.col(a).alias(b) for a, b in zip((*PLACE, "n", "p"), (*OTHER, "yn", "yp"), strict=True)]
-    entries = classes.select(F.posexplode("keys").alias("p", "key"), *PLACE, "n")
+    entries = places.where("NOT again").select(F.posexplode("keys").alias("p", "key"), *PLACE)
     order = Window.partitionBy("key").orderBy(*PLACE)
     several = F.lead("d").over(order).isNotNull() | F.lag("d").over(order).isNotNull()
-    stars = scratch.written(entries.withColumn("several", several).where("several").drop("several"), "stars")
-
-    def sets(pairs: DataFrame) -> DataFrame:
-        """The whole sets of the pairs' lines."""
-        nodes = pairs.select(*PLACE).union(pairs.select(*OTHER)).distinct()
-        own = lines.select(*PLACE, "line").join(if_small(nodes, 40), [*PLACE], "left_semi").dropDuplicates([*PLACE])
-        return scratch.written(own.select(*PLACE, _words(F.col("line")).alias("w")).select(*PLACE, _tokens("w").alias("tokens")), "sets")
+    met = scratch.written(entries.withColumn("several", several).where("several").drop("several"), "met")
+    whole = scratch.written(_sets(rows, met.select(*PLACE).distinct()), "sets")
+    stars = scratch.written(met.join(if_small(whole.select(*PLACE, "n"), 48), [*PLACE]), "stars")
+    scratch.drop(met)
 
     # each entry of a token that several classes have, with the earliest of them and a few just before it
     other = F.struct(*earlier())
     before = F.array(F.first(other).over(order), *[F.lag(other, k).over(order) for k in range(1, BEFORE + 1)])
     tested = stars.withColumn("before", before).select(*PLACE, "n", "p", F.explode("before").alias("o")).where("o IS NOT NULL").select(*PLACE, "n", "p", "o.*")
     pairs = scratch.written(tested.where("NOT (d = yd AND at = yat AND v = yv)").where(near).select(*PLACE, *OTHER).distinct(), "pairs")
-    whole = sets(pairs)
     matched = scratch.written(_verified(pairs, whole, numer, denom), "first")
-    scratch.drop(whole)
 
     # those without a match so far, with all earlier ones of their tokens
     open_ = stars.join(if_small(matched, 40), [*PLACE], "left_anti")
     rest = open_.join(stars.select("key", *earlier()), "key").where("struct(yd, yat, yv) < struct(d, at, v)").where(near).select(*PLACE, *OTHER).distinct()
     rest = scratch.written(rest.join(pairs, [*PLACE, *OTHER], "left_anti"), "rest")
     scratch.drop(stars, pairs)
-    if rest.isEmpty():
-        return matched
-    whole = sets(rest)
-    both = scratch.written(matched.union(_verified(rest, whole, numer, denom)), "matched")
-    scratch.drop(whole, rest, matched)
+    both = matched if rest.isEmpty() else scratch.written(matched.union(_verified(rest, whole, numer, denom)), "matched")
+    scratch.drop(whole, rest)
     return both
 
 
 def removed_lines(rows: DataFrame, scratch: Scratch, numer: int = 4, denom: int = 5) -> DataFrame:
     """rows: doc_id, text. One row per text with lines to remove: d (the id, null as the greatest number), v (xxhash64 of the text), gone (their numbers, from 0)."""
-    lines = _lines(rows)
-    classes = scratch.written(_classes(lines, numer, denom), "classes")
-    matched = _matched(lines, classes, scratch, numer, denom)
-    # every line of a class but the first one, and the first one too where an earlier class matches
-    firsts = classes.drop("n", "keys").join(if_small(matched, 40).withColumn("gone", F.lit(True)), [*PLACE], "left").where("k > 1 OR gone")
-    some = scratch.written(firsts.select("h1", "h2", *[F.col(a).alias(b) for a, b in zip(PLACE, OTHER, strict=True)], F.coalesce("gone", F.lit(False)).alias("gone")), "lost")
-    scratch.drop(classes)
-    lost = lines.drop("line").join(if_small(some, 48), ["h1", "h2"]).where("gone OR NOT (d = yd AND at = yat AND v = yv)")
+    places = scratch.written(_places(_lines(rows), numer, denom), "places")
+    matched = _matched(rows, places, scratch, numer, denom)
+    # every line that is not its class's first one, and the first one too where an earlier class matches
+    lost = places.where("again").select(*PLACE).union(matched.select(*PLACE))
     return lost.groupBy("d", "v").agg(F.collect_set("at").alias("gone"))
 
 

@@ -285,6 +285,31 @@ def test_line_dedup_against_all_pairs(spark):
         assert out[i].text == want and out[i].n_removed == len(gone)
 
 
+def test_line_keys_are_the_first_tokens_by_length_of_word(spark):
+    """Keys without a count of tokens: the necessary ones of a line, longest first words first, also where words or shingles repeat."""
+    rng = random.Random(21)
+    words = ["x" * rng.randint(1, 9) + f"{i}" for i in range(40)] + ["é" * 5, "w" * 1100, "w" * 1200]
+    lines = [[rng.choice(words) for _ in range(rng.randint(1, 60))] for _ in range(120)]
+    lines += [["aaa", "b"] * 30, ["a", "a"] * 9, list("abcdefghijklmnopqrstuvwxyz") * 3, ["one"], ["long" * 9, *["b"] * 40]]
+    near = [[*w[:-1], "end"] for w in lines]
+    table = spark.createDataFrame([(k, w) for k, w in enumerate(lines + near)], "id int, w array<string>")
+    keys = {r.id: r["keys"] for r in line_dedup._keys(table, 4, 5).collect()}
+    grams = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in lines + near]
+    size = lambda t: min(len(t[0].encode()), 1023)
+    for k, w in enumerate(lines + near):
+        n = len(grams[k])
+        most = len(w) - 4 if len(w) > 4 else 1
+        need = lambda m: m - -(-4 * m // 5) + 1
+        assert min(need(n), n) <= len(keys[k]) <= max(need(most), n if n < most else 0) and keys[k] == sorted(set(keys[k]))
+        if len(w) > 4:
+            lengths = sorted((size(t) for t in grams[k]), reverse=True)
+            assert [1023 - (c >> line_dedup.LOW) for c in keys[k]] == lengths[: len(keys[k])]
+    for a in range(len(grams)):
+        for b in range(a):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                assert set(keys[a]) & set(keys[b])
+
+
 def test_lines_of_rows_without_or_with_one_id(spark):
     """Thousands of lines share a place in the order but for their texts: of each pair of near copies one goes."""
     rng = random.Random(12)
