@@ -3,8 +3,8 @@
 A line's tokens are its distinct five-word shingles (a shorter line is one token). Equal lines are one
 class. Classes meet on the first n - ceil(0.8 n) + 1 of their tokens, in an order by the length of the first word, long words being
 rare: first each with the earliest class that has the token and a few just before it, so that a token of k classes gives some k
-pairs, then those that found no earlier match with all earlier ones of their tokens. Sizes and places bound the pairs, and the
-whole sets decide.
+pairs, then those that found no earlier match with all earlier ones of their tokens. Sizes, places and parities bound the
+pairs, and the whole sets decide.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from terravane.llm.common import BROADCAST, Scratch, column, fresh, if_small
 #: the row's text, and a hash of that text.
 PLACE = ("d", "at", "v")
 OTHER = ("yd", "yat", "yv")
+#: What says, beside a token that two lines share, whether they can be similar.
+BOUNDS = ("n", "p", "a", "b")
 SIZE = 5
 #: Earlier classes of a token, besides the first, that each class is held against at once.
 BEFORE = 3
@@ -62,9 +64,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, numer: int, denom: int) -> Data
 
 
 def _admissible(numer: int, denom: int) -> str:
-    """Whether sizes (n, yn) and places in the order (p, yp) let two sets with this token reach the similarity."""
+    """Whether sizes (n, yn), places in the order (p, yp) and parities (a, b, ya, yb) let two sets with this token reach the similarity.
+
+    A counter of the parities that differs stands for a token, at least, that only one of the sets has.
+    """
     need = f"({numer} * (n + yn) + {numer} + {denom} - 1) div ({numer} + {denom})"
-    return f"{denom} * n >= {numer} * yn AND {denom} * yn >= {numer} * n AND p <= n - {need} AND yp <= yn - {need}"
+    sizes = f"{denom} * n >= {numer} * yn AND {denom} * yn >= {numer} * n AND p <= n - {need} AND yp <= yn - {need}"
+    return f"{sizes} AND bit_count(a ^ ya) + bit_count(b ^ yb) <= n + yn - 2 * ({need})"
+
+
+def _sizes(sets: DataFrame) -> DataFrame:
+    """n tokens of each set, and of 128 counters of them whether they are odd: a and b."""
+    each = sets.select(*PLACE, F.explode("tokens").alias("t"))
+    bit = "shiftleft(1L, cast(t & 63 as int))"
+    odd = [F.expr(f"bit_xor(CASE WHEN t & 64 {half} 0 THEN {bit} ELSE 0L END)") for half in ("=", "<>")]
+    return each.groupBy(*PLACE).agg(F.count("*").cast("int").alias("n"), odd[0].alias("a"), odd[1].alias("b"))
 
 
 def _keys(words: DataFrame, numer: int, denom: int) -> DataFrame:
@@ -109,38 +123,39 @@ def _places(lines: DataFrame, numer: int, denom: int) -> DataFrame:
 
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The whole sets of the lines at some places, and their sizes n: of all texts only theirs are split."""
+    """The whole sets of the lines at some places: of all texts only theirs are split."""
     wanted = nodes.groupBy("d", "v").agg(F.collect_set("at").alias("ats"))
     texts = rows.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64("text").alias("v"), "text").join(if_small(wanted, 64), ["d", "v"])
     # the lines are bound to p, so they are split once, and picked by number
     picked = F.transform(F.array(F.split("text", "\n")), lambda p: F.transform("ats", lambda i: F.struct(i.alias("at"), F.get(p, i).alias("line"))))
     own = texts.select("d", "v", F.inline(F.get(picked, 0))).select(*PLACE, "line").dropDuplicates([*PLACE])
     whole = own.select(*PLACE, _words(F.col("line")).alias("w")).select(*PLACE, _tokens("w").alias("tokens"))
-    return whole.select(*PLACE, "tokens", F.size("tokens").alias("n"))
+    return whole.select(*PLACE, "tokens")
 
 
 def _matched(rows: DataFrame, places: DataFrame, scratch: Scratch, numer: int, denom: int) -> DataFrame:
     """The first places of the classes that reach the similarity with an earlier class."""
     near = _admissible(numer, denom)
-    earlier = lambda: [F.col(a).alias(b) for a, b in zip((*PLACE, "n", "p"), (*OTHER, "yn", "yp"), strict=True)]
+    earlier = lambda: [F.col(a).alias(b) for a, b in zip((*PLACE, *BOUNDS), (*OTHER, *[f"y{a}" for a in BOUNDS]), strict=True)]
     entries = places.where("NOT again").select(F.posexplode("keys").alias("p", "key"), *PLACE)
     order = Window.partitionBy("key").orderBy(*PLACE)
     several = F.lead("d").over(order).isNotNull() | F.lag("d").over(order).isNotNull()
     met = scratch.written(entries.withColumn("several", several).where("several").drop("several"), "met")
     whole = scratch.written(_sets(rows, met.select(*PLACE).distinct()), "sets")
-    stars = scratch.written(met.join(if_small(whole.select(*PLACE, "n"), 48), [*PLACE]), "stars")
-    scratch.drop(met)
+    sizes = scratch.written(_sizes(whole), "sizes")
+    stars = scratch.written(met.join(if_small(sizes, 96), [*PLACE]), "stars")
+    scratch.drop(met, sizes)
 
     # each entry of a token that several classes have, with the earliest of them and a few just before it
     other = F.struct(*earlier())
     before = F.array(F.first(other).over(order), *[F.lag(other, k).over(order) for k in range(1, BEFORE + 1)])
-    tested = stars.withColumn("before", before).select(*PLACE, "n", "p", F.explode("before").alias("o")).where("o IS NOT NULL").select(*PLACE, "n", "p", "o.*")
+    tested = stars.withColumn("before", before).select(*PLACE, *BOUNDS, F.explode("before").alias("o")).where("o IS NOT NULL").select(*PLACE, *BOUNDS, "o.*")
     pairs = scratch.written(tested.where("NOT (d = yd AND at = yat AND v = yv)").where(near).select(*PLACE, *OTHER).distinct(), "pairs")
     matched = scratch.written(_verified(pairs, whole, numer, denom), "first")
 
     # those without a match so far, with all earlier ones of their tokens
     open_ = stars.join(if_small(matched, 40), [*PLACE], "left_anti")
-    rest = open_.join(stars.select("key", *earlier()), "key").where("struct(yd, yat, yv) < struct(d, at, v)").where(near).select(*PLACE, *OTHER).distinct()
+    rest = open_.join(stars.select("key", *earlier()), "key").where("yd < d OR yd = d AND (yat < at OR yat = at AND yv < v)").where(near).select(*PLACE, *OTHER).distinct()
     rest = scratch.written(rest.join(pairs, [*PLACE, *OTHER], "left_anti"), "rest")
     scratch.drop(stars, pairs)
     both = matched if rest.isEmpty() else scratch.written(matched.union(_verified(rest, whole, numer, denom)), "matched")
