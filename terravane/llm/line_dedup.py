@@ -20,7 +20,7 @@ from terravane.llm.common import BROADCAST, Scratch, column, fresh, if_small
 PLACE = ("d", "at", "v")
 OTHER = ("yd", "yat", "yv")
 #: What says, beside a token that two lines share, whether they can be similar.
-BOUNDS = ("n", "p", "a", "b")
+BOUNDS = ("n", "p", "a", "b", "prior")
 SIZE = 5
 #: Earlier classes of a token, besides the first, that each class is held against at once.
 BEFORE = 3
@@ -137,7 +137,7 @@ def _matched(rows: DataFrame, places: DataFrame, scratch: Scratch, numer: int, d
     """The first places of the classes that reach the similarity with an earlier class."""
     near = _admissible(numer, denom)
     earlier = lambda: [F.col(a).alias(b) for a, b in zip((*PLACE, *BOUNDS), (*OTHER, *[f"y{a}" for a in BOUNDS]), strict=True)]
-    entries = places.where("NOT again").select(F.posexplode("keys").alias("p", "key"), *PLACE)
+    entries = places.where("NOT again").select(F.posexplode("keys").alias("p", "key"), *PLACE, "keys").select("p", "key", *PLACE, F.expr("get(keys, p - 1)").alias("prior"))
     order = Window.partitionBy("key").orderBy(*PLACE)
     several = F.lead("d").over(order).isNotNull() | F.lag("d").over(order).isNotNull()
     met = scratch.written(entries.withColumn("several", several).where("several").drop("several"), "met")
@@ -155,7 +155,9 @@ def _matched(rows: DataFrame, places: DataFrame, scratch: Scratch, numer: int, d
 
     # those without a match so far, with all earlier ones of their tokens
     open_ = stars.join(if_small(matched, 40), [*PLACE], "left_anti")
-    rest = open_.join(stars.select("key", *earlier()), "key").where("yd < d OR yd = d AND (yat < at OR yat = at AND yv < v)").where(near).select(*PLACE, *OTHER).distinct()
+    rest = open_.join(stars.select("key", *earlier()), "key").where("yd < d OR yd = d AND (yat < at OR yat = at AND yv < v)").where(near)
+    # after an equal key of both the pair has been met at that one
+    rest = rest.where("coalesce(prior <> yprior, true)").select(*PLACE, *OTHER).distinct()
     rest = scratch.written(rest.join(pairs, [*PLACE, *OTHER], "left_anti"), "rest")
     scratch.drop(stars, pairs)
     both = matched if rest.isEmpty() else scratch.written(matched.union(_verified(rest, whole, numer, denom)), "matched")
